@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.functions.scalars import budget, ensure
+from rowloom.operators.ordering import global_order_in_runs
 
 
 def x_label_join(x: DataFrame, obs: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -37,6 +38,28 @@ def materialise(plan: DataFrame, x_row: DataFrame, obs: DataFrame | None = None,
     return rows if obs is None else x_label_join(rows, obs, labels)
 
 
+def shuffled_batches(
+    x_row: DataFrame,
+    batch_size: int,
+    *,
+    batches_per_run: int = 64,
+    seed: int | str = 42,
+    epochs: int | None = None,
+    digits: int = 3,
+) -> DataFrame:
+    """Rows of X, with any labels they carry, as seeded random batches.
+
+    Same batches as ``global_permutation`` without ``drop_last``, for wide rows:
+    these move once, and all rows of a batch and its ``run`` end in one task.
+    Group by ``run`` and ``batch_id`` to use that.
+    """
+    placed = global_order_in_runs(x_row, batch_size * batches_per_run, seed=seed, epochs=epochs, digits=digits)
+    size = F.lit(batch_size).cast("bigint")
+    return placed.withColumns(
+        {"batch_id": F.call_function("div", F.col("ord"), size), "pos": F.col("ord") % size}
+    ).drop("ord")
+
+
 def row_budget(plan: DataFrame, n_samples: int, n_collection: Column, batch_size: int) -> DataFrame:
     """The first ``n_samples`` rows of a plan in plan order; all of them for -1."""
     place = F.col("batch_id") * F.lit(batch_size).cast("bigint") + F.col("pos")

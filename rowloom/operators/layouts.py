@@ -203,6 +203,12 @@ def write_two_level_chunks(
         )
 
 
+def save_bucketed(df: DataFrame, name: str, path: str, buckets: int) -> None:
+    """Table bucketed and sorted by ``row_id``: tables with equal buckets join in place."""
+    writer = df.write.mode("overwrite").bucketBy(buckets, "row_id").sortBy("row_id")
+    writer.option("path", path).format("parquet").saveAsTable(name)
+
+
 def label_path(dense_path: str) -> str:
     """Where the labels of a dense store are."""
     if "dense" not in dense_path:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions.scalars import part_rows, seed_text, seeded_hex
-from rowloom.operators.ordinals import dense_positions, hex_bucket, with_ordinal
+from rowloom.operators.ordinals import MAX_BROADCAST_OFFSETS, dense_positions, hex_bucket, with_ordinal
+from rowloom.workdir import settle
 
 
 def with_epochs(rows: DataFrame, epochs: int | None) -> DataFrame:
@@ -55,6 +56,27 @@ def batch_sequential(
     return _cut(rows.withColumn("ord", F.col("row_id")), rows, batch_size, drop_last, n_rows)
 
 
+def _permutation_keys(rows: DataFrame, seed: int | str, epochs: int | None, digits: int) -> DataFrame:
+    return (
+        with_epochs(rows, epochs)
+        .withColumn("_hex", seeded_hex(_seed(seed, epochs), "", F.col("row_id")))
+        .withColumns({"_key": F.unhex("_hex"), "_part": hex_bucket(F.col("_hex"), digits)})
+        .drop("_hex")
+    )
+
+
+def _global_order(
+    rows: DataFrame, seed: int | str, epochs: int | None, digits: int
+) -> DataFrame:
+    return with_ordinal(
+        _permutation_keys(rows, seed, epochs, digits),
+        order_by=["_key", "row_id"],
+        bucket=F.col("_part"),
+        groups=_epoch_columns(epochs),
+        max_offsets=16**digits * (epochs or 1),
+    )
+
+
 def global_order(
     rows: DataFrame, *, seed: int | str = 42, epochs: int | None = None, digits: int = 3
 ) -> DataFrame:
@@ -63,18 +85,45 @@ def global_order(
     ``digits`` sets the number of md5 buckets: 3 (4,096) up to about a billion
     rows, 4 (65,536) above.
     """
-    keyed = (
-        with_epochs(rows, epochs)
-        .withColumn("_hex", seeded_hex(_seed(seed, epochs), "", F.col("row_id")))
-        .withColumn("_key", F.unhex("_hex"))
+    return _global_order(rows, seed, epochs, digits).drop("_key", "_part")
+
+
+def global_order_in_runs(
+    rows: DataFrame,
+    run_rows: int,
+    *,
+    seed: int | str = 42,
+    epochs: int | None = None,
+    digits: int = 3,
+    n_rows: int | None = None,
+) -> DataFrame:
+    """``global_order`` for wide payload: also adds ``run``, which is ``ord div run_rows``.
+
+    The permutation is computed on ids first. The key of the first row of each
+    run then tells every payload row its run where it is read, so the payload is
+    exchanged once and whole runs arrive in one task. Grouping by ``run`` and
+    anything finer, such as the batches in it, needs no further exchange.
+    """
+    epoch = _epoch_columns(epochs)
+    total = rows.count() if n_rows is None else n_rows
+    n_runs = -(-total // run_rows) * (epochs or 1)
+
+    placed = _global_order(rows.select("row_id"), seed, epochs, digits)
+    first = F.when(F.col("ord") % run_rows == 0, F.struct("_key", "row_id"))
+    parts = placed.groupBy(*epoch, "_part").agg(
+        (_div(F.min("ord") + (run_rows - 1), run_rows) - 1).alias("_run_before"),
+        F.sort_array(F.collect_list(first)).alias("_firsts"),
     )
-    return with_ordinal(
-        keyed,
-        order_by=["_key", "row_id"],
-        bucket=hex_bucket(F.col("_hex"), digits),
-        groups=_epoch_columns(epochs),
-        max_offsets=16**digits * (epochs or 1),
-    ).drop("_hex", "_key")
+    if max(n_runs, 16**digits * (epochs or 1)) <= MAX_BROADCAST_OFFSETS:
+        parts = F.broadcast(parts)
+    keyed = _permutation_keys(rows, seed, epochs, digits)
+    here = F.struct("_key", "row_id")
+    passed = F.size(F.filter("_firsts", lambda mark: mark <= here))
+    with_run = keyed.join(parts, [*epoch, "_part"]).withColumn("run", F.col("_run_before") + passed)
+    inside = Window.partitionBy(*epoch, "run").orderBy("_key", "row_id")
+    return with_run.withColumn(
+        "ord", (F.col("run") * run_rows + F.row_number().over(inside) - 1).cast("bigint")
+    ).drop("_key", "_part", "_run_before", "_firsts")
 
 
 def global_permutation(
@@ -92,9 +141,10 @@ def global_permutation(
     return _cut(ordered, rows, batch_size, drop_last, n_rows)
 
 
-def sorted_within_batch(plan: DataFrame, epochs: int | None = None) -> DataFrame:
+def sorted_within_batch(plan: DataFrame) -> DataFrame:
     """Same batches, rows of each read in ascending ``row_id``."""
-    inside = Window.partitionBy(*_epoch_columns(epochs), "batch_id").orderBy("row_id")
+    epoch = [c for c in plan.columns if c == "epoch"]
+    inside = Window.partitionBy(*epoch, "batch_id").orderBy("row_id")
     return plan.withColumn("pos", (F.row_number().over(inside) - 1).cast("bigint"))
 
 
@@ -231,8 +281,12 @@ def stream_chunk_shuffle(
     drop_last: bool = False,
     n_rows: int | None = None,
 ) -> DataFrame:
-    """Shuffle a filtered sub-matrix chunk by chunk; its rows are renumbered first."""
-    dense = dense_positions(rows).withColumnRenamed("ord", "_position")
+    """Shuffle a filtered sub-matrix chunk by chunk; its rows are renumbered first.
+
+    The renumbered rows are read three times below, so they are written once and
+    the filter that made them does not run again. Pass ids, not payload.
+    """
+    dense = settle(dense_positions(rows).withColumnRenamed("ord", "_position"), "positions")
     return chunk_window_shuffle(
         dense,
         batch_size,

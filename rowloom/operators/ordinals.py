@@ -21,13 +21,6 @@ def hex_bucket(hex_key: Column, digits: int = 3) -> Column:
     return F.substring(hex_key, 1, digits)
 
 
-def range_bucket(rows: DataFrame, key: str, buckets: int = 4096) -> Column:
-    """At most ``buckets`` equal ranges of an integer key, from its own bounds."""
-    low = rows.agg(F.min(key)).scalar()
-    width = rows.agg((F.floor((F.max(key) - F.min(key)) / buckets) + 1).cast("bigint")).scalar()
-    return F.floor((F.col(key) - low) / width).cast("int")
-
-
 def with_ordinal(
     rows: DataFrame,
     *,
@@ -77,11 +70,6 @@ def with_ordinal(
     return keyed.join(offsets, match, "left").select(*columns)
 
 
-def dense_positions(rows: DataFrame, key: str = "row_id") -> DataFrame:
-    """Number the rows of a filtered matrix 0..n-1 in key order, as ``ord``."""
-    return with_ordinal(rows, order_by=[key], bucket=range_bucket(rows, key), max_offsets=4097)
-
-
 def grouped_positions(rows: DataFrame, groups: Sequence[str], key: str, width: int = 65_536) -> DataFrame:
     """Number the rows of each group 0.. in integer key order, as ``ord``.
 
@@ -91,3 +79,8 @@ def grouped_positions(rows: DataFrame, groups: Sequence[str], key: str, width: i
     return with_ordinal(
         rows, order_by=[key], bucket=F.floor(F.col(key) / width).cast("bigint"), groups=groups
     )
+
+
+def dense_positions(rows: DataFrame, key: str = "row_id") -> DataFrame:
+    """Number the rows of a filtered matrix 0..n-1 in key order, as ``ord``."""
+    return grouped_positions(rows, [], key)

@@ -6,12 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.operators.layouts import ROW_GROUP_ROWS, densify
-from rowloom.operators.ordering import global_order
+from rowloom.operators.ordering import global_order_in_runs
 from rowloom.operators.slicing import gene_subset_rows
 
 
+def _file_rows(shard_rows: int, rows_per_file: int) -> int:
+    """Rows of a file; files do not cross shards."""
+    run = min(rows_per_file, shard_rows)
+    if shard_rows % run:
+        raise ValueError("rows_per_file must divide shard_rows")
+    return run
+
+
 def _write_shards(
-    rows: DataFrame, path: str, chunk_rows: int | None, compression: str, n_var: int | None = None
+    rows: DataFrame,
+    path: str,
+    chunk_rows: int | None,
+    compression: str,
+    n_var: int | None = None,
+    file_rows: int | None = None,
 ) -> None:
     """Write ``shard=<i>`` directories, rows of a file in ascending ``row_id``."""
     ordered = rows.sortWithinPartitions("shard", "row_id")
@@ -20,6 +33,8 @@ def _write_shards(
     writer = ordered.write.mode("overwrite").partitionBy("shard").option("compression", compression)
     if chunk_rows is not None:
         writer = writer.option(ROW_GROUP_ROWS, chunk_rows)
+    if file_rows is not None:
+        writer = writer.option("maxRecordsPerFile", file_rows)
     writer.parquet(path)
 
 
@@ -33,6 +48,7 @@ def reshard_shuffled(
     *,
     shard_rows: int = 2**21,
     chunk_rows: int = 2048,
+    rows_per_file: int = 2**16,
     seed: int | str = 42,
     n_var: int | None = None,
     compression: str = "zstd",
@@ -41,14 +57,15 @@ def reshard_shuffled(
     """Globally shuffled shards of ``shard_rows`` rows.
 
     ``row_id`` of the new store is the place in the permutation; the old one is
-    kept as ``source_row_id``. The payload is exchanged once, on its md5 bucket:
-    the ordinal is known in that same task, so no second move to the shard is
-    needed, and write parallelism is the number of buckets, not of shards. With
-    ``n_var`` rows are made dense after the exchange.
+    kept as ``source_row_id``. The payload is exchanged once, in runs of
+    ``rows_per_file`` rows, and each run is one file: all files and chunks are
+    full but the last, and write parallelism is the number of files, not of
+    shards. With ``n_var`` rows are made dense after the exchange.
     """
-    placed = global_order(rows, seed=seed, digits=digits)
+    run_rows = _file_rows(shard_rows, rows_per_file)
+    placed = global_order_in_runs(rows, run_rows, seed=seed, digits=digits).drop("run")
     renamed = placed.withColumnsRenamed({"row_id": "source_row_id", "ord": "row_id"})
-    _write_shards(renamed.withColumn("shard", _shard(shard_rows)), path, chunk_rows, compression, n_var)
+    _write_shards(renamed.withColumn("shard", _shard(shard_rows)), path, chunk_rows, compression, n_var, run_rows)
 
 
 def reshard_ordered(
@@ -60,21 +77,20 @@ def reshard_ordered(
     n_var: int | None = None,
     compression: str = "lz4_raw",
     clustered: bool = True,
-    rows_per_file: int | None = None,
+    rows_per_file: int = 2**16,
 ) -> None:
     """Shards of ``shard_rows`` rows in the order they have.
 
     ``clustered`` input holds runs of consecutive rows in each file, as
     ``concat_scan`` gives, and is written where it is read. Other input is
-    exchanged on runs of ``rows_per_file`` rows, a divisor of the shard size.
+    exchanged on runs of ``rows_per_file`` rows, each one file.
     """
     sharded = rows.withColumn("shard", _shard(shard_rows))
+    file_rows = None
     if not clustered:
-        run = rows_per_file or shard_rows
-        if shard_rows % run:
-            raise ValueError("rows_per_file must divide shard_rows")
-        sharded = sharded.repartition(F.call_function("div", F.col("row_id"), F.lit(run).cast("bigint")))
-    _write_shards(sharded, path, chunk_rows, compression, n_var)
+        file_rows = _file_rows(shard_rows, rows_per_file)
+        sharded = sharded.repartition(F.call_function("div", F.col("row_id"), F.lit(file_rows).cast("bigint")))
+    _write_shards(sharded, path, chunk_rows, compression, n_var, file_rows)
 
 
 def subset_rewrite(

@@ -176,7 +176,12 @@ def sharded_store(spark: SparkSession, sf_dir: str) -> Store:
         labels = row_labels(spark, sf_dir)
         rows = layouts.assemble_rows(labels, x_coo(spark, sf_dir)).join(labels, "row_id")
         reshard.reshard_ordered(
-            schemas.conform(rows, STORE_SCHEMA), path, shard_rows=size, clustered=False, compression="zstd"
+            schemas.conform(rows, STORE_SCHEMA),
+            path,
+            shard_rows=size,
+            rows_per_file=size,
+            clustered=False,
+            compression="zstd",
         )
 
     workdir.write_if_absent(spark, root, write)

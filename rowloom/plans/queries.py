@@ -230,7 +230,8 @@ def write_wide_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reshard_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workdir.fresh_path(spark, "shuffled")
     rows = fx.stored_rows(spark, sf_dir).drop("shard")
-    reshard.reshard_shuffled(rows, path, shard_rows=fx.shard_rows(spark, sf_dir))
+    size = fx.shard_rows(spark, sf_dir)
+    reshard.reshard_shuffled(rows, path, shard_rows=size, rows_per_file=size, chunk_rows=256)
     return _row_sums(spark.read.parquet(path), "shard", "row_id", "source_row_id", "cell_line")
 
 
@@ -585,7 +586,8 @@ def wide_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def batch_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = ordering.global_permutation(fx.stored_rows(spark, sf_dir).drop("shard"), BATCH, drop_last=False)
+    rows = fx.stored_rows(spark, sf_dir).select("row_id", "indices", "values")
+    plan = batches.shuffled_batches(rows, BATCH)
 
     def summarise(batch: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(
@@ -599,7 +601,10 @@ def batch_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     return batches.batch_callback(
-        plan, summarise, "batch_id bigint, n_rows bigint, nnz bigint, total double, first_row bigint"
+        plan,
+        summarise,
+        "batch_id bigint, n_rows bigint, nnz bigint, total double, first_row bigint",
+        keys=["run", "batch_id"],
     )
 
 

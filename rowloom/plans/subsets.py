@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowloom.operators.ordering import global_permutation
 from rowloom.operators.slicing import coord_range, obs_semi_join
+from rowloom.workdir import settle
 
 
 def batch_summary(
@@ -21,10 +22,11 @@ def batch_summary(
 ) -> DataFrame:
     """Rows, entries, counts and labels of each batch of a sub-matrix.
 
-    Entries are reduced to one line per row before they meet the plan, so the
+    The chosen row ids are written once, as numbering them takes two passes and
+    the filter may be a large join. Entries are reduced to one line per row before they meet the plan, so the
     join is one to one and rows without counts remain.
     """
-    cells = obs_semi_join(obs, datasets).select("row_id", label)
+    cells = settle(obs_semi_join(obs, datasets).select("row_id", label), "cells")
     plan = global_permutation(cells, batch_size, seed=seed, drop_last=False)
     per_row = coord_range(x_coo, last_var).groupBy("row_id").agg(
         F.count(F.lit(1)).alias("nnz"), F.sum("value").alias("total")
