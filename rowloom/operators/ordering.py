@@ -119,7 +119,7 @@ def global_order_in_runs(
     keyed = _permutation_keys(rows, seed, epochs, digits)
     here = F.struct("_key", "row_id")
     passed = F.size(F.filter("_firsts", lambda mark: mark <= here))
-    with_run = keyed.join(parts, [*epoch, "_part"]).withColumn("run", F.col("_run_before") + passed)
+    with_run = keyed.join(parts, [*epoch, "_part"], "left").withColumn("run", F.col("_run_before") + passed)
     inside = Window.partitionBy(*epoch, "run").orderBy("_key", "row_id")
     return with_run.withColumn(
         "ord", (F.col("run") * run_rows + F.row_number().over(inside) - 1).cast("bigint")

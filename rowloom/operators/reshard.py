@@ -27,10 +27,8 @@ def _write_shards(
     file_rows: int | None = None,
 ) -> None:
     """Write ``shard=<i>`` directories, rows of a file in ascending ``row_id``."""
-    ordered = rows.sortWithinPartitions("shard", "row_id")
-    if n_var is not None:
-        ordered = densify(ordered, n_var).sortWithinPartitions("shard", "row_id")
-    writer = ordered.write.mode("overwrite").partitionBy("shard").option("compression", compression)
+    stored = rows if n_var is None else densify(rows, n_var)
+    writer = stored.sortWithinPartitions("shard", "row_id").write.mode("overwrite").partitionBy("shard").option("compression", compression)
     if chunk_rows is not None:
         writer = writer.option(ROW_GROUP_ROWS, chunk_rows)
     if file_rows is not None:

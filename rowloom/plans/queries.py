@@ -139,9 +139,7 @@ def layer_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = raw.withColumn("value", F.col("value") / 2).withColumn("layer", F.lit("data"))
     both = raw.unionByName(scaled).withColumn("measurement", F.lit("RNA"))
     both.write.partitionBy("measurement", "layer").parquet(path)
-    return scans.layer_select(spark.read.parquet(path)).select(
-        "row_id", F.col("var_id").cast("bigint").alias("var_id"), "value"
-    )
+    return scans.layer_select(spark.read.parquet(path))
 
 
 @query
@@ -330,16 +328,12 @@ def storage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def head_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slicing.head_slice(fx.x_coo(spark, sf_dir), 256, 500).select(
-        "row_id", F.col("var_id").cast("bigint").alias("var_id"), "value"
-    )
+    return slicing.head_slice(fx.x_coo(spark, sf_dir), 256, 500)
 
 
 @query
 def coord_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slicing.coord_range(fx.x_coo(spark, sf_dir), LAST_VAR).select(
-        "row_id", F.col("var_id").cast("bigint").alias("var_id"), "value"
-    )
+    return slicing.coord_range(fx.x_coo(spark, sf_dir), LAST_VAR)
 
 
 @query
@@ -353,7 +347,7 @@ def value_filter_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
 def axis_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = slicing.obs_semi_join(fx.obs(spark, sf_dir), fx.datasets_of(spark, sf_dir, REGION))
     found = slicing.axis_query(cells, fx.x_coo(spark, sf_dir), LAST_VAR)
-    return found.select("row_id", "cell_line", F.col("var_id").cast("bigint").alias("var_id"), "value")
+    return found.select("row_id", "cell_line", "var_id", "value")
 
 
 # --- joins -----------------------------------------------------------------
