@@ -59,9 +59,8 @@ def batch_sequential(
 def _permutation_keys(rows: DataFrame, seed: int | str, epochs: int | None, digits: int) -> DataFrame:
     return (
         with_epochs(rows, epochs)
-        .withColumn("_hex", seeded_hex(_seed(seed, epochs), "", F.col("row_id")))
-        .withColumns({"_key": F.unhex("_hex"), "_part": hex_bucket(F.col("_hex"), digits)})
-        .drop("_hex")
+        .withColumn("_key", seeded_hex(_seed(seed, epochs), "", F.col("row_id")))
+        .withColumn("_part", hex_bucket(F.col("_key"), digits))
     )
 
 
@@ -170,18 +169,17 @@ def block_shuffle(
     epoch = _epoch_columns(epochs)
     blocked = (
         with_epochs(rows, epochs)
-        .withColumn("_hex", seeded_hex(_seed(seed, epochs), "b", _div(F.col("row_id"), block_size)))
-        .withColumn("_key", F.unhex("_hex"))
+        .withColumn("_key", seeded_hex(_seed(seed, epochs), "b", _div(F.col("row_id"), block_size)))
     )
     placed = with_ordinal(
         blocked,
         order_by=["_key", "row_id"],
-        bucket=hex_bucket(F.col("_hex"), digits),
+        bucket=hex_bucket(F.col("_key"), digits),
         groups=epoch,
         max_offsets=16**digits * (epochs or 1),
-    ).drop("_hex", "_key")
+    ).drop("_key")
     fetched = placed.withColumn("_fetch", _div(F.col("ord"), fetch_rows)).withColumn(
-        "_key", F.unhex(seeded_hex(_seed(seed, epochs), "r", F.col("row_id")))
+        "_key", seeded_hex(_seed(seed, epochs), "r", F.col("row_id"))
     )
     inside = Window.partitionBy(*epoch, "_fetch").orderBy("_key", "row_id")
     ordered = fetched.withColumn("ord", F.col("_fetch") * fetch_rows + F.row_number().over(inside) - 1)
@@ -198,17 +196,16 @@ def _chunk_places(
     chunks = rows.groupBy(chunk.alias("_chunk")).agg(F.count(F.lit(1)).alias("_size"))
     keyed = (
         with_epochs(chunks, epochs)
-        .withColumn("_hex", seeded_hex(_seed(seed, epochs), tag, F.col("_chunk")))
-        .withColumn("_key", F.unhex("_hex"))
+        .withColumn("_key", seeded_hex(_seed(seed, epochs), tag, F.col("_chunk")))
     )
     return with_ordinal(
         keyed,
         order_by=["_key", "_chunk"],
-        bucket=hex_bucket(F.col("_hex"), digits),
+        bucket=hex_bucket(F.col("_key"), digits),
         groups=_epoch_columns(epochs),
         weight="_size",
         max_offsets=16**digits * (epochs or 1),
-    ).drop("_hex", "_key", "_size")
+    ).drop("_key", "_size")
 
 
 def chunk_window_shuffle(
@@ -240,7 +237,7 @@ def chunk_window_shuffle(
     placed = (
         rows.withColumn("_chunk", _div(F.col(key), chunk_size))
         .join(windows, "_chunk")
-        .withColumn("_key", F.unhex(seeded_hex(_seed(seed, epochs), "r", F.col(key))))
+        .withColumn("_key", seeded_hex(_seed(seed, epochs), "r", F.col(key)))
     )
     inside = Window.partitionBy(*epoch, "_window").orderBy("_key", key)
     ordered = placed.withColumn("ord", F.col("_first") + F.row_number().over(inside) - 1)
@@ -300,6 +297,16 @@ def stream_chunk_shuffle(
     ).drop("_position")
 
 
+def group_shuffle(
+    rows: DataFrame, group: str, *, seed: int | str = 42, epochs: int | None = None, digits: int = 3
+) -> DataFrame:
+    """Groups of rows in random order: ``batch_id`` is the place of the row's group."""
+    places = _chunk_places(rows, F.col(group), "g", seed, epochs, digits).drop("start")
+    return (
+        rows.join(places, F.col(group) == F.col("_chunk")).drop("_chunk", group).withColumnRenamed("ord", "batch_id")
+    )
+
+
 def row_group_shuffle(
     rows: DataFrame,
     group_rows: int,
@@ -308,12 +315,11 @@ def row_group_shuffle(
     epochs: int | None = None,
     digits: int = 3,
 ) -> DataFrame:
-    """Row groups in random order; each is one batch, read in file order."""
-    groups = _chunk_places(rows, _div(F.col("row_id"), group_rows), "g", seed, epochs, digits)
-    return (
-        rows.withColumn("_chunk", _div(F.col("row_id"), group_rows))
-        .join(groups.drop("start"), "_chunk")
-        .withColumnRenamed("ord", "batch_id")
-        .withColumn("pos", F.col("row_id") % F.lit(group_rows).cast("bigint"))
-        .drop("_chunk")
+    """Row groups of equal size in random order; each is one batch, read in file order."""
+    grouped = rows.withColumns(
+        {
+            "_group": _div(F.col("row_id"), group_rows),
+            "pos": F.col("row_id") % F.lit(group_rows).cast("bigint"),
+        }
     )
+    return group_shuffle(grouped, "_group", seed=seed, epochs=epochs, digits=digits)

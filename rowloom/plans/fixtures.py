@@ -12,6 +12,7 @@ from rowloom import schemas, workdir
 from rowloom.functions.scalars import collection_format_key
 from rowloom.operators import layouts, reshard
 from rowloom.operators.ordinals import grouped_positions, hex_bucket, with_ordinal
+from rowloom.plans import layout_study
 from rowloom.sources import registry
 
 COLLECTION = collection_format_key("orders", "parquet")
@@ -211,43 +212,11 @@ def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layout_stores(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """The dense matrix written in every layout of the study, by layout name."""
-    dense = x_dense(spark, sf_dir)
-    names = [f"g{i}" for i in range(n_values(dense))]
-
-    def once(name: str, write) -> str:
-        path = store_path(spark, sf_dir, name)
-        workdir.write_if_absent(spark, path, write)
-        return path
-
-    def sparse(path: str) -> None:
+    root = store_path(spark, sf_dir, "layouts")
+    # Written last, so it marks the whole set as complete.
+    last = layout_study.layout_paths(root)["parquet_chunk"]
+    if not workdir.is_complete(spark, last):
+        dense = x_dense(spark, sf_dir)
         rows = layouts.assemble_rows(dense, layouts.sparsify(dense))
-        layouts.write_sparse(rows, path)
-        # Marks both forms as written; each also has its own marker.
-        spark.range(0).write.mode("overwrite").parquet(path + "/done")
-
-    sparse_root = store_path(spark, sf_dir, "sparse")
-    if not workdir.is_complete(spark, f"{sparse_root}/done"):
-        sparse(sparse_root)
-    whole = once("dense_whole", lambda p: layouts.write_dense(dense, p))
-    chunked = once("dense_chunked", lambda p: layouts.write_dense_chunked(dense, p))
-    nested = once(
-        "dense_nested", lambda p: layouts.write_two_level_chunks(dense, dense.select("row_id", "code"), p)
-    )
-    wide = layouts.wide_project(dense, names, "code", keep=["row_id"])
-    wide_whole = once("wide", lambda p: layouts.write_wide(wide, p))
-    wide_chunked = once("wide_chunked", lambda p: layouts.write_wide(wide, p, row_group=128))
-    return {
-        "h5py_sp": f"{sparse_root}/row",
-        "soma_sp": f"{sparse_root}/coo",
-        "h5py_dense": whole,
-        "zarr_sp": f"{sparse_root}/row",
-        "zarr_dense": whole,
-        "zarr_dense_chunk": chunked,
-        "parquet": wide_whole,
-        "polars": wide_whole,
-        "parquet_chunk": wide_chunked,
-        "arrow": wide_whole,
-        "arrow_chunk": wide_chunked,
-        "zarrV3tensorstore_dense_chunk": nested,
-        "zarrV2tensorstore_dense_chunk": chunked,
-    }
+        layout_study.write_layouts(rows, dense, "code", n_values(dense), root)
+    return layout_study.layout_paths(root)

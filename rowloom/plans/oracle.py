@@ -38,11 +38,11 @@ _RATES = """cast(count(*) as bigint) as n_batches, cast(count(*) * 1024 as bigin
 )
 
 
-def _layout_matrix() -> str:
+def _layout_matrix(rows: str = "select * from orders", key: str = "o_orderkey") -> str:
     names = """'h5py_sp', 'soma_sp', 'h5py_dense', 'zarr_sp', 'zarr_dense', 'zarr_dense_chunk', 'parquet', 'polars',
  'parquet_chunk', 'arrow', 'arrow_chunk', 'zarrV3tensorstore_dense_chunk', 'zarrV2tensorstore_dense_chunk'"""
     return f"""
-with s as (select cast(o_orderkey // {_SHARD_ROWS} as integer) as shard_ord, count(*) as n_observations from orders group by 1),
+with s as (select cast({key} // {_SHARD_ROWS} as integer) as shard_ord, count(*) as n_observations from ({rows}) r group by 1),
  l as (select unnest([{names}]) as layout),
  m as (select unnest([false, true]) as random),
  a as (select *, split_part(layout, '_', 1) as kind, contains(layout, 'sp') as sparse from s, l, m)
@@ -56,7 +56,48 @@ def _wide_columns(n: int = 64) -> str:
     return ", ".join(f"cast(x[{i + 1}] as double) as g{i}" for i in range(n))
 
 
+def _loaded(order: str, size: str) -> str:
+    """Summary of the whole batches of a loading run; ``order`` defines o(row_id, ord)."""
+    return f"""
+with {order},
+ z as (select {size} as size, (select count(*) from orders) as n)
+select ord // size as batch_id, cast(count(*) as bigint) as n_rows, cast(sum(nnz) as bigint) as nnz, sum(total) as total,
+ cast(sum(s.row_id * (ord % size)) as bigint) as order_sum, cast(count(distinct cell_line) as bigint) as n_labels
+from o join ({_SUMS}) s on o.row_id = s.row_id, z
+where ord // size < n // size group by 1"""
+
+
+# Batch size of 4096 rows, or a tenth of a smaller collection.
+_SIZE = "(select case when 40960 > count(*) then greatest(1, count(*) // 10) else 4096 end from orders)"
+# The largest divisor of a window of 256 x 8 rows that is no larger.
+_WINDOW_SIZE = f"(select max(d) from (select unnest(range(1, 2049)) as d) r where 2048 % d = 0 and d <= {_SIZE})"
+
+
 ORACLE: dict[str, str] = {
+    "loading_run_permutation": _loaded(f"o as ({_PERM})", _SIZE),
+    "loading_run_block": _loaded(
+        f"""p as (select row_id, row_number() over (order by md5(concat('42b:', cast(row_id // 4 as varchar))), row_id) - 1 as o
+           from ({_ROWS}) r),
+ o as (select row_id, row_number() over (order by o // (16 * {_SIZE}), md5(concat('42r:', cast(row_id as varchar))), row_id) - 1
+       as ord from p)""",
+        _SIZE,
+    ),
+    "loading_run_chunk_window": _loaded(_chunks(256, 8, _ROWS, "row_id"), _WINDOW_SIZE),
+    "prepare_collections": f"""
+with src as (select row_id, {_SHARD_ROWS} as size, (select max(o_orderkey) from orders) as top from ({_ROWS}) r),
+ pos as (select row_id, size, row_number() over (order by -(row_id // size), row_id) - 1 as place from src),
+ pm as (select row_id, size, row_number() over (order by md5(concat('42:', cast(place as varchar))), place) - 1 as ord from pos),
+ sub as (select c.row_id, count(*) as nnz, sum(c.value) as total
+         from ({_COO}) c join ({_GENES}) g on c.var_id = g.var_id group by 1),
+ whole as (select ord // size as shard, ord as row_id, s.nnz, s.total, coalesce(sub.nnz, 0) as sub_nnz,
+            coalesce(sub.total, 0.0) as sub_total
+           from pm join ({_SUMS}) s on pm.row_id = s.row_id left join sub on pm.row_id = sub.row_id),
+ u as (select 'orders_sharded' as collection_key, shard, row_id, nnz, total from whole
+       union all select 'orders_sharded_subset', shard, row_id, sub_nnz, sub_total from whole
+       union all select 'orders_chunked', shard, row_id, nnz, total from whole
+       union all select 'orders_chunked_mini', shard, row_id, nnz, total from whole where shard = 0)
+select collection_key, cast(shard as integer) as shard, row_id, cast(nnz as bigint) as nnz, total,
+ cast(count(*) over (partition by collection_key, shard) as bigint) as n_observations from u""",
     "census_batches": f"""
 with p as (select row_id, cell_line,
   (row_number() over (order by md5(concat('42:', cast(row_id as varchar))), row_id) - 1) // 128 as b from ({_CELLS}) o),
@@ -169,6 +210,12 @@ select row_id, ord // 128 as batch_id, ord % 128 as pos from o""",
 with g as (select k, row_number() over (order by md5(concat('42g:', cast(k as varchar))), k) - 1 as batch_id
            from (select distinct row_id // 128 as k from ({_ROWS}) r) d)
 select row_id, batch_id, row_id % 128 as pos from ({_ROWS}) r join g on row_id // 128 = k""",
+    "row_group_scan": f"""select cast(code as tinyint) as code, cast(count(*) as bigint) as n_rows, max(row_id % 128) as last_pos,
+ max(cast(x[1] as double)) as g0 from ({_DENSE}) d group by 1""",
+    "layout_passes": f"""
+with m as ({_layout_matrix(_DENSE, 'row_id')})
+select name, 0 as epoch, cast(count(*) as bigint) as n_rows, cast(sum(code) as bigint) as label_sum
+from (select distinct name from m) n, ({_DENSE}) d group by 1""",
     "part_shuffle": f"""with {_chunks(1250, 1, _ROWS, "row_id")}
 select row_id, ord // 1024 as batch_id, ord % 1024 as pos from o
 where ord // 1024 < (select count(*) // 1024 from orders)""",

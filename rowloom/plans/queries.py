@@ -12,6 +12,7 @@ from rowloom import schemas, workdir
 from rowloom.functions import scalars
 from rowloom.operators import batches, layouts, metrics, ordering, reshard, slicing
 from rowloom.plans import fixtures as fx
+from rowloom.plans import layout_study, loading, preparation
 from rowloom.plans.subsets import batch_summary
 from rowloom.sources import registry, scans
 
@@ -58,6 +59,75 @@ def census_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _loaded(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """What each batch of a loading run on the whole collection holds."""
+    store = fx.sharded_store(spark, sf_dir)
+    run = loading.loading_run(
+        spark, store.manifest, fx.COLLECTION, store.schema, method, n_datasets=-1, n_samples=-1
+    )
+    rows = run.batches.select(
+        "batch_id",
+        "row_id",
+        "pos",
+        "cell_line",
+        F.size("indices").cast("bigint").alias("nnz"),
+        F.aggregate("values", F.lit(0.0), lambda s, v: s + v.cast("double")).alias("total"),
+    )
+    return rows.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("nnz").alias("nnz"),
+        F.sum("total").alias("total"),
+        F.sum(F.col("row_id") * F.col("pos")).alias("order_sum"),
+        F.count_distinct("cell_line").alias("n_labels"),
+    )
+
+
+@query
+def loading_run_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded(spark, sf_dir, "permutation")
+
+
+@query
+def loading_run_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded(spark, sf_dir, "block")
+
+
+@query
+def loading_run_chunk_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded(spark, sf_dir, "chunk_window")
+
+
+@query
+def prepare_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = fx.sharded_store(spark, sf_dir)
+    # The source shards are joined in reverse of their number.
+    keys = [r.shard_key for r in store.manifest.orderBy(F.desc("shard_ord")).select("shard_key").collect()]
+    size = fx.shard_rows(spark, sf_dir)
+    manifest = preparation.prepare_collections(
+        spark,
+        store.manifest,
+        keys,
+        store.schema,
+        fx.var(spark, sf_dir),
+        fx.gene_list(spark, sf_dir),
+        workdir.fresh_path(spark, "prepared"),
+        name="orders",
+        shard_rows=size,
+        rows_per_file=size,
+        relayout_chunk=512,
+    )
+    sums = None
+    for key in ("orders_sharded", "orders_sharded_subset", "orders_chunked", "orders_chunked_mini"):
+        schema = schemas.T.StructType([*store.schema.fields])
+        rows = registry.collection_scan(spark, manifest, key, schema, -1)
+        one = _row_sums(rows, F.lit(key).alias("collection_key"), "shard", "row_id")
+        sums = one if sums is None else sums.unionByName(one)
+    return sums.join(
+        F.broadcast(manifest.select("collection_key", F.col("shard_ord").alias("shard"), "n_observations")),
+        ["collection_key", "shard"],
+    )
+
+
 # --- scans -----------------------------------------------------------------
 
 
@@ -323,6 +393,14 @@ def storage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layouts.storage_report(spark, fx.layout_stores(spark, sf_dir))
 
 
+@query
+def layout_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = fx.layout_stores(spark, sf_dir)
+    log = workdir.fresh_path(spark, "passes")
+    labels = fx.x_dense(spark, sf_dir).select("row_id", "code")
+    return layout_study.time_passes(spark, paths, labels, "code", log, epochs=1).drop("seconds")
+
+
 # --- slices ----------------------------------------------------------------
 
 
@@ -467,6 +545,14 @@ def row_group_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.row_group_shuffle(fx.row_ids(spark, sf_dir), BATCH)
 
 
+@query
+def row_group_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scans.row_group_scan(spark, fx.layout_stores(spark, sf_dir)["parquet_chunk"])
+    return rows.groupBy("code").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max("pos").alias("last_pos"), F.max(F.col("g0").cast("double")).alias("g0")
+    )
+
+
 @query
 def part_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.part_shuffle(fx.row_ids(spark, sf_dir))

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from rowloom import schemas
 from rowloom.functions.scalars import ensure
-from rowloom.operators.layouts import MAX_LIST_VALUES, dense_length_check, label_path
-from rowloom.sources.registry import collection, collection_scan
+from rowloom.operators.layouts import MAX_LIST_VALUES, dense_length_check, label_path, row_groups
+from rowloom.sources.registry import collection
 
 # A collection has at most this many numbered shards.
 MAX_NUMBERED_SHARDS = 48
@@ -59,30 +59,48 @@ def concat_scan(
     schema: T.StructType,
     n_datasets: int = -1,
 ) -> DataFrame:
-    """Shards of a collection as one matrix: ``row_id`` counts on from shard to shard.
+    """The first shards of a collection as one matrix, see ``concat_listed``."""
+    return concat_listed(spark, collection(manifest, collection_key, n_datasets), schema)
+
+
+def concat_listed(spark: SparkSession, shards: DataFrame, schema: T.StructType) -> DataFrame:
+    """Shards as one matrix: ``row_id`` counts on from shard to shard in ``shard_ord``.
 
     Rows are numbered where they are read, from the file's row index and the rows
     in earlier files, so no row moves. A shard of several files counts them in
     name order. A shard whose row count is not the registered one fails the job.
     """
+    paths = [r.path for r in shards.orderBy("shard_ord").select("path").collect()]
+    if not paths:
+        raise LookupError("no shards to read")
+    if len({p.rstrip("/").rsplit("/", 1)[-1] for p in paths}) < len(paths):
+        raise ValueError("shards need different directory names")
     own = T.StructType([f for f in schema.fields if f.name != "row_id"])
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index")]
-    stored = collection_scan(spark, manifest, collection_key, own, n_datasets)
-    scan = stored.select("*", *place)
-    files = scan.groupBy("shard", "_file").agg(F.count(F.lit(1)).alias("_n"))
-    registered = collection(manifest, collection_key, n_datasets).select(
-        F.col("shard_ord").alias("shard"), "n_observations"
+    stored = spark.read.schema(own).parquet(*paths)
+    scan = stored.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index")
+    )
+    files = (
+        scan.groupBy("_file")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_dir", F.regexp_extract("_file", "([^/]+)/[^/]+$", 1))
+    )
+    registered = shards.select(
+        F.col("shard_ord").alias("shard"), "n_observations", F.regexp_extract("path", "([^/]+)/*$", 1).alias("_dir")
     )
-    found = F.coalesce(F.sum("_n").over(Window.partitionBy("shard")), F.lit(0))
-    checked = files.join(registered, "shard", "full").withColumn("_found", found)
-    checked = checked.filter(
-        ensure(
-            F.col("_found").eqNullSafe(F.col("n_observations")),
-            F.concat(F.lit("row count differs from the manifest in shard "), F.col("shard").cast("string")),
+    found = F.coalesce(F.sum("_n").over(Window.partitionBy("_dir")), F.lit(0))
+    checked = (
+        files.join(registered, "_dir", "full")
+        .withColumn("_found", found)
+        .filter(
+            ensure(
+                F.col("_found").eqNullSafe(F.col("n_observations")),
+                F.concat(F.lit("row count differs from the manifest in "), F.col("_dir")),
+            )
         )
     )
     earlier = Window.orderBy("shard", "_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = checked.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    offsets = checked.select("_file", "shard", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
     if len(stored.inputFiles()) <= MAX_BROADCAST_FILES:
         offsets = F.broadcast(offsets)
     numbered = scan.join(offsets, "_file").withColumn("row_id", F.col("_first") + F.col("_index"))
@@ -149,6 +167,49 @@ def wide_scan_split(wide: DataFrame) -> DataFrame:
     return wide.select(F.array(*genes).alias("x"), F.col(label).alias("label"))
 
 
+def row_group_scan(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a Parquet directory with their place, row groups of any size.
+
+    Adds ``row_id`` (position in file name order), ``group_id`` (row group in the
+    same order) and ``pos`` (position in the row group) before the stored
+    columns. Places come from the footers; rows are numbered where they are read.
+    """
+    by_file = Window.partitionBy("_name").orderBy("row_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = (
+        row_groups(spark, path)
+        .withColumn("_name", F.regexp_extract("path", "([^/]+)$", 1))
+        .withColumn("_start", F.coalesce(F.sum("n_rows").over(by_file), F.lit(0)))
+    )
+    files = groups.groupBy("_name").agg(
+        F.sort_array(F.collect_list("_start")).alias("_starts"), F.sum("n_rows").alias("_rows")
+    )
+    earlier = Window.orderBy("_name").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select(
+        "_name",
+        "_starts",
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_first_row"),
+        F.coalesce(F.sum(F.size("_starts").cast("bigint")).over(earlier), F.lit(0)).alias("_first_group"),
+    )
+    stored = spark.read.parquet(path)
+    if len(stored.inputFiles()) <= MAX_BROADCAST_FILES:
+        files = F.broadcast(files)
+    scan = stored.select(
+        "*",
+        F.regexp_extract("_metadata.file_path", "([^/]+)$", 1).alias("_name"),
+        F.col("_metadata.row_index").alias("_index"),
+    )
+    index = F.col("_index")
+    placed = scan.join(files, "_name").withColumn(
+        "_nth", F.size(F.filter("_starts", lambda start: start <= index))
+    )
+    return placed.select(
+        (F.col("_first_row") + index).alias("row_id"),
+        (F.col("_first_group") + F.col("_nth") - 1).alias("group_id"),
+        (index - F.element_at("_starts", F.col("_nth"))).alias("pos"),
+        *stored.columns,
+    )
+
+
 def list_column_scan(spark: SparkSession, path: str, n_var: int) -> DataFrame:
     """Dense rows from a list column; a row of another length fails the job."""
     if n_var > MAX_LIST_VALUES:

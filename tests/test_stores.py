@@ -203,7 +203,7 @@ def test_concat_numbers_rows_across_shards(spark, store):
     assert labels == {i: "abc"[i % 3] for i in range(40)}
     assert scans.concat_scan(spark, manifest, "m", schema, 2).agg(F.max("row_id")).first()[0] == 31
     wrong = manifest.withColumn("n_observations", F.col("n_observations") + (F.col("shard_ord") == 1).cast("int"))
-    with pytest.raises(Exception, match="differs from the manifest in shard 1"):
+    with pytest.raises(Exception, match="differs from the manifest in shard=1"):
         scans.concat_scan(spark, wrong, "m", schema).collect()
 
 
