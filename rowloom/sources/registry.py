@@ -19,11 +19,12 @@ def unique_lookup(df: DataFrame, condition: Column, required: bool = True) -> Da
     found = df.filter(condition).limit(2)
     record = F.struct(*[F.col(c) for c in df.columns])
     checked = found.agg(F.count(F.lit(1)).alias("_n"), F.first(record).alias("_r"))
-    most = F.col("_n") <= 1
-    wanted = most & (F.col("_n") >= 1) if required else most
-    checked = checked.filter(
-        ensure(wanted, F.concat(F.lit("exactly one record expected, found at least "), F.col("_n").cast("string")))
-    ).filter(F.col("_n") == 1)
+    several = F.concat(F.lit("exactly one record expected, found at least "), F.col("_n").cast("string"))
+    # One predicate: a second filter on the count would let the optimizer fold the check away.
+    one = F.when(F.col("_n") == 1, F.lit(True))
+    if not required:
+        one = one.when(F.col("_n") == 0, F.lit(False))
+    checked = checked.filter(one.otherwise(F.raise_error(several).cast("boolean")))
     return checked.select("_r.*")
 
 

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom import schemas
-from rowloom.functions.scalars import ensure
 from rowloom.operators.layouts import MAX_LIST_VALUES, dense_length_check, label_path, row_groups
 from rowloom.sources.registry import collection
+from rowloom.workdir import settle
 
 # A collection has at most this many numbered shards.
 MAX_NUMBERED_SHARDS = 48
@@ -68,7 +68,7 @@ def concat_listed(spark: SparkSession, shards: DataFrame, schema: T.StructType)
 
     Rows are numbered where they are read, from the file's row index and the rows
     in earlier files, so no row moves. A shard of several files counts them in
-    name order. A shard whose row count is not the registered one fails the job.
+    name order. A shard whose row count is not the registered one is an error.
     """
     paths = [r.path for r in shards.orderBy("shard_ord").select("path").collect()]
     if not paths:
@@ -80,7 +80,7 @@ def concat_listed(spark: SparkSession, shards: DataFrame, schema: T.StructType)
     scan = stored.select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index")
     )
-    files = (
+    counted = (
         scan.groupBy("_file")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_dir", F.regexp_extract("_file", "([^/]+)/[^/]+$", 1))
@@ -88,19 +88,23 @@ def concat_listed(spark: SparkSession, shards: DataFrame, schema: T.StructType)
     registered = shards.select(
         F.col("shard_ord").alias("shard"), "n_observations", F.regexp_extract("path", "([^/]+)/*$", 1).alias("_dir")
     )
-    found = F.coalesce(F.sum("_n").over(Window.partitionBy("_dir")), F.lit(0))
-    checked = (
-        files.join(registered, "_dir", "full")
-        .withColumn("_found", found)
-        .filter(
-            ensure(
-                F.col("_found").eqNullSafe(F.col("n_observations")),
-                F.concat(F.lit("row count differs from the manifest in "), F.col("_dir")),
-            )
-        )
+    # One line per file, written once: the check and the offsets both read it.
+    files = settle(counted.join(registered, "_dir", "full"), "files")
+    wrong = (
+        files.groupBy("_dir", "n_observations")
+        .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("found"))
+        .filter(~F.col("found").eqNullSafe(F.col("n_observations")))
+        .head(1)
     )
+    if wrong:
+        raise ValueError(
+            f"row count differs from the manifest in {wrong[0]._dir}: "
+            f"{wrong[0].found} stored, {wrong[0].n_observations} registered"
+        )
     earlier = Window.orderBy("shard", "_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = checked.select("_file", "shard", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    offsets = files.filter(F.col("_file").isNotNull()).select(
+        "_file", "shard", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first")
+    )
     if len(stored.inputFiles()) <= MAX_BROADCAST_FILES:
         offsets = F.broadcast(offsets)
     numbered = scan.join(offsets, "_file").withColumn("row_id", F.col("_first") + F.col("_index"))

@@ -203,8 +203,15 @@ def test_concat_numbers_rows_across_shards(spark, store):
     assert labels == {i: "abc"[i % 3] for i in range(40)}
     assert scans.concat_scan(spark, manifest, "m", schema, 2).agg(F.max("row_id")).first()[0] == 31
     wrong = manifest.withColumn("n_observations", F.col("n_observations") + (F.col("shard_ord") == 1).cast("int"))
-    with pytest.raises(Exception, match="differs from the manifest in shard=1"):
-        scans.concat_scan(spark, wrong, "m", schema).collect()
+    with pytest.raises(ValueError, match="manifest in shard=1: 16 stored, 17 registered"):
+        scans.concat_scan(spark, wrong, "m", schema)
+    empty = workdir.fresh_path(spark, "other") + "/shard=3"
+    spark.range(0).select(F.col("id").alias("row_id")).write.parquet(empty)
+    gone = manifest.union(
+        manifest.filter("shard_ord = 2").withColumns({"shard_ord": F.lit(3), "path": F.lit(empty)})
+    )
+    with pytest.raises(ValueError, match="manifest in shard=3: 0 stored, 8 registered"):
+        scans.concat_scan(spark, gone, "m", schema)
 
 
 def test_numbered_shards(spark, store):
