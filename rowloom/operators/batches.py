@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.functions.scalars import budget, ensure
-from rowloom.operators.ordering import global_order_in_runs
+from rowloom.operators.ordering import permutation_in_runs
 
 
 def x_label_join(x: DataFrame, obs: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -38,6 +38,14 @@ def materialise(plan: DataFrame, x_row: DataFrame, obs: DataFrame | None = None,
     return rows if obs is None else x_label_join(rows, obs, labels)
 
 
+def in_batches(ordered: DataFrame, batch_size: int) -> DataFrame:
+    """Cut rows with a global position ``ord`` into ``(batch_id, pos)``."""
+    size = F.lit(batch_size).cast("bigint")
+    return ordered.withColumns(
+        {"batch_id": F.call_function("div", F.col("ord"), size), "pos": F.col("ord") % size}
+    ).drop("ord")
+
+
 def shuffled_batches(
     x_row: DataFrame,
     batch_size: int,
@@ -53,11 +61,8 @@ def shuffled_batches(
     these move once, and all rows of a batch and its ``run`` end in one task.
     Group by ``run`` and ``batch_id`` to use that.
     """
-    placed = global_order_in_runs(x_row, batch_size * batches_per_run, seed=seed, epochs=epochs, digits=digits)
-    size = F.lit(batch_size).cast("bigint")
-    return placed.withColumns(
-        {"batch_id": F.call_function("div", F.col("ord"), size), "pos": F.col("ord") % size}
-    ).drop("ord")
+    run_rows = batch_size * batches_per_run
+    return in_batches(permutation_in_runs(x_row, run_rows, seed=seed, epochs=epochs, digits=digits), batch_size)
 
 
 def row_budget(plan: DataFrame, n_samples: int, n_collection: Column, batch_size: int) -> DataFrame:

@@ -56,19 +56,14 @@ def batch_sequential(
     return _cut(rows.withColumn("ord", F.col("row_id")), rows, batch_size, drop_last, n_rows)
 
 
-def _permutation_keys(rows: DataFrame, seed: int | str, epochs: int | None, digits: int) -> DataFrame:
-    return (
-        with_epochs(rows, epochs)
-        .withColumn("_key", seeded_hex(_seed(seed, epochs), "", F.col("row_id")))
-        .withColumn("_part", hex_bucket(F.col("_key"), digits))
-    )
+def _with_key(rows: DataFrame, hex_key: Column, digits: int) -> DataFrame:
+    return rows.withColumn("_key", hex_key).withColumn("_part", hex_bucket(F.col("_key"), digits))
 
 
-def _global_order(
-    rows: DataFrame, seed: int | str, epochs: int | None, digits: int
-) -> DataFrame:
+def _placed(rows: DataFrame, hex_key: Column, epochs: int | None, digits: int) -> DataFrame:
+    """Rows with their key, its bucket and their place ``ord`` in (key, row_id) order."""
     return with_ordinal(
-        _permutation_keys(rows, seed, epochs, digits),
+        _with_key(with_epochs(rows, epochs), hex_key, digits),
         order_by=["_key", "row_id"],
         bucket=F.col("_part"),
         groups=_epoch_columns(epochs),
@@ -84,45 +79,8 @@ def global_order(
     ``digits`` sets the number of md5 buckets: 3 (4,096) up to about a billion
     rows, 4 (65,536) above.
     """
-    return _global_order(rows, seed, epochs, digits).drop("_key", "_part")
-
-
-def global_order_in_runs(
-    rows: DataFrame,
-    run_rows: int,
-    *,
-    seed: int | str = 42,
-    epochs: int | None = None,
-    digits: int = 3,
-    n_rows: int | None = None,
-) -> DataFrame:
-    """``global_order`` for wide payload: also adds ``run``, which is ``ord div run_rows``.
-
-    The permutation is computed on ids first. The key of the first row of each
-    run then tells every payload row its run where it is read, so the payload is
-    exchanged once and whole runs arrive in one task. Grouping by ``run`` and
-    anything finer, such as the batches in it, needs no further exchange.
-    """
-    epoch = _epoch_columns(epochs)
-    total = rows.count() if n_rows is None else n_rows
-    n_runs = -(-total // run_rows) * (epochs or 1)
-
-    placed = _global_order(rows.select("row_id"), seed, epochs, digits)
-    first = F.when(F.col("ord") % run_rows == 0, F.struct("_key", "row_id"))
-    parts = placed.groupBy(*epoch, "_part").agg(
-        (_div(F.min("ord") + (run_rows - 1), run_rows) - 1).alias("_run_before"),
-        F.sort_array(F.collect_list(first)).alias("_firsts"),
-    )
-    if max(n_runs, 16**digits * (epochs or 1)) <= MAX_BROADCAST_OFFSETS:
-        parts = F.broadcast(parts)
-    keyed = _permutation_keys(rows, seed, epochs, digits)
-    here = F.struct("_key", "row_id")
-    passed = F.size(F.filter("_firsts", lambda mark: mark <= here))
-    with_run = keyed.join(parts, [*epoch, "_part"], "left").withColumn("run", F.col("_run_before") + passed)
-    inside = Window.partitionBy(*epoch, "run").orderBy("_key", "row_id")
-    return with_run.withColumn(
-        "ord", (F.col("run") * run_rows + F.row_number().over(inside) - 1).cast("bigint")
-    ).drop("_key", "_part", "_run_before", "_firsts")
+    key = seeded_hex(_seed(seed, epochs), "", F.col("row_id"))
+    return _placed(rows, key, epochs, digits).drop("_key", "_part")
 
 
 def global_permutation(
@@ -167,17 +125,8 @@ def block_shuffle(
     """
     fetch_rows = batch_size * fetch_factor
     epoch = _epoch_columns(epochs)
-    blocked = (
-        with_epochs(rows, epochs)
-        .withColumn("_key", seeded_hex(_seed(seed, epochs), "b", _div(F.col("row_id"), block_size)))
-    )
-    placed = with_ordinal(
-        blocked,
-        order_by=["_key", "row_id"],
-        bucket=hex_bucket(F.col("_key"), digits),
-        groups=epoch,
-        max_offsets=16**digits * (epochs or 1),
-    ).drop("_key")
+    key = seeded_hex(_seed(seed, epochs), "b", _div(F.col("row_id"), block_size))
+    placed = _placed(rows, key, epochs, digits).drop("_key", "_part")
     fetched = placed.withColumn("_fetch", _div(F.col("ord"), fetch_rows)).withColumn(
         "_key", seeded_hex(_seed(seed, epochs), "r", F.col("row_id"))
     )
@@ -194,18 +143,15 @@ def _chunk_places(
     Works on one row per chunk; the counts are combined on the map side.
     """
     chunks = rows.groupBy(chunk.alias("_chunk")).agg(F.count(F.lit(1)).alias("_size"))
-    keyed = (
-        with_epochs(chunks, epochs)
-        .withColumn("_key", seeded_hex(_seed(seed, epochs), tag, F.col("_chunk")))
-    )
+    keyed = _with_key(with_epochs(chunks, epochs), seeded_hex(_seed(seed, epochs), tag, F.col("_chunk")), digits)
     return with_ordinal(
         keyed,
         order_by=["_key", "_chunk"],
-        bucket=hex_bucket(F.col("_key"), digits),
+        bucket=F.col("_part"),
         groups=_epoch_columns(epochs),
         weight="_size",
         max_offsets=16**digits * (epochs or 1),
-    ).drop("_key", "_size")
+    ).drop("_size")
 
 
 def chunk_window_shuffle(
@@ -230,7 +176,7 @@ def chunk_window_shuffle(
     """
     epoch = _epoch_columns(epochs)
     places = _chunk_places(rows, _div(F.col(key), chunk_size), "c", seed, epochs, digits)
-    windows = places.withColumn("_window", _div(F.col("ord"), preload_nchunks)).drop("ord")
+    windows = places.withColumn("_window", _div(F.col("ord"), preload_nchunks)).drop("ord", "_key", "_part")
     windows = windows.withColumn(
         "_first", F.min("start").over(Window.partitionBy(*epoch, "_window"))
     ).drop("start")
@@ -301,7 +247,7 @@ def group_shuffle(
     rows: DataFrame, group: str, *, seed: int | str = 42, epochs: int | None = None, digits: int = 3
 ) -> DataFrame:
     """Groups of rows in random order: ``batch_id`` is the place of the row's group."""
-    places = _chunk_places(rows, F.col(group), "g", seed, epochs, digits).drop("start")
+    places = _chunk_places(rows, F.col(group), "g", seed, epochs, digits).drop("start", "_key", "_part")
     return (
         rows.join(places, F.col(group) == F.col("_chunk")).drop("_chunk", group).withColumnRenamed("ord", "batch_id")
     )
@@ -323,3 +269,129 @@ def row_group_shuffle(
         }
     )
     return group_shuffle(grouped, "_group", seed=seed, epochs=epochs, digits=digits)
+
+
+# --- wide rows -------------------------------------------------------------
+#
+# The orders above number ids. To bring counts along, rows are sent straight to
+# a run of consecutive places: the key of the first row (or chunk) of each run is
+# known from ids alone, and comparing with it tells every row its run where it is
+# read. The payload is exchanged once and whole runs arrive in one task.
+
+
+def _into_runs(rows: DataFrame, firsts: DataFrame, tie: str, n_runs: int, epochs: int | None, digits: int) -> DataFrame:
+    """Add ``run`` and ``_run_start`` to keyed rows.
+
+    ``firsts`` holds placed rows or chunks with ``_run``, the first place in it
+    ``_run_start`` and ``_is_first``. Each md5 bucket lists the runs that begin in
+    it, after the one that is open when it begins.
+    """
+    epoch = _epoch_columns(epochs)
+    mark = F.struct("_key", F.col(tie).alias("_tie"), "_run", "_run_start")
+    opened = F.struct(F.lit("").alias("_key"), F.col(tie).alias("_tie"), "_run", "_run_start")
+    marks = F.concat(
+        F.array(F.min_by(opened, "ord")), F.sort_array(F.collect_list(F.when(F.col("_is_first"), mark)))
+    )
+    parts = firsts.groupBy(*epoch, "_part").agg(marks.alias("_marks"))
+    if max(n_runs, 16**digits * (epochs or 1)) <= MAX_BROADCAST_OFFSETS:
+        parts = F.broadcast(parts)
+    here = F.struct(F.col("_key"), F.col(tie).alias("_tie"))
+    passed = F.filter("_marks", lambda m: F.struct(m["_key"], m["_tie"]) <= here)
+    return (
+        rows.join(parts, [*epoch, "_part"], "left")
+        .withColumn("_at", F.element_at(passed, -1))
+        .withColumns({"run": F.col("_at._run"), "_run_start": F.col("_at._run_start")})
+        .drop("_marks", "_at", "_part")
+    )
+
+
+def _row_runs(
+    rows: DataFrame, hex_key: Column, run_rows: int, epochs: int | None, digits: int, n_rows: int | None
+) -> DataFrame:
+    """Keyed rows sent to runs of ``run_rows`` places in (key, row_id) order."""
+    total = rows.count() if n_rows is None else n_rows
+    firsts = _placed(rows.select("row_id"), hex_key, epochs, digits).withColumns(
+        {"_run": _div(F.col("ord"), run_rows), "_is_first": F.col("ord") % run_rows == 0}
+    )
+    firsts = firsts.withColumn("_run_start", F.col("_run") * run_rows)
+    keyed = _with_key(with_epochs(rows, epochs), hex_key, digits)
+    return _into_runs(keyed, firsts, "row_id", -(-total // run_rows) * (epochs or 1), epochs, digits)
+
+
+def _ordered_in_runs(rows: DataFrame, order_by: list[str], epochs: int | None) -> DataFrame:
+    inside = Window.partitionBy(*_epoch_columns(epochs), "run").orderBy(*order_by)
+    return rows.withColumn("ord", (F.col("_run_start") + F.row_number().over(inside) - 1).cast("bigint"))
+
+
+def permutation_in_runs(
+    rows: DataFrame,
+    run_rows: int,
+    *,
+    seed: int | str = 42,
+    epochs: int | None = None,
+    digits: int = 3,
+    n_rows: int | None = None,
+) -> DataFrame:
+    """``global_order`` of wide rows: ``ord``, and ``run`` which is ``ord div run_rows``.
+
+    Grouping by ``run`` and anything inside it, such as batches of a divisor of
+    ``run_rows``, needs no further exchange.
+    """
+    key = seeded_hex(_seed(seed, epochs), "", F.col("row_id"))
+    sent = _row_runs(rows, key, run_rows, epochs, digits, n_rows)
+    return _ordered_in_runs(sent, ["_key", "row_id"], epochs).drop("_key", "_run_start")
+
+
+def blocks_in_runs(
+    rows: DataFrame,
+    batch_size: int,
+    *,
+    block_size: int = 4,
+    fetch_factor: int = 16,
+    seed: int | str = 42,
+    epochs: int | None = None,
+    digits: int = 3,
+    n_rows: int | None = None,
+) -> DataFrame:
+    """The order of ``block_shuffle`` for wide rows; a ``run`` is a fetch, of whole batches."""
+    key = seeded_hex(_seed(seed, epochs), "b", _div(F.col("row_id"), block_size))
+    sent = _row_runs(rows, key, batch_size * fetch_factor, epochs, digits, n_rows)
+    inner = sent.withColumn("_key", seeded_hex(_seed(seed, epochs), "r", F.col("row_id")))
+    return _ordered_in_runs(inner, ["_key", "row_id"], epochs).drop("_key", "_run_start")
+
+
+def chunk_windows_in_runs(
+    rows: DataFrame,
+    *,
+    chunk_size: int = 256,
+    preload_nchunks: int = 8,
+    windows_per_run: int = 32,
+    seed: int | str = 42,
+    epochs: int | None = None,
+    digits: int = 3,
+    n_rows: int | None = None,
+) -> DataFrame:
+    """The order of ``chunk_window_shuffle`` for wide rows; a ``run`` is some windows.
+
+    Only chunks are numbered ahead, no ids are shuffled. A short chunk moves
+    batches against windows, so a batch may lie in two runs: group by ``batch_id``.
+    """
+    epoch = _epoch_columns(epochs)
+    chunks_per_run = preload_nchunks * windows_per_run
+    chunk = _div(F.col("row_id"), chunk_size)
+    total = rows.count() if n_rows is None else n_rows
+    places = _chunk_places(rows, chunk, "c", seed, epochs, digits).withColumns(
+        {"_run": _div(F.col("ord"), chunks_per_run), "_is_first": F.col("ord") % chunks_per_run == 0}
+    )
+    firsts = places.withColumn("_run_start", F.min("start").over(Window.partitionBy(*epoch, "_run")))
+    chunked = with_epochs(rows, epochs).withColumn("_chunk", chunk)
+    keyed = _with_key(chunked, seeded_hex(_seed(seed, epochs), "c", F.col("_chunk")), digits)
+    n_runs = -(-total // (chunk_size * chunks_per_run)) * (epochs or 1)
+    sent = _into_runs(keyed, firsts, "_chunk", n_runs, epochs, digits)
+    nth_chunk = F.dense_rank().over(Window.partitionBy(*epoch, "run").orderBy("_key", "_chunk")) - 1
+    inner = sent.withColumn("_window", _div(nth_chunk.cast("bigint"), preload_nchunks)).withColumn(
+        "_key", seeded_hex(_seed(seed, epochs), "r", F.col("row_id"))
+    )
+    return _ordered_in_runs(inner, ["_window", "_key", "row_id"], epochs).drop(
+        "_key", "_run_start", "_chunk", "_window"
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.operators.layouts import ROW_GROUP_ROWS, densify
-from rowloom.operators.ordering import global_order_in_runs
+from rowloom.operators.ordering import permutation_in_runs
 from rowloom.operators.slicing import gene_subset_rows
 
 
@@ -61,7 +61,7 @@ def reshard_shuffled(
     shards. With ``n_var`` rows are made dense after the exchange.
     """
     run_rows = _file_rows(shard_rows, rows_per_file)
-    placed = global_order_in_runs(rows, run_rows, seed=seed, digits=digits).drop("run")
+    placed = permutation_in_runs(rows, run_rows, seed=seed, digits=digits).drop("run")
     renamed = placed.withColumnsRenamed({"row_id": "source_row_id", "ord": "row_id"})
     _write_shards(renamed.withColumn("shard", _shard(shard_rows)), path, chunk_rows, compression, n_var, run_rows)
 

@@ -74,22 +74,27 @@ def loading_run(
     rows = registry.collection_scan(spark, manifest, collection_key, schema, n_datasets).drop("shard")
     if not include_obs:
         rows = rows.select(*[c for c in schemas.X_ROW.fieldNames() if c in rows.columns])
-    common = {"seed": seed, "drop_last": False}
     size = sized.batch_size
     if method == "permutation":
-        loaded = batches.shuffled_batches(rows, size, batches_per_run=max(1, RUN_ROWS // size), seed=seed)
+        ordered = ordering.permutation_in_runs(
+            rows, size * max(1, RUN_ROWS // size), seed=seed, n_rows=sized.n_samples
+        )
     elif method == "block":
-        plan = ordering.block_shuffle(
-            rows.select("row_id"), size, block_size=block_size, fetch_factor=fetch_factor, **common
+        ordered = ordering.blocks_in_runs(
+            rows, size, block_size=block_size, fetch_factor=fetch_factor, seed=seed, n_rows=sized.n_samples
         )
-        loaded = batches.materialise(plan, rows)
     elif method == "chunk_window":
-        plan = ordering.chunk_window_shuffle(
-            rows.select("row_id"), size, chunk_size=chunk_size, preload_nchunks=preload_nchunks, **common
+        ordered = ordering.chunk_windows_in_runs(
+            rows,
+            chunk_size=chunk_size,
+            preload_nchunks=preload_nchunks,
+            windows_per_run=max(1, RUN_ROWS // (chunk_size * preload_nchunks)),
+            seed=seed,
+            n_rows=sized.n_samples,
         )
-        loaded = batches.materialise(plan, rows)
     else:
         raise ValueError(f"method must be chunk_window, permutation or block, not {method!r}")
+    loaded = batches.in_batches(ordered, size).drop("run")
     return LoadingRun(
         method=method,
         collection_key=collection_key,

@@ -155,15 +155,50 @@ def test_number_of_buckets_does_not_change_the_order(spark, digits):
 @pytest.mark.parametrize("digits", [1, 3])
 def test_runs_follow_the_permutation(spark, n, run, digits):
     rows = ids_frame(spark, range(n)).withColumn("payload", F.col("row_id") * 10)
-    placed = ordering.global_order_in_runs(rows, run, digits=digits)
+    placed = ordering.permutation_in_runs(rows, run, digits=digits)
     want = sorted((i // run, i, r, r * 10) for i, r in enumerate(permuted(range(n))))
     assert collected(placed, "run", "ord", "row_id", "payload") == want
 
 
+@pytest.mark.parametrize("n", [1, 37, 1000, 1001])
+@pytest.mark.parametrize("digits", [1, 3])
+def test_blocks_in_runs_follow_the_block_order(spark, n, digits):
+    placed = ordering.blocks_in_runs(ids_frame(spark, range(n)), 16, block_size=5, fetch_factor=3, digits=digits)
+    want = sorted((i // 48, i, r) for i, r in enumerate(block_order(range(n), 5, 48)))
+    assert collected(placed, "run", "ord", "row_id") == want
+
+
+@pytest.mark.parametrize("n", [1, 37, 1000, 1003])
+@pytest.mark.parametrize("digits", [1, 3])
+def test_chunk_windows_in_runs_follow_the_chunk_order(spark, n, digits):
+    placed = ordering.chunk_windows_in_runs(
+        ids_frame(spark, range(n)), chunk_size=10, preload_nchunks=3, windows_per_run=4, digits=digits
+    )
+    want = sorted((i, r) for i, r in enumerate(chunk_order(range(n), 10, 3)))
+    assert collected(placed, "ord", "row_id") == want
+
+
+def test_runs_of_rows_with_gaps(spark):
+    ids = [3 * i * i for i in range(300)]
+    frame = ids_frame(spark, ids)
+    placed = ordering.chunk_windows_in_runs(frame, chunk_size=50, preload_nchunks=3, windows_per_run=2)
+    assert collected(placed, "ord", "row_id") == list(enumerate(chunk_order(ids, 50, 3)))
+    assert collected(ordering.permutation_in_runs(frame, 32), "ord", "row_id") == list(enumerate(permuted(ids)))
+
+
 def test_runs_of_epochs(spark):
-    placed = ordering.global_order_in_runs(ids_frame(spark, range(300)), 32, epochs=2)
-    want = sorted((e, i // 32, i, r) for e in range(2) for i, r in enumerate(permuted(range(300), f"42:{e}")))
-    assert collected(placed, "epoch", "run", "ord", "row_id") == want
+    frame = ids_frame(spark, range(300))
+    seeds = [f"42:{e}" for e in range(2)]
+    for placed, order in (
+        (ordering.permutation_in_runs(frame, 32, epochs=2), lambda s: permuted(range(300), s)),
+        (ordering.blocks_in_runs(frame, 8, epochs=2), lambda s: block_order(range(300), 4, 128, s)),
+        (
+            ordering.chunk_windows_in_runs(frame, chunk_size=20, preload_nchunks=2, windows_per_run=2, epochs=2),
+            lambda s: chunk_order(range(300), 20, 2, s),
+        ),
+    ):
+        want = sorted((e, i, r) for e, s in enumerate(seeds) for i, r in enumerate(order(s)))
+        assert collected(placed, "epoch", "ord", "row_id") == want
 
 
 def test_sorted_within_batch(spark):

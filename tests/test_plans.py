@@ -5,8 +5,8 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from rowloom.operators import batches, ordering
-from rowloom.plans import fixtures
+from rowloom.operators import ordering
+from rowloom.plans import fixtures, loading
 
 QUERIES = entry.queries()
 
@@ -41,14 +41,22 @@ def test_sequential_batches_do_not_shuffle(spark, sf_dir):
 
 
 def test_payload_of_shuffled_batches_is_exchanged_once(spark, sf_dir):
-    rows = fixtures.stored_rows(spark, sf_dir).select("row_id", "indices", "values")
     text = plan_of(QUERIES["batch_callback"](spark, sf_dir))
     main = text.split("BroadcastExchange")[0]
     assert main.count("Exchange hashpartitioning") == 1
     # Only ids are read for the permutation itself.
-    assert text.count("indices#") and text.count("FileScan parquet [row_id") == 3
     assert len(re.findall(r"FileScan parquet \[row_id#\d+L,indices", text)) == 1
-    assert batches.shuffled_batches(rows, 128).columns == ["row_id", "indices", "values", "run", "batch_id", "pos"]
+    assert len(re.findall(r"FileScan parquet \[row_id", text)) == 3
+
+
+@pytest.mark.parametrize("method", ["permutation", "block", "chunk_window"])
+def test_payload_of_a_loading_run_is_exchanged_once(spark, sf_dir, method):
+    store = fixtures.sharded_store(spark, sf_dir)
+    run = loading.loading_run(spark, store.manifest, fixtures.COLLECTION, store.schema, method, n_datasets=-1)
+    text = plan_of(run.batches)
+    main = text.split("BroadcastExchange")[0]
+    assert main.count("Exchange hashpartitioning") == 1
+    assert len(re.findall(r"FileScan parquet \[row_id#\d+L,indices", text)) == 1
 
 
 def test_subset_of_sparse_rows_does_not_move_them(spark, sf_dir):
