@@ -20,7 +20,10 @@ from rowloom.plans import fixtures
 from rowloom.plans.queries import QUERIES
 
 HEADLINE = [
-    "census_batches",
+    "subset_batches",
+    "loading_run_permutation",
+    "loading_run_block",
+    "loading_run_chunk_window",
     "batch_sequential",
     "global_permutation",
     "sorted_within_batch",
@@ -47,6 +50,9 @@ HEADLINE = [
 ]
 # Rows each loading query puts in batches, in passes over the row table.
 LOADING = {
+    "loading_run_permutation": 1,
+    "loading_run_block": 1,
+    "loading_run_chunk_window": 1,
     "batch_sequential": 1,
     "global_permutation": 1,
     "block_shuffle": 1,

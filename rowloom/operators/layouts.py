@@ -12,11 +12,12 @@ from pyspark.sql import types as T
 
 from rowloom import schemas
 from rowloom.functions.scalars import ensure, gigabytes
+from rowloom.workdir import settle
 
 # Longest fixed-length list a dense store may hold.
 MAX_LIST_VALUES = 20_000
 # Wide tables cost one column per variable at planning time.
-MAX_WIDE_COLUMNS = 4_000
+MAX_WIDE_COLUMNS = 5_000
 # Dense cells per Arrow batch handed back to Spark (16 MiB of float32).
 DENSE_BATCH_CELLS = 4_194_304
 # Largest category code per stored integer type.
@@ -110,25 +111,38 @@ def label_codes(
 ) -> DataFrame:
     """Add integer codes of a category column: categories sorted, null is -1.
 
-    Codes above what ``code_type`` holds fail the job. The type also bounds the
-    categories table; it is read up to one past the bound, so the small types
-    are safe to broadcast.
+    Codes above what ``code_type`` holds fail the job. The small types also bound
+    the categories table, which is read up to one past the bound and broadcast.
+    For ``int`` the categories are sorted into a table and numbered by their place
+    in its files, so any number of them works.
     """
     values = obs.select(F.col(label).alias("_category")).filter(F.col("_category").isNotNull()).distinct()
-    bound = MAX_CODE.get(code_type)
-    if bound is not None:
-        values = values.limit(bound + 2)
-    rank = F.dense_rank().over(Window.orderBy("_category")) - 1
-    codes = values.select("_category", rank.alias("_code"))
-    if bound is not None:
+    if code_type in MAX_CODE:
+        bound = MAX_CODE[code_type]
+        rank = F.dense_rank().over(Window.orderBy("_category")) - 1
+        codes = values.limit(bound + 2).select("_category", rank.alias("_code"))
         codes = codes.filter(ensure(F.col("_code") <= bound, f"too many categories for {code_type} codes"))
         codes = F.broadcast(codes)
+    else:
+        codes = _places_in_files(settle(values.orderBy("_category"), "categories"), "_code")
     coded = obs.join(codes, F.col(label) == F.col("_category"), "left")
     return coded.select(
         *[F.col(c) for c in obs.columns], F.coalesce("_code", F.lit(-1)).cast(code_type).alias(name)
     )
 
 
+def _places_in_files(stored: DataFrame, name: str) -> DataFrame:
+    """Rows of a Parquet table numbered from 0 in file name and row order."""
+    scan = stored.select(
+        "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index")
+    )
+    earlier = Window.orderBy("_from_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = scan.groupBy(F.col("_file").alias("_from_file")).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = files.select("_from_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    numbered = scan.join(offsets, F.col("_file") == F.col("_from_file"))
+    return numbered.select(*[F.col(c) for c in stored.columns], (F.col("_first") + F.col("_index")).alias(name))
+
+
 # --- writers ---------------------------------------------------------------
 
 

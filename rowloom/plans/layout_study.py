@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom import schemas
-from rowloom.operators import layouts, metrics, ordering
+from rowloom.operators import layouts, metrics, ordering, slicing
 from rowloom.sources import scans
+from rowloom.workdir import settle
 
 # Rows of a chunk in the chunked layouts.
 CHUNK_ROWS = 128
@@ -19,6 +20,19 @@ ROW_GROUP_KINDS = ["parquet"]
 FILE_ORDER_KINDS = ["arrow", "polars"]
 
 
+def write_study(
+    x_row: DataFrame, obs: DataFrame, label: str, root: str, *, nrows: int | None = None, ncols: int = 5_000
+) -> None:
+    """Cut the first rows and variables of a matrix and write them in every layout.
+
+    The dense form is made once and written from there.
+    """
+    part = settle(slicing.head_slice(x_row.select("row_id", "indices", "values"), nrows, ncols), "study_rows")
+    codes = layouts.label_codes(obs.select("row_id", label), label, name="code").select("row_id", "code")
+    dense = settle(layouts.densify(part, ncols).join(codes, "row_id"), "study_dense")
+    write_layouts(part, dense, "code", ncols, root)
+
+
 def write_layouts(x_row: DataFrame, x_dense: DataFrame, label: str, n_var: int, root: str) -> None:
     """Write one matrix in every layout of the study under ``root``.
 

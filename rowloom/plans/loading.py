@@ -15,8 +15,15 @@ from rowloom.functions.scalars import budget, effective_batch
 from rowloom.operators import batches, ordering
 from rowloom.sources import registry
 
-# Rows of one exchange unit when wide rows are permuted.
-RUN_ROWS = 65_536
+# Rows of one exchange unit: at most this many, fewer so that small collections
+# still spread over some hundred units.
+MAX_RUN_ROWS = 65_536
+MIN_RUNS = 256
+
+
+def _per_run(n_rows: int, unit_rows: int) -> int:
+    """Batches or windows of ``unit_rows`` rows in one exchange unit."""
+    return max(1, min(MAX_RUN_ROWS, n_rows // MIN_RUNS) // unit_rows)
 
 
 @dataclass
@@ -77,7 +84,7 @@ def loading_run(
     size = sized.batch_size
     if method == "permutation":
         ordered = ordering.permutation_in_runs(
-            rows, size * max(1, RUN_ROWS // size), seed=seed, n_rows=sized.n_samples
+            rows, size * _per_run(sized.n_samples, size), seed=seed, n_rows=sized.n_samples
         )
     elif method == "block":
         ordered = ordering.blocks_in_runs(
@@ -88,7 +95,7 @@ def loading_run(
             rows,
             chunk_size=chunk_size,
             preload_nchunks=preload_nchunks,
-            windows_per_run=max(1, RUN_ROWS // (chunk_size * preload_nchunks)),
+            windows_per_run=_per_run(sized.n_samples, chunk_size * preload_nchunks),
             seed=seed,
             n_rows=sized.n_samples,
         )

@@ -98,7 +98,7 @@ with src as (select row_id, {_SHARD_ROWS} as size, (select max(o_orderkey) from
        union all select 'orders_chunked_mini', shard, row_id, nnz, total from whole where shard = 0)
 select collection_key, cast(shard as integer) as shard, row_id, cast(nnz as bigint) as nnz, total,
  cast(count(*) over (partition by collection_key, shard) as bigint) as n_observations from u""",
-    "census_batches": f"""
+    "subset_batches": f"""
 with p as (select row_id, cell_line,
   (row_number() over (order by md5(concat('42:', cast(row_id as varchar))), row_id) - 1) // 128 as b from ({_CELLS}) o),
  x as (select * from ({_COO}) c where var_id <= 999)

@@ -49,7 +49,7 @@ def _weighted(indices, values):
 
 
 @query
-def census_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def subset_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_summary(
         fx.obs(spark, sf_dir),
         fx.datasets_of(spark, sf_dir, REGION),

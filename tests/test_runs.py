@@ -150,3 +150,21 @@ def test_batches_of_layouts(spark, sf_dir):
             batches = layout_study.layout_batches(spark, name, paths[name], labels, "code", random=random)
             sizes = sorted(r["count"] for r in batches.groupBy("batch_id").count().collect())
             assert sizes == [116, 128, 128, 128], name
+
+
+def test_study_of_the_first_rows_and_variables(spark, sf_dir, store):
+    root = workdir.fresh_path(spark, "study")
+    rows = fixtures.stored_rows(spark, sf_dir)
+    layout_study.write_study(rows, rows, "cell_line", root, nrows=256, ncols=20)
+    paths = layout_study.layout_paths(root)
+    kept = {(r.row_id, i, v) for r in rows.collect() for i, v in zip(r.indices, r["values"]) if r.row_id < 256 and i < 20}
+    entries = spark.read.parquet(paths["soma_sp"])
+    assert {(r.row_id, r.var_id, r.value) for r in entries.collect()} == kept
+    assert spark.read.parquet(paths["h5py_sp"]).count() == 256
+    wide = spark.read.parquet(paths["parquet"])
+    assert wide.columns == [f"g{i}" for i in range(20)] + ["code"]
+    total = wide.select(sum(F.col(f"g{i}") for i in range(20)).alias("t")).agg(F.sum("t")).first()[0]
+    assert total == sum(v for _, _, v in kept)
+    assert spark.read.parquet(paths["zarr_dense"]).agg(F.max(F.size("x"))).first()[0] == 20
+    report = layouts.storage_report(spark, paths).collect()
+    assert len(report) == 13 and all(r.size > 0 and r.n_objects > 0 for r in report)

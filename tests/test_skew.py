@@ -38,7 +38,7 @@ NAMES = [
     "axis_query",
     "batch_callback",
     "batch_intervals",
-    "census_batches",
+    "subset_batches",
     "densify",
     "effective_batch",
     "gene_subset",
