@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,20 +34,21 @@ def sum_duplicates(entries: DataFrame) -> DataFrame:
     return entries.groupBy("row_id", "var_id").agg(F.sum(F.col("value").cast("double")).alias("value"))
 
 
-def assemble_rows(obs: DataFrame, x_coo: DataFrame) -> DataFrame:
+def assemble_rows(obs: DataFrame, x_coo: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Coordinate form to sparse rows; rows of ``obs`` without counts become ``[] / []``.
 
     ``x_coo`` holds one entry per (row, variable), so a group is never longer
-    than the variable axis, however many raw records a row has.
+    than the variable axis, however many raw records a row has. Columns of
+    ``obs`` in ``keep`` come along.
     """
     entry = F.struct(F.col("var_id").cast("int").alias("i"), F.col("value").cast("float").alias("v"))
     packed = x_coo.groupBy("row_id").agg(F.sort_array(F.collect_list(entry)).alias("_e"))
     no_entries = F.array().cast("array<struct<i:int,v:float>>")
     return (
-        obs.select("row_id")
+        obs.select("row_id", *keep)
         .join(packed, "row_id", "left")
         .withColumn("_e", F.coalesce("_e", no_entries))
-        .select("row_id", F.col("_e.i").alias("indices"), F.col("_e.v").alias("values"))
+        .select("row_id", F.col("_e.i").alias("indices"), F.col("_e.v").alias("values"), *keep)
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowloom import schemas
+from rowloom.workdir import settle
 
 # The layouts of the study. The kind is the text before the first
 # underscore; a layout is sparse when its name contains "sp".
@@ -54,11 +55,20 @@ def throughput(
         counted = counted.filter(F.col("batch_idx") < n_samples // batch_size + int(skip_first))
     if skip_first:
         counted = counted.filter(F.col("batch_idx") > 0)
-    totals = counted.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_batches"),
+    totals = counted.groupBy(*by).agg(*_totals(F.count(F.lit(1)), F.sum(F.col("seconds").cast(_SECONDS))))
+    return _rates(totals, *by)
+
+
+def _totals(n_batches: Column, seconds: Column) -> list[Column]:
+    """Batches, rows and seconds of a run, under the names ``_rates`` reads."""
+    return [
+        n_batches.cast("bigint").alias("n_batches"),
         F.sum("n_rows").cast("bigint").alias("n_rows"),
-        F.sum(F.col("seconds").cast(_SECONDS)).cast("double").alias("seconds"),
-    )
+        seconds.cast("double").alias("seconds"),
+    ]
+
+
+def _rates(totals: DataFrame, *by: str) -> DataFrame:
     return totals.select(
         *by,
         "n_batches",
@@ -148,22 +158,28 @@ def nested_results(log: DataFrame, batch_size: int = 1024, segment: int = 10_000
     """JSON lines ``{tool: {epoch_k: {time_per_sample, samples_per_sec, segment, batch_times}}}``.
 
     Batch times of an epoch are listed in order over as many lines as it has
-    segments of ``segment`` batches, so no list grows with the run.
+    segments of ``segment`` batches, so no list grows with the run. The log is
+    read once: the rates of an epoch come from the sums of its written segments.
     """
     timed = log.filter((F.col("n_rows") == batch_size) & (F.col("batch_idx") > 0))
     entry = F.struct("batch_idx", "seconds")
-    lists = timed.groupBy("tool", "epoch", F.floor(F.col("batch_idx") / segment).alias("segment")).agg(
-        F.transform(F.sort_array(F.collect_list(entry)), lambda s: s["seconds"].cast("double")).alias("batch_times")
+    segments = settle(
+        timed.groupBy("tool", "epoch", F.floor(F.col("batch_idx") / segment).alias("segment")).agg(
+            F.transform(F.sort_array(F.collect_list(entry)), lambda s: s["seconds"].cast("double")).alias("batch_times"),
+            F.count(F.lit(1)).alias("n_batches"),
+            F.sum("n_rows").cast("bigint").alias("n_rows"),
+            F.sum(F.col("seconds").cast(_SECONDS)).alias("seconds"),
+        ),
+        "segments",
     )
-    rates = throughput_epochs(log, batch_size).select(
-        F.col("tool").alias("_tool"), F.col("epoch").alias("_epoch"), "time_per_sample", "samples_per_sec"
+    totals = segments.groupBy(F.col("tool").alias("_tool"), F.col("epoch").alias("_epoch")).agg(
+        *_totals(F.sum("n_batches"), F.sum("seconds"))
     )
     same = F.col("tool").eqNullSafe(F.col("_tool")) & F.col("epoch").eqNullSafe(F.col("_epoch"))
+    lines = segments.select("tool", "epoch", "segment", "batch_times").join(_rates(totals, "_tool", "_epoch"), same)
     body = F.struct("time_per_sample", "samples_per_sec", "segment", "batch_times")
     epoch_key = F.concat(F.lit("epoch_"), F.col("epoch").cast("string"))
-    return lists.join(rates, same).select(
-        F.to_json(F.create_map("tool", F.create_map(epoch_key, body))).alias("value")
-    )
+    return lines.select(F.to_json(F.create_map("tool", F.create_map(epoch_key, body))).alias("value"))
 
 
 def write_nested_results(log: DataFrame, path: str, batch_size: int = 1024, segment: int = 10_000) -> None:

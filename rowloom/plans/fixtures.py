@@ -177,8 +177,9 @@ def sharded_store(spark: SparkSession, sf_dir: str) -> Store:
     size = shard_rows(spark, sf_dir)
 
     def write(path: str) -> None:
-        labels = row_labels(spark, sf_dir)
-        rows = layouts.assemble_rows(labels, x_coo(spark, sf_dir)).join(labels, "row_id")
+        rows = layouts.assemble_rows(
+            row_labels(spark, sf_dir), x_coo(spark, sf_dir), keep=["cell_line", "cell_states"]
+        )
         reshard.reshard_ordered(
             schemas.conform(rows, STORE_SCHEMA),
             path,
