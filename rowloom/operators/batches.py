@@ -53,7 +53,7 @@ def shuffled_batches(
     batches_per_run: int = 64,
     seed: int | str = 42,
     epochs: int | None = None,
-    digits: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """Rows of X, with any labels they carry, as seeded random batches.
 

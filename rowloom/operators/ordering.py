@@ -28,6 +28,13 @@ def _div(value: Column, size: int) -> Column:
     return F.call_function("div", value, F.lit(size).cast("bigint"))
 
 
+def _digits(digits: int | None, n_rows: int | None) -> int:
+    """Hex digits of the md5 bucket: 4,096 buckets, or 65,536 above a billion rows."""
+    if digits is not None:
+        return digits
+    return 4 if n_rows is not None and n_rows > 1_000_000_000 else 3
+
+
 def _epoch_columns(epochs: int | None) -> list[str]:
     return [] if epochs is None else ["epoch"]
 
@@ -72,13 +79,14 @@ def _placed(rows: DataFrame, hex_key: Column, epochs: int | None, digits: int) -
 
 
 def global_order(
-    rows: DataFrame, *, seed: int | str = 42, epochs: int | None = None, digits: int = 3
+    rows: DataFrame, *, seed: int | str = 42, epochs: int | None = None, digits: int | None = None
 ) -> DataFrame:
     """Add ``ord``, the place of each row in a seeded permutation of all rows.
 
     ``digits`` sets the number of md5 buckets: 3 (4,096) up to about a billion
     rows, 4 (65,536) above.
     """
+    digits = _digits(digits, None)
     key = seeded_hex(_seed(seed, epochs), "", F.col("row_id"))
     return _placed(rows, key, epochs, digits).drop("_key", "_part")
 
@@ -91,10 +99,10 @@ def global_permutation(
     epochs: int | None = None,
     drop_last: bool = True,
     n_rows: int | None = None,
-    digits: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """A seeded permutation of all rows, cut into batches."""
-    ordered = global_order(rows, seed=seed, epochs=epochs, digits=digits)
+    ordered = global_order(rows, seed=seed, epochs=epochs, digits=_digits(digits, n_rows))
     return _cut(ordered, rows, batch_size, drop_last, n_rows)
 
 
@@ -115,7 +123,7 @@ def block_shuffle(
     epochs: int | None = None,
     drop_last: bool = True,
     n_rows: int | None = None,
-    digits: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """Shuffle blocks of consecutive rows, then the rows inside each fetch.
 
@@ -124,6 +132,7 @@ def block_shuffle(
     to compute: two exchanges, on block bucket and on fetch.
     """
     fetch_rows = batch_size * fetch_factor
+    digits = _digits(digits, n_rows)
     epoch = _epoch_columns(epochs)
     key = seeded_hex(_seed(seed, epochs), "b", _div(F.col("row_id"), block_size))
     placed = _placed(rows, key, epochs, digits).drop("_key", "_part")
@@ -164,7 +173,7 @@ def chunk_window_shuffle(
     epochs: int | None = None,
     drop_last: bool = True,
     n_rows: int | None = None,
-    digits: int = 3,
+    digits: int | None = None,
     key: str = "row_id",
 ) -> DataFrame:
     """Random chunks of consecutive rows, shuffled inside windows of chunks.
@@ -175,6 +184,7 @@ def chunk_window_shuffle(
     positions continue from counted window starts.
     """
     epoch = _epoch_columns(epochs)
+    digits = _digits(digits, n_rows)
     places = _chunk_places(rows, _div(F.col(key), chunk_size), "c", seed, epochs, digits)
     windows = places.withColumn("_window", _div(F.col("ord"), preload_nchunks)).drop("ord", "_key", "_part")
     windows = windows.withColumn(
@@ -244,10 +254,10 @@ def stream_chunk_shuffle(
 
 
 def group_shuffle(
-    rows: DataFrame, group: str, *, seed: int | str = 42, epochs: int | None = None, digits: int = 3
+    rows: DataFrame, group: str, *, seed: int | str = 42, epochs: int | None = None, digits: int | None = None
 ) -> DataFrame:
     """Groups of rows in random order: ``batch_id`` is the place of the row's group."""
-    places = _chunk_places(rows, F.col(group), "g", seed, epochs, digits).drop("start", "_key", "_part")
+    places = _chunk_places(rows, F.col(group), "g", seed, epochs, _digits(digits, None)).drop("start", "_key", "_part")
     return (
         rows.join(places, F.col(group) == F.col("_chunk")).drop("_chunk", group).withColumnRenamed("ord", "batch_id")
     )
@@ -259,7 +269,7 @@ def row_group_shuffle(
     *,
     seed: int | str = 42,
     epochs: int | None = None,
-    digits: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """Row groups of equal size in random order; each is one batch, read in file order."""
     grouped = rows.withColumns(
@@ -306,10 +316,11 @@ def _into_runs(rows: DataFrame, firsts: DataFrame, tie: str, n_runs: int, epochs
 
 
 def _row_runs(
-    rows: DataFrame, hex_key: Column, run_rows: int, epochs: int | None, digits: int, n_rows: int | None
+    rows: DataFrame, hex_key: Column, run_rows: int, epochs: int | None, digits: int | None, n_rows: int | None
 ) -> DataFrame:
     """Keyed rows sent to runs of ``run_rows`` places in (key, row_id) order."""
     total = rows.count() if n_rows is None else n_rows
+    digits = _digits(digits, total)
     firsts = _placed(rows.select("row_id"), hex_key, epochs, digits).withColumns(
         {"_run": _div(F.col("ord"), run_rows), "_is_first": F.col("ord") % run_rows == 0}
     )
@@ -329,7 +340,7 @@ def permutation_in_runs(
     *,
     seed: int | str = 42,
     epochs: int | None = None,
-    digits: int = 3,
+    digits: int | None = None,
     n_rows: int | None = None,
 ) -> DataFrame:
     """``global_order`` of wide rows: ``ord``, and ``run`` which is ``ord div run_rows``.
@@ -350,7 +361,7 @@ def blocks_in_runs(
     fetch_factor: int = 16,
     seed: int | str = 42,
     epochs: int | None = None,
-    digits: int = 3,
+    digits: int | None = None,
     n_rows: int | None = None,
 ) -> DataFrame:
     """The order of ``block_shuffle`` for wide rows; a ``run`` is a fetch, of whole batches."""
@@ -368,8 +379,7 @@ def chunk_windows_in_runs(
     windows_per_run: int = 32,
     seed: int | str = 42,
     epochs: int | None = None,
-    digits: int = 3,
-    n_rows: int | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
     """The order of ``chunk_window_shuffle`` for wide rows; a ``run`` is some windows.
 
@@ -379,14 +389,17 @@ def chunk_windows_in_runs(
     epoch = _epoch_columns(epochs)
     chunks_per_run = preload_nchunks * windows_per_run
     chunk = _div(F.col("row_id"), chunk_size)
-    total = rows.count() if n_rows is None else n_rows
+    # Ids may have gaps: no more chunks than rows, nor than the id range holds.
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).first()
+    n_chunks = min(size.n, (size.hi - size.lo) // chunk_size + 2) if size.n else 0
+    digits = _digits(digits, size.n)
     places = _chunk_places(rows, chunk, "c", seed, epochs, digits).withColumns(
         {"_run": _div(F.col("ord"), chunks_per_run), "_is_first": F.col("ord") % chunks_per_run == 0}
     )
     firsts = places.withColumn("_run_start", F.min("start").over(Window.partitionBy(*epoch, "_run")))
     chunked = with_epochs(rows, epochs).withColumn("_chunk", chunk)
     keyed = _with_key(chunked, seeded_hex(_seed(seed, epochs), "c", F.col("_chunk")), digits)
-    n_runs = -(-total // (chunk_size * chunks_per_run)) * (epochs or 1)
+    n_runs = -(-n_chunks // chunks_per_run) * (epochs or 1)
     sent = _into_runs(keyed, firsts, "_chunk", n_runs, epochs, digits)
     nth_chunk = F.dense_rank().over(Window.partitionBy(*epoch, "run").orderBy("_key", "_chunk")) - 1
     inner = sent.withColumn("_window", _div(nth_chunk.cast("bigint"), preload_nchunks)).withColumn(

@@ -50,7 +50,7 @@ def reshard_shuffled(
     seed: int | str = 42,
     n_var: int | None = None,
     compression: str = "zstd",
-    digits: int = 3,
+    digits: int | None = None,
 ) -> None:
     """Globally shuffled shards of ``shard_rows`` rows.
 
@@ -63,7 +63,8 @@ def reshard_shuffled(
     run_rows = _file_rows(shard_rows, rows_per_file)
     placed = permutation_in_runs(rows, run_rows, seed=seed, digits=digits).drop("run")
     renamed = placed.withColumnsRenamed({"row_id": "source_row_id", "ord": "row_id"})
-    _write_shards(renamed.withColumn("shard", _shard(shard_rows)), path, chunk_rows, compression, n_var, run_rows)
+    sharded = renamed.withColumn("shard", _shard(shard_rows))
+    _write_shards(sharded, path, chunk_rows, compression, n_var, run_rows)
 
 
 def reshard_ordered(

@@ -97,7 +97,6 @@ def loading_run(
             preload_nchunks=preload_nchunks,
             windows_per_run=_per_run(sized.n_samples, chunk_size * preload_nchunks),
             seed=seed,
-            n_rows=sized.n_samples,
         )
     else:
         raise ValueError(f"method must be chunk_window, permutation or block, not {method!r}")
