@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import line_rules, mixing, secret_ledger, simhash, token_store
+from rowloom.llm import (
+    attention_lm,
+    decontaminate,
+    language,
+    line_rules,
+    mixing,
+    piece_counts,
+    rule_quality,
+    secret_ledger,
+    simhash,
+    token_store,
+)
 from rowloom.llm.common import documents
 from rowloom.workdir import fresh_path
 
@@ -22,6 +33,24 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(documents(spark, sf_dir), decontaminate.read_benchmark(spark, sf_dir))
+
+
+def op3_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op4_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return rule_quality.score(docs, rule_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit_text(documents(spark, sf_dir))
+    return language.identify(language.read_pages(spark, sf_dir), model)
+
+
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = fresh_path(spark, "secret-ledger")
     docs = documents(spark, sf_dir)
@@ -50,6 +79,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_texts(documents(spark, sf_dir), tokenizer_path())
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir)).drop("copies")
 
@@ -60,8 +93,13 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_piece_counts": op3_piece_counts,
+    "op4_rule_quality": op4_rule_quality,
+    "op5_language": op5_language,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_simhash": op7_simhash,
+    "op8_attention_lm": op8_attention_lm,
     "op9_mixing": op9_mixing,
     "op10_line_rules": op10_line_rules,
 }
