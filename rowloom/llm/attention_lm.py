@@ -248,7 +248,7 @@ def first_weights(subwords: Subwords) -> dict[str, np.ndarray]:
     weights = {name: random.normal(0, 0.3 if name == "e" else 0.25, shape) for name, shape in _SHAPES.items()}
     weights["r"] = -0.1 * np.arange(2 * BLOCK)
     weights["u"] *= 0.2
-    weights["b"] = np.log(subwords.prior)
+    weights["b"] = np.log(np.maximum(subwords.prior, 1e-9))
     return weights
 
 
@@ -287,9 +287,13 @@ def loss_and_gradient(w: dict[str, np.ndarray], windows: np.ndarray, classes: np
     dz = p.copy()
     np.put_along_axis(dz, at, np.take_along_axis(dz, at, 2) - 1, 2)
     dz *= valid[..., None] / n
-    g = {"u": np.einsum("nid,nic->dc", h, dz), "b": dz.sum(axis=(0, 1))}
+
+    def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a.reshape(-1, a.shape[2]).T @ b.reshape(-1, b.shape[2])
+
+    g = {"u": product(h, dz), "b": dz.sum(axis=(0, 1))}
     dh = dz @ w["u"].T
-    g["o"] = np.einsum("nid,nie->de", mixed, dh)
+    g["o"] = product(mixed, dh)
     dmixed = dh @ w["o"].T
     da = dmixed @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dmixed
@@ -297,13 +301,13 @@ def loss_and_gradient(w: dict[str, np.ndarray], windows: np.ndarray, classes: np
     total = ds.sum(axis=0)
     g["r"] = np.bincount(_DISTANCE[~_LATER], total[~_LATER], 2 * BLOCK)
     dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
-    g["q"] = np.einsum("nid,nie->de", xq, dq)
-    g["k"] = np.einsum("njd,nje->de", x, dk)
-    g["v"] = np.einsum("njd,nje->de", x, dv)
+    g["q"] = product(xq, dq)
+    g["k"] = product(x, dk)
+    g["v"] = product(x, dv)
     dx = dk @ w["k"].T + dv @ w["v"].T
     dx[:, BLOCK:] += dh + dq @ w["q"].T
-    g["e"] = np.zeros_like(w["e"])
-    np.add.at(g["e"], windows, dx)
+    at = (windows.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).reshape(-1)
+    g["e"] = np.bincount(at, dx.reshape(-1), w["e"].size).reshape(w["e"].shape)
     return loss, g
 
 
