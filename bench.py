@@ -47,6 +47,13 @@ HEADLINE = [
     "throughput_epochs",
     "batch_intervals",
     "nested_results_json",
+    "prepare_collections",
+    "write_dense_chunked",
+    "write_two_level_chunks",
+    "write_wide_row_groups",
+    "row_group_scan",
+    "loading_run_budget",
+    "loading_run_epochs",
 ]
 # Rows each loading query puts in batches, in passes over the row table.
 LOADING = {

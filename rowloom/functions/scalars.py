@@ -26,9 +26,12 @@ def seeded_hex(seed: Column, tag: str, key: Column) -> Column:
 
 def largest_divisor(value: Column, upper_bound: Column) -> Column:
     """Largest divisor of ``value`` that is at most ``upper_bound``; 1 if none."""
-    top = F.least(value, upper_bound)
-    divisors = F.filter(F.sequence(F.lit(1).cast("bigint"), top.cast("bigint")), lambda d: value % d == 0)
-    return F.when(top >= 1, F.array_max(divisors)).otherwise(F.lit(1)).cast("bigint")
+    top = F.least(value, upper_bound).cast("bigint")
+    root = F.floor(F.sqrt(F.greatest(value, F.lit(1)).cast("double"))).cast("bigint") + 1
+    small = F.filter(F.sequence(F.lit(1).cast("bigint"), root), lambda d: value % d == 0)
+    large = F.transform(small, lambda d: F.call_function("div", value, d))
+    found = F.filter(F.concat(small, large), lambda d: d <= top)
+    return F.when(top >= 1, F.array_max(found)).otherwise(F.lit(1)).cast("bigint")
 
 
 def effective_batch(

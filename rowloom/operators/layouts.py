@@ -24,6 +24,12 @@ DENSE_BATCH_CELLS = 4_194_304
 MAX_CODE = {"tinyint": 127, "smallint": 32_767}
 
 ROW_GROUP_ROWS = "parquet.block.row.count.limit"
+# Rows of a row group of wide tables, unless given.
+WIDE_ROW_GROUP = 65_536
+# Tasks of an exact write; above so many files a task writes several, in order.
+MAX_WRITE_TASKS = 65_536
+# Category codes are broadcast up to this many categories.
+MAX_BROADCAST_CODES = 1_000_000
 
 
 # --- conversions -----------------------------------------------------------
@@ -108,14 +114,14 @@ def wide_project(x_dense: DataFrame, var_names: list[str], label: str, keep: lis
 
 
 def label_codes(
-    obs: DataFrame, label: str, code_type: str = "tinyint", name: str = "label_code"
+    obs: DataFrame, label: str, code_type: str = "int", name: str = "label_code"
 ) -> DataFrame:
     """Add integer codes of a category column: categories sorted, null is -1.
 
     Codes above what ``code_type`` holds fail the job. The small types also bound
     the categories table, which is read up to one past the bound and broadcast.
     For ``int`` the categories are sorted into a table and numbered by their place
-    in its files, so any number of them works.
+    in its files, so any number of them works; they are broadcast up to a million.
     """
     values = obs.select(F.col(label).alias("_category")).filter(F.col("_category").isNotNull()).distinct()
     if code_type in MAX_CODE:
@@ -125,7 +131,10 @@ def label_codes(
         codes = codes.filter(ensure(F.col("_code") <= bound, f"too many categories for {code_type} codes"))
         codes = F.broadcast(codes)
     else:
-        codes = _places_in_files(settle(values.orderBy("_category"), "categories"), "_code")
+        stored = settle(values.orderBy("_category"), "categories")
+        codes = _places_in_files(stored, "_code")
+        if stored.count() <= MAX_BROADCAST_CODES:
+            codes = F.broadcast(codes)
     coded = obs.join(codes, F.col(label) == F.col("_category"), "left")
     return coded.select(
         *[F.col(c) for c in obs.columns], F.coalesce("_code", F.lit(-1)).cast(code_type).alias(name)
@@ -133,29 +142,56 @@ def label_codes(
 
 
 def _places_in_files(stored: DataFrame, name: str) -> DataFrame:
-    """Rows of a Parquet table numbered from 0 in file name and row order."""
+    """Rows of a Parquet table numbered from 0 in the order of its files and rows."""
     scan = stored.select(
         "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index")
     )
-    earlier = Window.orderBy("_from_file").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(*file_order("_from_file")).rowsBetween(Window.unboundedPreceding, -1)
     files = scan.groupBy(F.col("_file").alias("_from_file")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = files.select("_from_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
     numbered = scan.join(offsets, F.col("_file") == F.col("_from_file"))
     return numbered.select(*[F.col(c) for c in stored.columns], (F.col("_first") + F.col("_index")).alias(name))
 
 
+def file_order(name: str) -> list[Column]:
+    """Order of written files: number of the task, count in the task, name."""
+    return [
+        F.regexp_extract(name, r"part-(\d+)[^/]*$", 1).try_cast("bigint"),
+        F.regexp_extract(name, r"\.c(\d+)\.[^/]*$", 1).try_cast("bigint"),
+        F.col(name),
+    ]
+
+
 # --- writers ---------------------------------------------------------------
 
 
-def _in_files_of(df: DataFrame, rows_per_file: int) -> DataFrame:
-    """Rows laid out so that files hold consecutive, full runs of ``row_id``.
+def row_count(df: DataFrame) -> int:
+    """Rows of a table whose ``row_id`` must be 0..n-1; other ids fail. Reads that column only."""
+    total = F.sum(F.col("row_id").cast("decimal(38,0)"))
+    seen = df.agg(
+        F.count("row_id").alias("n"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi"), total.alias("total")
+    ).first()
+    if seen.n and (seen.lo, seen.hi, int(seen.total)) != (0, seen.n - 1, seen.n * (seen.n - 1) // 2):
+        raise ValueError(f"row ids must be 0..n-1 for exact files: {seen.n} rows with ids from {seen.lo} to {seen.hi}")
+    return seen.n
+
+
+def in_order(df: DataFrame, rows_per_file: int, n_rows: int) -> DataFrame:
+    """Rows laid out so that files, in the order of their names, hold full runs of ``row_id``.
 
-    Runs are spread over tasks and each task writes its runs in order. All runs
-    are full but the last, which is also last in its task, so cutting files at
-    ``rows_per_file`` records cuts them at run boundaries.
+    A task takes consecutive runs and tasks follow each other, so the number of a
+    file's task and its count in the task give the place of its rows. All runs
+    are full but the last; cutting files at ``rows_per_file`` records cuts them
+    at run boundaries. A task has one run up to ``MAX_WRITE_TASKS`` runs.
     """
-    run = F.expr(f"row_id div {rows_per_file}")
-    return df.repartition(run).sortWithinPartitions("row_id")
+    runs = max(1, -(-n_rows // rows_per_file))
+    runs_per_task = -(-runs // MAX_WRITE_TASKS)
+    task = F.expr(f"cast(row_id div {rows_per_file * runs_per_task} as int)")
+    return df.repartitionById(-(-runs // runs_per_task), task).sortWithinPartitions("row_id")
+
+
+def _in_files_of(df: DataFrame, rows_per_file: int) -> DataFrame:
+    return in_order(df, rows_per_file, row_count(df))
 
 
 def write_sparse(x_row: DataFrame, path: str, compression: str = "zstd") -> None:
@@ -198,9 +234,10 @@ def write_two_level_chunks(
     inner: int = 32,
     label_outer: int = 10_000,
     label_inner: int = 1_000,
+    chunks_per_file: int = 512,
     compression: str = "zstd",
 ) -> None:
-    """Files of ``outer`` rows holding row groups of ``inner`` rows; float32 and int8.
+    """Files of whole ``outer`` chunks holding row groups of ``inner`` rows; float32 and int8.
 
     The label store is a separate table beside the dense one, see ``label_path``.
     """
@@ -209,9 +246,9 @@ def write_two_level_chunks(
         (labels, schemas.LABELS, label_path(path), label_outer, label_inner),
     ):
         (
-            _in_files_of(schemas.conform(df, schema), file_rows)
+            _in_files_of(schemas.conform(df, schema), file_rows * chunks_per_file)
             .write.mode("overwrite")
-            .option("maxRecordsPerFile", file_rows)
+            .option("maxRecordsPerFile", file_rows * chunks_per_file)
             .option(ROW_GROUP_ROWS, group_rows)
             .option("compression", compression)
             .parquet(target)
@@ -231,16 +268,15 @@ def label_path(dense_path: str) -> str:
     return dense_path.replace("dense", "labels")
 
 
-def write_wide(x_wide: DataFrame, path: str, row_group: int | None = None) -> None:
-    """Wide Parquet, uncompressed; row groups of exactly ``row_group`` rows when given.
+def write_wide(
+    x_wide: DataFrame, path: str, row_group: int = WIDE_ROW_GROUP, groups_per_file: int = 64
+) -> None:
+    """Wide Parquet, uncompressed, in row groups of exactly ``row_group`` rows.
 
     ``row_id`` orders the rows and is not stored: a wide row is its features and
-    its label.
+    its label, and its place is that of its file and its row in it.
     """
-    if row_group is None:
-        x_wide.drop("row_id").write.mode("overwrite").option("compression", "uncompressed").parquet(path)
-        return
-    rows_per_file = row_group * 64
+    rows_per_file = row_group * groups_per_file
     (
         _in_files_of(x_wide, rows_per_file)
         .drop("row_id")

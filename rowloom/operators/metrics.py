@@ -40,18 +40,21 @@ def throughput(
     log: DataFrame,
     by: Sequence[str],
     *,
-    batch_size: int = 1024,
+    batch_size: int | None = None,
     n_samples: int | None = None,
     skip_first: bool = False,
 ) -> DataFrame:
     """Samples per second and microseconds per sample of each run.
 
-    Counts the complete batches it takes the seconds of: those of ``batch_size``
-    rows, within the first ``n_samples // batch_size`` when given, without batch
-    0 of the run when ``skip_first``.
+    Counts the rows of the batches it takes the seconds of: all of them, of any
+    size, or those of ``batch_size`` rows alone when given; then within the first
+    ``n_samples // batch_size`` if that is given too. Batch 0 of the run is left out when
+    ``skip_first``.
     """
-    counted = log.filter(F.col("n_rows") == batch_size)
+    counted = log if batch_size is None else log.filter(F.col("n_rows") == batch_size)
     if n_samples is not None:
+        if batch_size is None:
+            raise ValueError("a budget of rows needs the batch size")
         counted = counted.filter(F.col("batch_idx") < n_samples // batch_size + int(skip_first))
     if skip_first:
         counted = counted.filter(F.col("batch_idx") > 0)
@@ -79,7 +82,7 @@ def _rates(totals: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def throughput_epochs(log: DataFrame, batch_size: int = 1024) -> DataFrame:
+def throughput_epochs(log: DataFrame, batch_size: int | None = None) -> DataFrame:
     """Throughput of each tool and epoch, the first batch left out as warm-up."""
     return throughput(log, ["tool", "epoch"], batch_size=batch_size, skip_first=True)
 
@@ -115,6 +118,18 @@ def batch_intervals(
     )
 
 
+def supported_runs() -> list[tuple[str, bool]]:
+    """Every (layout, random) pair that its kind can be read in."""
+    return [
+        (name, random)
+        for name in LAYOUTS
+        for random in (False, True)
+        if not (random and name.split("_")[0] in NO_RANDOM)
+        and not ("sp" in name and name.split("_")[0] in NO_SPARSE)
+        and not ("sp" not in name and name.split("_")[0] in ONLY_SPARSE)
+    ]
+
+
 def run_matrix(shards: DataFrame, batch_size: int = 128) -> DataFrame:
     """Every supported (layout, read order) of each shard, and its batches per pass.
 
@@ -154,14 +169,16 @@ _RUN = "struct<time_per_sample:double,samples_per_sec:double,segment:bigint,batc
 NESTED = f"map<string,map<string,{_RUN}>>"
 
 
-def nested_results(log: DataFrame, batch_size: int = 1024, segment: int = 10_000) -> DataFrame:
+def nested_results(log: DataFrame, batch_size: int | None = None, segment: int = 10_000) -> DataFrame:
     """JSON lines ``{tool: {epoch_k: {time_per_sample, samples_per_sec, segment, batch_times}}}``.
 
     Batch times of an epoch are listed in order over as many lines as it has
     segments of ``segment`` batches, so no list grows with the run. The log is
     read once: the rates of an epoch come from the sums of its written segments.
     """
-    timed = log.filter((F.col("n_rows") == batch_size) & (F.col("batch_idx") > 0))
+    timed = log.filter(F.col("batch_idx") > 0)
+    if batch_size is not None:
+        timed = timed.filter(F.col("n_rows") == batch_size)
     entry = F.struct("batch_idx", "seconds")
     segments = settle(
         timed.groupBy("tool", "epoch", F.floor(F.col("batch_idx") / segment).alias("segment")).agg(
@@ -182,7 +199,9 @@ def nested_results(log: DataFrame, batch_size: int = 1024, segment: int = 10_000
     return lines.select(F.to_json(F.create_map("tool", F.create_map(epoch_key, body))).alias("value"))
 
 
-def write_nested_results(log: DataFrame, path: str, batch_size: int = 1024, segment: int = 10_000) -> None:
+def write_nested_results(
+    log: DataFrame, path: str, batch_size: int | None = None, segment: int = 10_000
+) -> None:
     nested_results(log, batch_size, segment).write.mode("overwrite").text(path)
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.scalars import part_rows, seed_text, seeded_hex
 from rowloom.operators.ordinals import MAX_BROADCAST_OFFSETS, dense_positions, hex_bucket, with_ordinal
-from rowloom.workdir import settle
 
 
 def with_epochs(rows: DataFrame, epochs: int | None) -> DataFrame:
@@ -79,14 +78,19 @@ def _placed(rows: DataFrame, hex_key: Column, epochs: int | None, digits: int) -
 
 
 def global_order(
-    rows: DataFrame, *, seed: int | str = 42, epochs: int | None = None, digits: int | None = None
+    rows: DataFrame,
+    *,
+    seed: int | str = 42,
+    epochs: int | None = None,
+    digits: int | None = None,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Add ``ord``, the place of each row in a seeded permutation of all rows.
 
     ``digits`` sets the number of md5 buckets: 3 (4,096) up to about a billion
     rows, 4 (65,536) above.
     """
-    digits = _digits(digits, None)
+    digits = _digits(digits, n_rows)
     key = seeded_hex(_seed(seed, epochs), "", F.col("row_id"))
     return _placed(rows, key, epochs, digits).drop("_key", "_part")
 
@@ -236,10 +240,10 @@ def stream_chunk_shuffle(
 ) -> DataFrame:
     """Shuffle a filtered sub-matrix chunk by chunk; its rows are renumbered first.
 
-    The renumbered rows are read three times below, so they are written once and
-    the filter that made them does not run again. Pass ids, not payload.
+    The renumbered rows are written once and read three times below, so the
+    filter that made them does not run again. Pass ids, not payload.
     """
-    dense = settle(dense_positions(rows).withColumnRenamed("ord", "_position"), "positions")
+    dense = dense_positions(rows).withColumnRenamed("ord", "_position")
     return chunk_window_shuffle(
         dense,
         batch_size,
@@ -329,6 +333,11 @@ def _row_runs(
     return _into_runs(keyed, firsts, "row_id", -(-total // run_rows) * (epochs or 1), epochs, digits)
 
 
+def _within(rows: DataFrame, limit: int | None) -> DataFrame:
+    """Without the runs that begin at place ``limit`` or later; known where a row is read."""
+    return rows if limit is None else rows.filter(F.col("_run_start") < limit)
+
+
 def _ordered_in_runs(rows: DataFrame, order_by: list[str], epochs: int | None) -> DataFrame:
     inside = Window.partitionBy(*_epoch_columns(epochs), "run").orderBy(*order_by)
     return rows.withColumn("ord", (F.col("_run_start") + F.row_number().over(inside) - 1).cast("bigint"))
@@ -342,14 +351,16 @@ def permutation_in_runs(
     epochs: int | None = None,
     digits: int | None = None,
     n_rows: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """``global_order`` of wide rows: ``ord``, and ``run`` which is ``ord div run_rows``.
 
-    Grouping by ``run`` and anything inside it, such as batches of a divisor of
+    With ``limit`` runs that begin at a later place stay behind: they are not
+    exchanged. Grouping by ``run`` and anything inside it, such as batches of a divisor of
     ``run_rows``, needs no further exchange.
     """
     key = seeded_hex(_seed(seed, epochs), "", F.col("row_id"))
-    sent = _row_runs(rows, key, run_rows, epochs, digits, n_rows)
+    sent = _within(_row_runs(rows, key, run_rows, epochs, digits, n_rows), limit)
     return _ordered_in_runs(sent, ["_key", "row_id"], epochs).drop("_key", "_run_start")
 
 
@@ -363,10 +374,11 @@ def blocks_in_runs(
     epochs: int | None = None,
     digits: int | None = None,
     n_rows: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """The order of ``block_shuffle`` for wide rows; a ``run`` is a fetch, of whole batches."""
     key = seeded_hex(_seed(seed, epochs), "b", _div(F.col("row_id"), block_size))
-    sent = _row_runs(rows, key, batch_size * fetch_factor, epochs, digits, n_rows)
+    sent = _within(_row_runs(rows, key, batch_size * fetch_factor, epochs, digits, n_rows), limit)
     inner = sent.withColumn("_key", seeded_hex(_seed(seed, epochs), "r", F.col("row_id")))
     return _ordered_in_runs(inner, ["_key", "row_id"], epochs).drop("_key", "_run_start")
 
@@ -380,19 +392,24 @@ def chunk_windows_in_runs(
     seed: int | str = 42,
     epochs: int | None = None,
     digits: int | None = None,
+    n_rows: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """The order of ``chunk_window_shuffle`` for wide rows; a ``run`` is some windows.
 
     Only chunks are numbered ahead, no ids are shuffled. A short chunk moves
     batches against windows, so a batch may lie in two runs: group by ``batch_id``.
+    ``n_rows``, of ids 0..n-1, saves a pass over the ids.
     """
     epoch = _epoch_columns(epochs)
     chunks_per_run = preload_nchunks * windows_per_run
     chunk = _div(F.col("row_id"), chunk_size)
-    # Ids may have gaps: no more chunks than rows, nor than the id range holds.
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).first()
-    n_chunks = min(size.n, (size.hi - size.lo) // chunk_size + 2) if size.n else 0
-    digits = _digits(digits, size.n)
+    if n_rows is None:  # ids may have gaps: no more chunks than rows, nor than the id range holds
+        size = rows.agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).first()
+        n_rows, n_chunks = size.n, min(size.n, (size.hi - size.lo) // chunk_size + 2) if size.n else 0
+    else:
+        n_chunks = -(-n_rows // chunk_size)
+    digits = _digits(digits, n_rows)
     places = _chunk_places(rows, chunk, "c", seed, epochs, digits).withColumns(
         {"_run": _div(F.col("ord"), chunks_per_run), "_is_first": F.col("ord") % chunks_per_run == 0}
     )
@@ -400,7 +417,7 @@ def chunk_windows_in_runs(
     chunked = with_epochs(rows, epochs).withColumn("_chunk", chunk)
     keyed = _with_key(chunked, seeded_hex(_seed(seed, epochs), "c", F.col("_chunk")), digits)
     n_runs = -(-n_chunks // chunks_per_run) * (epochs or 1)
-    sent = _into_runs(keyed, firsts, "_chunk", n_runs, epochs, digits)
+    sent = _within(_into_runs(keyed, firsts, "_chunk", n_runs, epochs, digits), limit)
     nth_chunk = F.dense_rank().over(Window.partitionBy(*epoch, "run").orderBy("_key", "_chunk")) - 1
     inner = sent.withColumn("_window", _div(nth_chunk.cast("bigint"), preload_nchunks)).withColumn(
         "_key", seeded_hex(_seed(seed, epochs), "r", F.col("row_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.operators.layouts import ROW_GROUP_ROWS, densify
+from rowloom.operators.layouts import ROW_GROUP_ROWS, densify, in_order, row_count
 from rowloom.operators.ordering import permutation_in_runs
 from rowloom.operators.slicing import gene_subset_rows
 
@@ -58,7 +58,9 @@ def reshard_shuffled(
     kept as ``source_row_id``. The payload is exchanged once, in runs of
     ``rows_per_file`` rows, and each run is one file: all files and chunks are
     full but the last, and write parallelism is the number of files, not of
-    shards. With ``n_var`` rows are made dense after the exchange.
+    shards. Runs are spread over tasks by hash, so file names do not follow
+    ``row_id``; readers go by the stored ids. With ``n_var`` rows are made dense
+    after the exchange.
     """
     run_rows = _file_rows(shard_rows, rows_per_file)
     placed = permutation_in_runs(rows, run_rows, seed=seed, digits=digits).drop("run")
@@ -75,20 +77,18 @@ def reshard_ordered(
     chunk_rows: int = 32_768,
     n_var: int | None = None,
     compression: str = "lz4_raw",
-    clustered: bool = True,
     rows_per_file: int = 2**16,
+    n_rows: int | None = None,
 ) -> None:
-    """Shards of ``shard_rows`` rows in the order they have.
+    """Shards of ``shard_rows`` rows in the order of ``row_id``, which must be 0..n-1.
 
-    ``clustered`` input holds runs of consecutive rows in each file, as
-    ``concat_scan`` gives, and is written where it is read. Other input is
-    exchanged on runs of ``rows_per_file`` rows, each one file.
+    The payload is exchanged once, on runs of ``rows_per_file`` rows, each one
+    file; names of files follow ``row_id`` and chunks are full but the last.
+    ``n_rows`` saves a pass over the ids.
     """
+    file_rows = _file_rows(shard_rows, rows_per_file)
     sharded = rows.withColumn("shard", _shard(shard_rows))
-    file_rows = None
-    if not clustered:
-        file_rows = _file_rows(shard_rows, rows_per_file)
-        sharded = sharded.repartition(F.call_function("div", F.col("row_id"), F.lit(file_rows).cast("bigint")))
+    sharded = in_order(sharded, file_rows, row_count(rows) if n_rows is None else n_rows)
     _write_shards(sharded, path, chunk_rows, compression, n_var, file_rows)
 
 

@@ -16,8 +16,9 @@ from rowloom.plans import layout_study
 from rowloom.sources import registry
 
 COLLECTION = collection_format_key("orders", "parquet")
-MAX_SHARDS = 48
-MIN_SHARD_ROWS = 4096
+# Rows of a shard and of a file of the stores: fixed, so that their number grows with the rows.
+SHARD_ROWS = 4096
+FILE_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,12 +119,12 @@ def datasets_of(spark: SparkSession, sf_dir: str, collection_id: str) -> DataFra
 
 
 def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as loaded batches, before they are numbered."""
+    """Events as loaded batches, before they are numbered; their size differs by tool."""
     return table(spark, sf_dir, "events").select(
         F.col("event_id"),
         F.col("event_type").alias("tool"),
         F.expr("user_id % 5").cast("int").alias("epoch"),
-        F.lit(1024).alias("n_rows"),
+        (F.length("event_type") % 3 * 512 + 1024).cast("int").alias("n_rows"),
         F.col("value").alias("seconds"),
         F.col("ts"),
     )
@@ -140,21 +141,12 @@ def batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def store_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     """Where a store derived from these very tables is kept."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-    stamps = [sf_dir]
-    for source in ("orders", "lineitem", "part", "embeddings"):
-        path = jvm_path(f"{sf_dir}/{source}.parquet")
-        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-        stamps.append(f"{status.getModificationTime()}:{status.getLen()}")
+    sources = [f"{sf_dir}/{source}.parquet" for source in ("orders", "lineitem", "part", "embeddings")]
+    files = spark.read.format("binaryFile").load(sources).select("path", "modificationTime", "length").collect()
+    stamps = [sf_dir, *sorted(f"{f.path}:{f.modificationTime}:{f.length}" for f in files)]
     return workdir.app_path(spark, f"{name}-{hashlib.md5('|'.join(stamps).encode()).hexdigest()[:12]}")
 
 
-def shard_rows(spark: SparkSession, sf_dir: str) -> int:
-    """Rows of a shard: at least 4,096, and no more than 48 shards in all."""
-    top = table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
-    return max(MIN_SHARD_ROWS, (top + MAX_SHARDS) // MAX_SHARDS)
-
-
 @dataclass
 class Store:
     root: str
@@ -172,9 +164,8 @@ STORE_SCHEMA = schemas.T.StructType(
 
 
 def sharded_store(spark: SparkSession, sf_dir: str) -> Store:
-    """The order matrix as sparse rows with labels, in numbered shards of one file each."""
+    """The order matrix as sparse rows with labels, in numbered shards of several files."""
     root = store_path(spark, sf_dir, "orders-store")
-    size = shard_rows(spark, sf_dir)
 
     def write(path: str) -> None:
         rows = layouts.assemble_rows(
@@ -183,9 +174,10 @@ def sharded_store(spark: SparkSession, sf_dir: str) -> Store:
         reshard.reshard_ordered(
             schemas.conform(rows, STORE_SCHEMA),
             path,
-            shard_rows=size,
-            rows_per_file=size,
-            clustered=False,
+            shard_rows=SHARD_ROWS,
+            rows_per_file=FILE_ROWS,
+            chunk_rows=FILE_ROWS,
+            n_rows=layouts.row_count(row_ids(spark, sf_dir)),
             compression="zstd",
         )
 

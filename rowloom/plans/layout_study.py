@@ -1,13 +1,12 @@
-"""The layout study: write every layout, time a pass over each, report sizes."""
+"""The layout study: write every layout and pass over each in its batches."""
 
 from __future__ import annotations
 
-import time
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom import schemas
 from rowloom.operators import layouts, metrics, ordering, slicing
 from rowloom.sources import scans
 from rowloom.workdir import settle
@@ -21,15 +20,19 @@ FILE_ORDER_KINDS = ["arrow", "polars"]
 
 
 def write_study(
-    x_row: DataFrame, obs: DataFrame, label: str, root: str, *, nrows: int | None = None, ncols: int = 5_000
+    x_row: DataFrame, obs: DataFrame, label: str, root: str, *, nrows: int | None = None, ncols: int | None = None
 ) -> None:
-    """Cut the first rows and variables of a matrix and write them in every layout.
+    """Write a matrix, or its first rows and variables, in every layout.
 
-    The dense form is made once and written from there.
+    Rows are those of ``x_row`` with ids 0..n-1. Label codes join the sparse rows, before these
+    are made dense; the dense form is made once and written from there.
     """
-    part = settle(slicing.head_slice(x_row.select("row_id", "indices", "values"), nrows, ncols), "study_rows")
-    codes = layouts.label_codes(obs.select("row_id", label), label, name="code").select("row_id", "code")
-    dense = settle(layouts.densify(part, ncols).join(codes, "row_id"), "study_dense")
+    if ncols is None:
+        ncols = x_row.agg(F.max(F.array_max("indices"))).first()[0] + 1
+    codes = layouts.label_codes(obs.select("row_id", label), label, "tinyint", name="code").select("row_id", "code")
+    part = slicing.head_slice(x_row.select("row_id", "indices", "values"), nrows, ncols)
+    part = settle(part.join(codes, "row_id"), "study_rows")
+    dense = settle(layouts.densify(part, ncols), "study_dense")
     write_layouts(part, dense, "code", ncols, root)
 
 
@@ -79,6 +82,7 @@ def layout_batches(
     random: bool,
     batch_size: int = 128,
     seed: int | str = 42,
+    epochs: int | None = None,
 ) -> DataFrame:
     """Batches of one layout with labels, under the read order of its kind.
 
@@ -92,10 +96,10 @@ def layout_batches(
         if kind in FILE_ORDER_KINDS:
             if random:
                 raise ValueError(f"{kind} does not support random access")
-            return ordering.batch_sequential(rows.drop("group_id", "pos"), batch_size)
+            return ordering.batch_sequential(ordering.with_epochs(rows.drop("group_id", "pos"), epochs), batch_size)
         if random:
-            return ordering.group_shuffle(rows, "group_id", seed=seed)
-        return rows.withColumnRenamed("group_id", "batch_id")
+            return ordering.group_shuffle(rows, "group_id", seed=seed, epochs=epochs)
+        return ordering.with_epochs(rows.withColumnRenamed("group_id", "batch_id"), epochs)
 
     stored = spark.read.parquet(path)
     if "var_id" in stored.columns:
@@ -103,43 +107,44 @@ def layout_batches(
     payload = [c for c in ("indices", "values", "x") if c in stored.columns]
     rows = obs.select("row_id", label)
     plan = (
-        ordering.global_permutation(rows, batch_size, seed=seed, drop_last=False)
+        ordering.global_permutation(rows, batch_size, seed=seed, epochs=epochs, drop_last=False)
         if random
-        else ordering.batch_sequential(rows, batch_size)
+        else ordering.batch_sequential(ordering.with_epochs(rows, epochs), batch_size)
     )
     return plan.join(stored.select("row_id", *payload), "row_id")
 
 
-def time_passes(
-    spark: SparkSession,
-    paths: dict[str, str],
-    obs: DataFrame,
-    label: str,
-    log_path: str,
-    *,
-    epochs: int = 4,
-    batch_size: int = 128,
+def _values(rows: DataFrame, label: str) -> Column:
+    """Sum of the values of a row in whole millionths, the same in any layout and order."""
+
+    def whole(v: Column) -> Column:
+        return F.round(v.cast("double") * 1e6).cast("bigint")
+
+    for name in ("x", "values"):
+        if name in rows.columns:
+            return F.aggregate(F.transform(name, whole), F.lit(0).cast("bigint"), lambda s, v: s + v)
+    features = [c for c in rows.columns if c not in ("row_id", "batch_id", "pos", "epoch", label)]
+    return reduce(lambda s, c: s + whole(F.col(c)), features, F.lit(0).cast("bigint"))
+
+
+def layout_passes(
+    spark: SparkSession, paths: dict[str, str], obs: DataFrame, label: str, *, epochs: int = 4, batch_size: int = 128
 ) -> DataFrame:
-    """Time a full pass over every supported (layout, order), ``epochs`` times each.
+    """``epochs`` passes over every supported (layout, order): what each batch holds.
 
-    Appends ``name, epoch, seconds`` to the log as each pass ends, and returns
-    that with the rows and label sum of the pass, one line per pass.
+    One DataFrame over all runs, one line per run, epoch and batch, with its rows
+    and the sums of its labels and values.
     """
-    runs = metrics.run_matrix(spark.createDataFrame([(0,)], "n_observations int")).orderBy("name")
     passes = []
-    for run in runs.select("name", "random").collect():
-        layout = run.name.removesuffix("_rand")
-        for epoch in range(epochs):
-            loaded = layout_batches(
-                spark, layout, paths[layout], obs, label, random=run.random, batch_size=batch_size, seed=f"42:{epoch}"
+    for layout, random in metrics.supported_runs():
+        loaded = layout_batches(
+            spark, layout, paths[layout], obs, label, random=random, batch_size=batch_size, epochs=epochs
+        )
+        passes.append(
+            loaded.groupBy(F.lit(layout + "_rand" * random).alias("name"), "epoch", "batch_id").agg(
+                F.count(F.lit(1)).alias("n_rows"),
+                F.sum(label).alias("label_sum"),
+                F.sum(_values(loaded, label)).alias("value_sum"),
             )
-            labels = label if label in loaded.columns else loaded.columns[-1]
-            # The hash makes the pass read every value of every row.
-            every_value = F.max(F.xxhash64(*loaded.columns)).alias("h")
-            started = time.perf_counter()
-            seen = loaded.agg(F.count(F.lit(1)).alias("n"), F.sum(labels).alias("s"), every_value).first()
-            seconds = time.perf_counter() - started
-            record = (run.name, epoch, seconds, seen.n, seen.s)
-            metrics.append_loop_log(spark.createDataFrame([record[:3]], schemas.LOOP_LOG), log_path)
-            passes.append(record)
-    return spark.createDataFrame(passes, "name string, epoch int, seconds double, n_rows bigint, label_sum bigint")
+        )
+    return reduce(DataFrame.unionByName, passes)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom import schemas
-from rowloom.functions.scalars import budget, effective_batch
+from rowloom.functions.scalars import budget, collection_format_key, effective_batch
 from rowloom.operators import batches, ordering
 from rowloom.sources import registry
 
@@ -26,6 +26,10 @@ def _per_run(n_rows: int, unit_rows: int) -> int:
     return max(1, min(MAX_RUN_ROWS, n_rows // MIN_RUNS) // unit_rows)
 
 
+# The container that each method reads a collection from.
+CONTAINERS = {"chunk_window": "zarr", "permutation": "h5ad", "block": "h5ad"}
+
+
 @dataclass
 class LoadingRun:
     """Batches of a run and the numbers they were sized with."""
@@ -37,11 +41,14 @@ class LoadingRun:
     batch_size: int
     chunk_size: int
     n_samples: int
+    n_left_out: int
     n_collection: int
+    epochs: int | None = None
 
     @property
     def n_batches(self) -> int:
-        return self.n_samples // self.batch_size
+        """Batches of an epoch."""
+        return -(-(self.n_samples - self.n_left_out) // self.batch_size)
 
 
 def loading_run(
@@ -51,22 +58,32 @@ def loading_run(
     schema: T.StructType,
     method: str,
     *,
-    n_datasets: int = 1,
+    n_datasets: int = -1,
     chunk_size: int = 256,
     preload_nchunks: int = 8,
     block_size: int = 4,
     fetch_factor: int = 16,
     batch_size: int = 4096,
-    n_samples: int = 2_000_000,
+    n_samples: int = -1,
+    epochs: int | None = None,
+    drop_last: bool = True,
     include_obs: bool = True,
     seed: int | str = 42,
+    containers: dict[str, str] | None = None,
 ) -> LoadingRun:
-    """Seeded batches of the first ``n_datasets`` shards of a collection.
-
-    ``method`` is ``chunk_window``, ``permutation`` or ``block``. Only whole
-    batches within the row budget are loaded. The stored columns other than the
+    """Seeded batches of the first ``n_datasets`` shards of a collection, -1 for all.
+
+    ``method`` is ``chunk_window``, ``permutation`` or ``block``. At most
+    ``n_samples`` rows are loaded per epoch, -1 for all; rows of later runs are
+    left out where they are read. With ``drop_last`` the rows of the last short
+    batch, ``n_left_out``, stay out too. With ``epochs`` the batches hold so many
+    passes, told apart by ``epoch``, each in its own order. Where a collection is
+    kept in several containers, ``containers`` names that of each method and
+    ``collection_key`` is the name without it. The stored columns other than the
     matrix are labels and come along when ``include_obs``.
     """
+    if containers is not None:
+        collection_key = collection_format_key(collection_key, containers[method])
     total = registry.collection_total(manifest, collection_key, n_datasets)
     windows = (F.lit(chunk_size), F.lit(preload_nchunks)) if method == "chunk_window" else ()
     sized = total.select(
@@ -82,34 +99,34 @@ def loading_run(
     if not include_obs:
         rows = rows.select(*[c for c in schemas.X_ROW.fieldNames() if c in rows.columns])
     size = sized.batch_size
+    limit = sized.budget // size * size if drop_last else sized.budget
+    shared = {"seed": seed, "epochs": epochs, "n_rows": sized.n_samples, "limit": limit}
     if method == "permutation":
-        ordered = ordering.permutation_in_runs(
-            rows, size * _per_run(sized.n_samples, size), seed=seed, n_rows=sized.n_samples
-        )
+        ordered = ordering.permutation_in_runs(rows, size * _per_run(sized.n_samples, size), **shared)
     elif method == "block":
-        ordered = ordering.blocks_in_runs(
-            rows, size, block_size=block_size, fetch_factor=fetch_factor, seed=seed, n_rows=sized.n_samples
-        )
+        ordered = ordering.blocks_in_runs(rows, size, block_size=block_size, fetch_factor=fetch_factor, **shared)
     elif method == "chunk_window":
         ordered = ordering.chunk_windows_in_runs(
             rows,
             chunk_size=chunk_size,
             preload_nchunks=preload_nchunks,
             windows_per_run=_per_run(sized.n_samples, chunk_size * preload_nchunks),
-            seed=seed,
+            **shared,
         )
     else:
         raise ValueError(f"method must be chunk_window, permutation or block, not {method!r}")
-    loaded = batches.in_batches(ordered, size).drop("run")
+    loaded = batches.in_batches(ordered.filter(F.col("ord") < limit), size).drop("run")
     return LoadingRun(
         method=method,
         collection_key=collection_key,
         n_datasets=sized.n_shards,
-        batches=batches.batch_budget(loaded, sized.budget, size),
+        batches=loaded,
         batch_size=size,
         chunk_size=chunk_size,
         n_samples=sized.budget,
+        n_left_out=sized.budget - limit,
         n_collection=sized.n_samples,
+        epochs=epochs,
     )
 
 
@@ -126,11 +143,13 @@ def record_run(
     started = time.perf_counter()
     counted = run.batches.agg(loaded, every_value).first().n
     seconds = time.perf_counter() - started
+    # The fields of the results sheet, in its order.
     row = (
         run.method,
         run.collection_key,
         run.n_datasets,
         counted / seconds,
+        run.n_samples * (run.epochs or 1),
         counted,
         run.n_collection,
         spark.sparkContext.defaultParallelism,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_SHARD_ROWS = "(select greatest(4096, (max(o_orderkey) + 48) // 48) from orders)"
+_SHARD_ROWS = "4096"
 _ROWS = "select o_orderkey as row_id, o_orderpriority as cell_line, o_orderstatus as cell_states from orders"
 _OBS = """select o_orderkey as row_id, o_orderpriority as cell_line, o_orderstatus as cell_states,
  c_nationkey as dataset_id from orders join customer on o_custkey = c_custkey"""
@@ -15,10 +15,14 @@ _GENES = """select cast(row_number() over (order by md5(cast(p_partkey as varcha
  concat('g', cast(p_partkey as varchar)) as var_name, p_partkey as var_id from part where p_type in ('ECONOMY', 'SMALL')"""
 _PERM = """select o_orderkey as row_id,
  row_number() over (order by md5(concat('42:', cast(o_orderkey as varchar))), o_orderkey) - 1 as ord from orders"""
-_TIMED = """select event_id, event_type as tool, cast(user_id % 5 as integer) as epoch, value as seconds, ts from events"""
-_LOG = f"""select tool, epoch, row_number() over (partition by tool, epoch order by event_id) - 1 as batch_idx, seconds
- from ({_TIMED}) e"""
+_TIMED = """select event_id, event_type as tool, cast(user_id % 5 as integer) as epoch, value as seconds, ts,
+ cast(length(event_type) % 3 * 512 + 1024 as integer) as n_rows from events"""
+_LOG = f"""select tool, epoch, row_number() over (partition by tool, epoch order by event_id) - 1 as batch_idx, seconds,
+ n_rows from ({_TIMED}) e"""
 _EXACT = "cast(sum(cast(seconds as decimal(18,6))) as double)"
+# Places and values of a group of dense rows, in whole millionths.
+_X_SUM = """cast(sum(list_sum(list_transform(range(1, len(x) + 1),
+ lambda i: cast(round(cast(x[i] as double) * 1e6) as bigint) * i)) * (row_id + 1)) as bigint) as x_sum"""
 _DENSE = "select vec_id as row_id, embedding as x, label as code from embeddings"
 
 
@@ -32,43 +36,51 @@ def _chunks(size: int, per_window: int, source: str, key: str) -> str:
  o as (select row_id, row_number() over (order by win, md5(concat('42r:', cast(k as varchar))), k) - 1 as ord from w)"""
 
 
-_RATES = """cast(count(*) as bigint) as n_batches, cast(count(*) * 1024 as bigint) as n_rows, {s} as seconds,
- round(count(*) * 1024 / {s}, 6) as samples_per_sec, round({s} * 1e6 / (count(*) * 1024), 6) as time_per_sample""".format(
+_RATES = """cast(count(*) as bigint) as n_batches, cast(sum(n_rows) as bigint) as n_rows, {s} as seconds,
+ round(sum(n_rows) / {s}, 6) as samples_per_sec, round({s} * 1e6 / sum(n_rows), 6) as time_per_sample""".format(
     s=_EXACT
 )
 
 
-def _layout_matrix(rows: str = "select * from orders", key: str = "o_orderkey") -> str:
-    names = """'h5py_sp', 'soma_sp', 'h5py_dense', 'zarr_sp', 'zarr_dense', 'zarr_dense_chunk', 'parquet', 'polars',
+_LAYOUT_NAMES = """'h5py_sp', 'soma_sp', 'h5py_dense', 'zarr_sp', 'zarr_dense', 'zarr_dense_chunk', 'parquet', 'polars',
  'parquet_chunk', 'arrow', 'arrow_chunk', 'zarrV3tensorstore_dense_chunk', 'zarrV2tensorstore_dense_chunk'"""
+
+
+def _layout_matrix(rows: str = "select * from orders", key: str = "o_orderkey") -> str:
     return f"""
 with s as (select cast({key} // {_SHARD_ROWS} as integer) as shard_ord, count(*) as n_observations from ({rows}) r group by 1),
- l as (select unnest([{names}]) as layout),
+ l as (select unnest([{_LAYOUT_NAMES}]) as layout),
  m as (select unnest([false, true]) as random),
  a as (select *, split_part(layout, '_', 1) as kind, contains(layout, 'sp') as sparse from s, l, m)
 select shard_ord, cast(n_observations as bigint) as n_observations,
  concat(layout, case when random then '_rand' else '' end) as name, kind, random, sparse,
  cast((n_observations + 127) // 128 as bigint) as n_batches
-from a where not (random and kind in ('arrow', 'polars'))"""
+from a where not (random and kind in ('arrow', 'polars'))
+ and not (sparse and kind in ('arrow', 'parquet', 'polars', 'zarrV3tensorstore', 'zarrV2tensorstore'))
+ and not (not sparse and kind in ('soma'))"""
 
 
 def _wide_columns(n: int = 64) -> str:
     return ", ".join(f"cast(x[{i + 1}] as double) as g{i}" for i in range(n))
 
 
-def _loaded(order: str, size: str) -> str:
-    """Summary of the whole batches of a loading run; ``order`` defines o(row_id, ord)."""
+def _loaded(order: str, size: str, rows: str = "n // size * size", epoch: str = "") -> str:
+    """Summary of the batches of a loading run within ``rows``; ``order`` defines o(row_id, ord)."""
     return f"""
 with {order},
  z as (select {size} as size, (select count(*) from orders) as n)
-select ord // size as batch_id, cast(count(*) as bigint) as n_rows, cast(sum(nnz) as bigint) as nnz, sum(total) as total,
+select {epoch} ord // size as batch_id, cast(count(*) as bigint) as n_rows, cast(sum(nnz) as bigint) as nnz, sum(total) as total,
  cast(sum(s.row_id * (ord % size)) as bigint) as order_sum, cast(count(distinct cell_line) as bigint) as n_labels
 from o join ({_SUMS}) s on o.row_id = s.row_id, z
-where ord // size < n // size group by 1"""
+where ord < {rows} group by {"1, 2" if epoch else "1"}"""
 
 
-# Batch size of 4096 rows, or a tenth of a smaller collection.
-_SIZE = "(select case when 40960 > count(*) then greatest(1, count(*) // 10) else 4096 end from orders)"
+def _size(rows: int) -> str:
+    """Batch size of so many rows, or a tenth of a smaller collection."""
+    return f"(select case when {rows * 10} > count(*) then greatest(1, count(*) // 10) else {rows} end from orders)"
+
+
+_SIZE = _size(4096)
 # The largest divisor of a window of 256 x 8 rows that is no larger.
 _WINDOW_SIZE = f"(select max(d) from (select unnest(range(1, 2049)) as d) r where 2048 % d = 0 and d <= {_SIZE})"
 
@@ -83,6 +95,17 @@ ORACLE: dict[str, str] = {
         _SIZE,
     ),
     "loading_run_chunk_window": _loaded(_chunks(256, 8, _ROWS, "row_id"), _WINDOW_SIZE),
+    "loading_run_budget": _loaded(f"o as ({_PERM})", _size(96), "least(n, 1000) // size * size"),
+    "loading_run_epochs": _loaded(
+        f"""e as (select row_id, cast(unnest(range(3)) as integer) as epoch from ({_ROWS}) r),
+ p as (select row_id, epoch, row_number() over (partition by epoch
+         order by md5(concat('42:', epoch, 'b:', row_id // 4)), row_id) - 1 as o from e),
+ o as (select row_id, epoch, row_number() over (partition by epoch
+         order by o // (16 * {_size(96)}), md5(concat('42:', epoch, 'r:', row_id)), row_id) - 1 as ord from p)""",
+        _size(96),
+        "n",
+        "epoch,",
+    ),
     "prepare_collections": f"""
 with src as (select row_id, {_SHARD_ROWS} as size, (select max(o_orderkey) from orders) as top from ({_ROWS}) r),
  pos as (select row_id, size, row_number() over (order by -(row_id // size), row_id) - 1 as place from src),
@@ -118,7 +141,7 @@ select list_ord, k.shard_key, row_id from k join l on k.shard_key = l.shard_key"
     "dir_suffix_scan": f"select row_id, cast(len(x) as bigint) as n_values, cast(list_max(x) as double) as largest from ({_DENSE}) d",
     "numbered_shard_scan": f"select row_id, cast(row_id // {_SHARD_ROWS} as integer) as shard, cell_states from ({_ROWS}) r",
     "concat_scan": f"select row_id, cast(row_id // {_SHARD_ROWS} as integer) as shard, cell_line, nnz, total from ({_SUMS}) s",
-    "checked_concat": f"select row_id, cast(row_id // 128 as integer) as shard, cast(len(x) as bigint) as n_var from ({_DENSE}) d",
+    "checked_concat": f"select row_id, cast(row_id // {_SHARD_ROWS} as integer) as shard, nnz, total from ({_SUMS}) s",
     "obs_columns": f"select row_id, cell_line from ({_ROWS}) r",
     "layer_select": _COO,
     "wide_scan_split": f"""select cast(v as integer) as var_id, cast(x[v + 1] as double) as value, code as label
@@ -128,14 +151,15 @@ select list_ord, k.shard_key, row_id from k join l on k.shard_key = l.shard_key"
     "gene_list_scan": f"select gene_ord, var_name from ({_GENES}) g",
     "write_sparse": f"select row_id, nnz, total, nnz as coo_nnz, total as coo_total from ({_SUMS}) s",
     "write_dense_chunked": f"""select row_id // 128 * 128 as first_row, cast(count(*) as bigint) as n_rows,
- cast(sum(code) as bigint) as code_sum from ({_DENSE}) d group by 1""",
+ cast(sum(code) as bigint) as code_sum, {_X_SUM} from ({_DENSE}) d group by 1""",
     "write_two_level_chunks": f"""
-with f as (select row_id // 128 as file, count(*) as file_rows from ({_DENSE}) d group by 1)
+with f as (select row_id // 256 as file, count(*) as file_rows from ({_DENSE}) d group by 1)
 select row_id // 32 * 32 as first_row, cast(count(*) as bigint) as n_rows, cast(max(file_rows) as bigint) as file_rows,
- cast(sum(code) as bigint) as code_sum
-from ({_DENSE}) d join f on row_id // 128 = file group by 1""",
-    "write_wide_row_groups": f"""select n_rows, cast(count(*) as bigint) as n_groups
- from (select row_id // 128 as g, cast(count(*) as bigint) as n_rows from ({_DENSE}) d group by 1) r group by 1""",
+ cast(sum(code) as bigint) as code_sum, {_X_SUM}
+from ({_DENSE}) d join f on row_id // 256 = file group by 1""",
+    "write_wide_row_groups": f"""select row_id, row_id // 128 as group_id, row_id % 128 as pos,
+ round(cast(x[1] as double), 6) as g0, round(cast(x[len(x)] as double), 6) as g63, cast(code as integer) as code
+from ({_DENSE}) d""",
     "reshard_shuffled": f"""select cast(ord // {_SHARD_ROWS} as integer) as shard, ord as row_id, s.row_id as source_row_id,
  cell_line, nnz, total from ({_SUMS}) s join ({_PERM}) p on s.row_id = p.row_id""",
     "reshard_ordered": f"""select cast(row_id // ({_SHARD_ROWS} // 2) as integer) as shard, row_id, cell_line, nnz, total
@@ -165,9 +189,9 @@ select 'orders_parquet_mini', 'first shard', shard_ord, shard_key, n_observation
     "append_result_row": f"""
 select tool, 'orders_parquet' as collection,
  (select cast(count(distinct o_orderkey // {_SHARD_ROWS}) as integer) from orders) as n_datasets,
- round(count(*) * 1024 / {_EXACT}, 6) as n_samples_per_sec, cast(count(*) * 1024 as bigint) as n_samples_loaded,
+ round(sum(n_rows) / {_EXACT}, 6) as n_samples_per_sec, 2000000 as n_samples_requested, cast(sum(n_rows) as bigint) as n_samples_loaded,
  (select cast(count(*) as bigint) from orders) as n_samples_collection,
- 4 as num_workers, 1024 as batch_size, 256 as chunk_size, 'unknown' as compute_spec, concat('run-', tool) as run,
+ 4 as num_workers, cast(length(tool) % 3 * 512 + 1024 as integer) as batch_size, 256 as chunk_size, 'unknown' as compute_spec, concat('run-', tool) as run,
  max(ts) as "timestamp", 'tester' as "user"
 from ({_TIMED}) e group by tool""",
     "head_slice": f"select * from ({_COO}) c where row_id < 256 and var_id < 500",
@@ -210,12 +234,35 @@ select row_id, ord // 128 as batch_id, ord % 128 as pos from o""",
 with g as (select k, row_number() over (order by md5(concat('42g:', cast(k as varchar))), k) - 1 as batch_id
            from (select distinct row_id // 128 as k from ({_ROWS}) r) d)
 select row_id, batch_id, row_id % 128 as pos from ({_ROWS}) r join g on row_id // 128 = k""",
-    "row_group_scan": f"""select cast(code as tinyint) as code, cast(count(*) as bigint) as n_rows, max(row_id % 128) as last_pos,
- max(cast(x[1] as double)) as g0 from ({_DENSE}) d group by 1""",
+    "row_group_scan": f"""select row_id, row_id // 128 as group_id, row_id % 128 as pos,
+ round(cast(x[1] as double), 6) as g0, cast(code as integer) as code from ({_DENSE}) d""",
     "layout_passes": f"""
-with m as ({_layout_matrix(_DENSE, 'row_id')})
-select name, 0 as epoch, cast(count(*) as bigint) as n_rows, cast(sum(code) as bigint) as label_sum
-from (select distinct name from m) n, ({_DENSE}) d group by 1""",
+with e as (select row_id, code, cast(unnest(range(4)) as integer) as epoch,
+            list_sum(list_transform(x, lambda v: cast(round(cast(v as double) * 1e6) as bigint))) as xs from ({_DENSE}) d),
+ s as (select unnest([128, 65536]) as size),
+ p as (select *, row_number() over (partition by epoch order by md5(concat('42:', epoch, ':', row_id)), row_id) - 1 as ord
+       from e),
+ g as (select epoch, size, k, row_number() over (partition by epoch, size order by md5(concat('42:', epoch, 'g:', k)), k) - 1
+       as place from (select distinct epoch, size, row_id // size as k from e, s) d),
+ n as (select unnest(['h5py_sp', 'soma_sp', 'h5py_dense', 'zarr_sp', 'zarr_dense', 'zarr_dense_chunk', 'polars', 'arrow',
+       'arrow_chunk', 'zarrV3tensorstore_dense_chunk', 'zarrV2tensorstore_dense_chunk']) as name),
+ w as (select 'parquet' as name, 65536 as size union all select 'parquet_chunk', 128),
+ b as (
+  select name, epoch, row_id // 128 as batch_id, code, xs from e, n
+  union all select concat(name, '_rand'), epoch, ord // 128, code, xs from p, n
+   where name not in ('polars', 'arrow', 'arrow_chunk')
+  union all select name, epoch, row_id // size, code, xs from e, w
+  union all select concat(name, '_rand'), e.epoch, place, code, xs
+   from e, w join g on g.size = w.size where g.epoch = e.epoch and g.k = e.row_id // w.size)
+select name, epoch, cast(batch_id as bigint) as batch_id, cast(count(*) as bigint) as n_rows,
+ cast(sum(code) as bigint) as label_sum, cast(sum(xs) as bigint) as value_sum from b group by 1, 2, 3""",
+    "storage_report": f"""
+with n as (select count(*) as n from ({_DENSE}) d),
+ r as (select unnest([{_LAYOUT_NAMES}]) as storage)
+select storage, true as sized, cast(case
+ when storage in ('parquet', 'polars', 'arrow') then (n + 65536 * 64 - 1) // (65536 * 64)
+ when storage = 'zarrV3tensorstore_dense_chunk' then (n + 128 * 512 - 1) // (128 * 512)
+ when contains(storage, 'chunk') then (n + 128 * 64 - 1) // (128 * 64) end as bigint) as n_objects from r, n""",
     "part_shuffle": f"""with {_chunks(1250, 1, _ROWS, "row_id")}
 select row_id, ord // 1024 as batch_id, ord % 1024 as pos from o
 where ord // 1024 < (select count(*) // 1024 from orders)""",

@@ -79,6 +79,7 @@ def prepare_collections(
             shard_rows=shard_rows,
             chunk_rows=relayout_chunk,
             rows_per_file=rows_per_file,
+            n_rows=n_rows,
         )
 
     chunked = f"{out}/{name}_chunked"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,13 +60,21 @@ def subset_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _loaded(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+def _read_back(spark: SparkSession, path: str) -> DataFrame:
+    """A written store as one matrix, as its readers see it: many files per shard."""
+    stored = spark.read.parquet(path)
+    manifest = registry.shard_manifest(stored, collection_key="back", description="", key_prefix="back", root=path)
+    schema = schemas.T.StructType([f for f in stored.schema.fields if f.name != "shard"])
+    return scans.concat_scan(spark, manifest, "back", schema)
+
+
+def _loaded(spark: SparkSession, sf_dir: str, method: str, **options) -> DataFrame:
     """What each batch of a loading run on the whole collection holds."""
     store = fx.sharded_store(spark, sf_dir)
-    run = loading.loading_run(
-        spark, store.manifest, fx.COLLECTION, store.schema, method, n_datasets=-1, n_samples=-1
-    )
+    run = loading.loading_run(spark, store.manifest, fx.COLLECTION, store.schema, method, **options)
+    epoch = ["epoch"] if options.get("epochs") else []
     rows = run.batches.select(
+        *epoch,
         "batch_id",
         "row_id",
         "pos",
@@ -73,7 +82,7 @@ def _loaded(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
         F.size("indices").cast("bigint").alias("nnz"),
         F.aggregate("values", F.lit(0.0), lambda s, v: s + v.cast("double")).alias("total"),
     )
-    return rows.groupBy("batch_id").agg(
+    return rows.groupBy(*epoch, "batch_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum("nnz").alias("nnz"),
         F.sum("total").alias("total"),
@@ -97,12 +106,21 @@ def loading_run_chunk_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _loaded(spark, sf_dir, "chunk_window")
 
 
+@query
+def loading_run_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded(spark, sf_dir, "permutation", n_samples=1_000, batch_size=96)
+
+
+@query
+def loading_run_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded(spark, sf_dir, "block", epochs=3, batch_size=96, drop_last=False)
+
+
 @query
 def prepare_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = fx.sharded_store(spark, sf_dir)
     # The source shards are joined in reverse of their number.
     keys = [r.shard_key for r in store.manifest.orderBy(F.desc("shard_ord")).select("shard_key").collect()]
-    size = fx.shard_rows(spark, sf_dir)
     manifest = preparation.prepare_collections(
         spark,
         store.manifest,
@@ -112,8 +130,8 @@ def prepare_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
         fx.gene_list(spark, sf_dir),
         workdir.fresh_path(spark, "prepared"),
         name="orders",
-        shard_rows=size,
-        rows_per_file=size,
+        shard_rows=fx.SHARD_ROWS,
+        rows_per_file=fx.FILE_ROWS,
         relayout_chunk=512,
     )
     sums = None
@@ -176,7 +194,7 @@ def dir_suffix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbered_shard_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = fx.sharded_store(spark, sf_dir)
     n_shards = store.manifest.count()
-    rows = scans.numbered_shard_scan(spark, store.root, n_shards, store.schema)
+    rows = scans.numbered_shard_scan(spark, store.root, n_shards, store.schema, max_shards=n_shards)
     return rows.select("row_id", "shard", "cell_states")
 
 
@@ -189,12 +207,14 @@ def concat_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def checked_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = fx.x_dense(spark, sf_dir).withColumn("shard", scans.shard_of(F.col("row_id"), BATCH))
-    lengths = x.select("shard", F.array_size("x").alias("n")).distinct()
-    var = lengths.select("shard", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("var_ord")).withColumn(
-        "var_name", F.concat(F.lit("g"), F.col("var_ord").cast("string"))
-    )
-    return scans.checked_concat(x, var).select("row_id", "shard", F.size("x").cast("bigint").alias("n_var"))
+    """The stored shards as one matrix, each with a stored variable list of its own."""
+    store = fx.sharded_store(spark, sf_dir)
+    path = workdir.fresh_path(spark, "shard-variables")
+    names = fx.var(spark, sf_dir).select(F.col("var_id").alias("var_ord"), "var_name")
+    shards = F.sequence(F.lit(0), F.lit(store.manifest.count() - 1))
+    names.select(F.explode(shards).alias("shard"), "var_ord", "var_name").write.partitionBy("shard").parquet(path)
+    rows = scans.concat_scan(spark, store.manifest, fx.COLLECTION, store.schema)
+    return _row_sums(scans.checked_concat(rows, spark.read.parquet(path)), "row_id", "shard")
 
 
 @query
@@ -259,13 +279,23 @@ def write_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _value_sums():
+    """Label sum and, exact in any order, the places and values of a group of dense rows."""
+    weighted = F.aggregate(
+        F.transform("x", lambda v, i: F.round(v.cast("double") * 1e6).cast("bigint") * (i + 1)),
+        F.lit(0).cast("bigint"),
+        lambda s, v: s + v,
+    )
+    return F.sum("code").alias("code_sum"), F.sum(weighted * (F.col("row_id") + 1)).alias("x_sum")
+
+
 @query
 def write_dense_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workdir.fresh_path(spark, "dense_chunked")
     layouts.write_dense_chunked(fx.x_dense(spark, sf_dir), path, batch=BATCH, batches_per_file=2)
     groups = layouts.row_groups(spark, path, key="row_id").select(F.col("first_key").alias("first_row"), "n_rows")
     first = F.expr(f"row_id div {BATCH} * {BATCH}")
-    stored = spark.read.parquet(path).groupBy(first.alias("first_row")).agg(F.sum("code").alias("code_sum"))
+    stored = spark.read.parquet(path).groupBy(first.alias("first_row")).agg(*_value_sums())
     return groups.join(stored, "first_row")
 
 
@@ -273,11 +303,13 @@ def write_dense_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_two_level_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workdir.fresh_path(spark, "dense_nested")
     dense = fx.x_dense(spark, sf_dir)
-    layouts.write_two_level_chunks(dense, dense.select("row_id", "code"), path, outer=BATCH, inner=32)
+    layouts.write_two_level_chunks(
+        dense, dense.select("row_id", "code"), path, outer=BATCH, inner=32, chunks_per_file=2
+    )
     groups = layouts.row_groups(spark, path, key="row_id")
     files = groups.groupBy("path").agg(F.sum("n_rows").alias("file_rows"))
     stored = scans.read_with_labels(spark, path)
-    sums = stored.groupBy(F.expr("row_id div 32 * 32").alias("first_row")).agg(F.sum("code").alias("code_sum"))
+    sums = stored.groupBy(F.expr("row_id div 32 * 32").alias("first_row")).agg(*_value_sums())
     return (
         groups.join(files, "path")
         .select(F.col("first_key").alias("first_row"), "n_rows", "file_rows")
@@ -290,17 +322,19 @@ def write_wide_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workdir.fresh_path(spark, "wide")
     dense = fx.x_dense(spark, sf_dir)
     names = [f"g{i}" for i in range(fx.n_values(dense))]
-    layouts.write_wide(layouts.wide_project(dense, names, "code", keep=["row_id"]), path, row_group=BATCH)
-    return layouts.row_groups(spark, path).groupBy("n_rows").agg(F.count(F.lit(1)).alias("n_groups"))
+    wide = layouts.wide_project(dense, names, "code", keep=["row_id"])
+    layouts.write_wide(wide, path, row_group=BATCH, groups_per_file=2)
+    rows = scans.row_group_scan(spark, path)
+    value = lambda name: F.round(F.col(name).cast("double"), 6).alias(name)
+    return rows.select("row_id", "group_id", "pos", value(names[0]), value(names[-1]), F.col("code").cast("int"))
 
 
 @query
 def reshard_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workdir.fresh_path(spark, "shuffled")
     rows = fx.stored_rows(spark, sf_dir).drop("shard")
-    size = fx.shard_rows(spark, sf_dir)
-    reshard.reshard_shuffled(rows, path, shard_rows=size, rows_per_file=size, chunk_rows=256)
-    return _row_sums(spark.read.parquet(path), "shard", "row_id", "source_row_id", "cell_line")
+    reshard.reshard_shuffled(rows, path, shard_rows=fx.SHARD_ROWS, rows_per_file=fx.FILE_ROWS, chunk_rows=256)
+    return _row_sums(_read_back(spark, path), "shard", "row_id", "source_row_id", "cell_line")
 
 
 @query
@@ -308,8 +342,8 @@ def reshard_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workdir.fresh_path(spark, "ordered")
     store = fx.sharded_store(spark, sf_dir)
     rows = scans.concat_scan(spark, store.manifest, fx.COLLECTION, store.schema).drop("shard")
-    reshard.reshard_ordered(rows, path, shard_rows=fx.shard_rows(spark, sf_dir) // 2)
-    return _row_sums(spark.read.parquet(path), "shard", "row_id", "cell_line")
+    reshard.reshard_ordered(rows, path, shard_rows=fx.SHARD_ROWS // 2, rows_per_file=512, chunk_rows=128)
+    return _row_sums(_read_back(spark, path), "shard", "row_id", "cell_line")
 
 
 @query
@@ -374,10 +408,11 @@ def append_result_row(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(fx.COLLECTION).alias("collection"),
         total.select("n_shards").scalar().alias("n_datasets"),
         F.round("samples_per_sec", 6).alias("n_samples_per_sec"),
+        F.lit(2_000_000).alias("n_samples_requested"),
         F.col("n_rows").alias("n_samples_loaded"),
         total.select("n_samples").scalar().alias("n_samples_collection"),
         F.lit(4).alias("num_workers"),
-        F.lit(1024).alias("batch_size"),
+        (F.length("tool") % 3 * 512 + 1024).alias("batch_size"),
         F.lit(256).alias("chunk_size"),
         F.lit("unknown").alias("compute_spec"),
         F.concat(F.lit("run-"), "tool").alias("run"),
@@ -390,15 +425,16 @@ def append_result_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def storage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layouts.storage_report(spark, fx.layout_stores(spark, sf_dir))
+    """File counts are exact where files are; bytes depend on the writer, so they are not listed."""
+    report = layouts.storage_report(spark, fx.layout_stores(spark, sf_dir))
+    exact = F.contains("storage", F.lit("chunk")) | F.col("storage").isin("parquet", "arrow", "polars")
+    return report.select("storage", (F.col("size") > 0).alias("sized"), F.when(exact, F.col("n_objects")).alias("n_objects"))
 
 
 @query
 def layout_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = fx.layout_stores(spark, sf_dir)
-    log = workdir.fresh_path(spark, "passes")
     labels = fx.x_dense(spark, sf_dir).select("row_id", "code")
-    return layout_study.time_passes(spark, paths, labels, "code", log, epochs=1).drop("seconds")
+    return layout_study.layout_passes(spark, fx.layout_stores(spark, sf_dir), labels, "code")
 
 
 # --- slices ----------------------------------------------------------------
@@ -548,8 +584,8 @@ def row_group_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def row_group_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scans.row_group_scan(spark, fx.layout_stores(spark, sf_dir)["parquet_chunk"])
-    return rows.groupBy("code").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.max("pos").alias("last_pos"), F.max(F.col("g0").cast("double")).alias("g0")
+    return rows.select(
+        "row_id", "group_id", "pos", F.round(F.col("g0").cast("double"), 6).alias("g0"), F.col("code").cast("int")
     )
 
 
@@ -580,7 +616,7 @@ def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def shard_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.row_ids(spark, sf_dir).withColumn(
-        "shard", scans.shard_of(F.col("row_id"), fx.shard_rows(spark, sf_dir))
+        "shard", scans.shard_of(F.col("row_id"), fx.SHARD_ROWS)
     )
     manifest = registry.shard_manifest(
         rows, collection_key=fx.COLLECTION, description="orders", key_prefix="orders", root=""
@@ -670,12 +706,13 @@ def batch_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = batches.shuffled_batches(rows, BATCH)
 
     def summarise(batch: pd.DataFrame) -> pd.DataFrame:
+        values = np.concatenate(batch["values"].to_numpy()).astype(np.float64)
         return pd.DataFrame(
             {
                 "batch_id": batch["batch_id"].iloc[:1],
                 "n_rows": len(batch),
-                "nnz": int(batch["indices"].map(len).sum()),
-                "total": float(sum(v.sum(dtype="float64") for v in batch["values"])),
+                "nnz": len(values),
+                "total": values.sum(),
                 "first_row": batch["row_id"].iloc[:1],
             }
         )
@@ -691,13 +728,8 @@ def batch_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def chunk_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     def peak(chunk: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "row_id": chunk["row_id"],
-                "n_positive": chunk["x"].map(lambda x: int((x > 0).sum())),
-                "largest": chunk["x"].map(lambda x: float(x.max())),
-            }
-        )
+        x = np.stack(chunk["x"].to_numpy()) if len(chunk) else np.zeros((0, 1))
+        return pd.DataFrame({"row_id": chunk["row_id"], "n_positive": (x > 0).sum(axis=1), "largest": x.max(axis=1)})
 
     return batches.chunk_callback(
         fx.x_dense(spark, sf_dir).select("row_id", "x"), peak, "row_id bigint, n_positive bigint, largest double"

@@ -76,6 +76,7 @@ RESULTS = T.StructType(
         T.StructField("collection", T.StringType()),
         T.StructField("n_datasets", T.IntegerType()),
         T.StructField("n_samples_per_sec", T.DoubleType()),
+        T.StructField("n_samples_requested", T.LongType()),
         T.StructField("n_samples_loaded", T.LongType()),
         T.StructField("n_samples_collection", T.LongType()),
         T.StructField("num_workers", T.IntegerType()),

@@ -75,7 +75,7 @@ def register_first_shard(
     )
 
 
-def collection(manifest: DataFrame, collection_key: str, n_datasets: int = 1) -> DataFrame:
+def collection(manifest: DataFrame, collection_key: str, n_datasets: int = -1) -> DataFrame:
     """Manifest rows of the first ``n_datasets`` shards; -1 takes all."""
     chosen = manifest.filter(F.col("collection_key") == collection_key)
     return chosen if n_datasets == -1 else chosen.filter(F.col("shard_ord") < n_datasets)
@@ -86,7 +86,7 @@ def collection_scan(
     manifest: DataFrame,
     collection_key: str,
     schema: T.StructType,
-    n_datasets: int = 1,
+    n_datasets: int = -1,
 ) -> DataFrame:
     """Rows of the first shards of a collection, read from their registered paths.
 
@@ -102,7 +102,7 @@ def collection_scan(
     return spark.read.schema(sharded).option("basePath", root).parquet(*paths)
 
 
-def collection_total(manifest: DataFrame, collection_key: str, n_datasets: int = 1) -> DataFrame:
+def collection_total(manifest: DataFrame, collection_key: str, n_datasets: int = -1) -> DataFrame:
     """Rows and shards of a collection, from the manifest alone."""
     return collection(manifest, collection_key, n_datasets).agg(
         F.coalesce(F.sum("n_observations"), F.lit(0)).alias("n_samples"), F.count(F.lit(1)).alias("n_shards")
@@ -117,7 +117,7 @@ def uid_list_scan(spark: SparkSession, manifest: DataFrame, shard_keys: list[str
     """
     wanted = spark.createDataFrame(list(enumerate(shard_keys)), "list_ord int, shard_key string")
     found = manifest.groupBy("shard_key").agg(F.count(F.lit(1)).alias("_n"))
-    checked = F.broadcast(wanted).join(found, "shard_key", "left")
+    checked = wanted.join(found, "shard_key", "left")
     checked = checked.filter(
         ensure(F.col("_n").eqNullSafe(F.lit(1)), F.concat(F.lit("not one shard: "), F.col("shard_key")))
     )

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom import schemas
-from rowloom.operators.layouts import MAX_LIST_VALUES, dense_length_check, label_path, row_groups
+from rowloom.operators.layouts import MAX_LIST_VALUES, dense_length_check, file_order, label_path, row_groups
 from rowloom.sources.registry import collection
 from rowloom.workdir import settle
 
-# A collection has at most this many numbered shards.
+# A collection has at most this many numbered shards, unless the caller says otherwise.
 MAX_NUMBERED_SHARDS = 48
 # The per-file offsets are broadcast up to this many files.
 MAX_BROADCAST_FILES = 100_000
@@ -32,10 +32,12 @@ def dir_suffix_scan(spark: SparkSession, path: str, suffix: str, schema: T.Struc
     )
 
 
-def numbered_shard_scan(spark: SparkSession, root: str, n: int, schema: T.StructType) -> DataFrame:
+def numbered_shard_scan(
+    spark: SparkSession, root: str, n: int, schema: T.StructType, max_shards: int = MAX_NUMBERED_SHARDS
+) -> DataFrame:
     """Shards 0..n-1 of a store, with their number in ``shard``; a missing one fails."""
-    if not 0 < n <= MAX_NUMBERED_SHARDS:
-        raise ValueError(f"number of shards must be between 1 and {MAX_NUMBERED_SHARDS}, not {n}")
+    if not 0 < n <= max_shards:
+        raise ValueError(f"number of shards must be between 1 and {max_shards}, not {n}")
     paths = [f"{root}/shard={i}" for i in range(n)]
     return spark.read.schema(_sharded(schema)).option("basePath", root).parquet(*paths)
 
@@ -66,49 +68,68 @@ def concat_scan(
 def concat_listed(spark: SparkSession, shards: DataFrame, schema: T.StructType) -> DataFrame:
     """Shards as one matrix: ``row_id`` counts on from shard to shard in ``shard_ord``.
 
-    Rows are numbered where they are read, from the file's row index and the rows
-    in earlier files, so no row moves. A shard of several files counts them in
-    name order. A shard whose row count is not the registered one is an error.
+    No row moves. A shard that stores ``row_id`` is read by it: its ids must be
+    consecutive, and are shifted to its place; the order of its files does not
+    matter and the plan has one line per shard to join. In a store without ids
+    the place of a row is that of its file, in the order of the tasks that wrote
+    them, and its index in it. A shard whose row count is not the registered one is an error.
     """
-    paths = [r.path for r in shards.orderBy("shard_ord").select("path").collect()]
-    if not paths:
+    listed = shards.orderBy("shard_ord").select("shard_ord", "path", "n_observations").collect()
+    if not listed:
         raise LookupError("no shards to read")
-    if len({p.rstrip("/").rsplit("/", 1)[-1] for p in paths}) < len(paths):
+    names = [r.path.rstrip("/").rsplit("/", 1)[-1] for r in listed]
+    if len(set(names)) < len(names):
         raise ValueError("shards need different directory names")
-    own = T.StructType([f for f in schema.fields if f.name != "row_id"])
-    stored = spark.read.schema(own).parquet(*paths)
+    paths = [r.path for r in listed]
+    known = "row_id" in spark.read.parquet(paths[0]).columns
+    fields = [f for f in schema.fields if f.name != "row_id"]
+    own = [f.name for f in fields]
+    ids = [T.StructField("row_id", T.LongType())] if known else []
+    stored = spark.read.schema(T.StructType([*ids, *fields])).parquet(*paths)
+    file = F.col("_metadata.file_path")
     scan = stored.select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index")
-    )
-    counted = (
-        scan.groupBy("_file")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_dir", F.regexp_extract("_file", "([^/]+)/[^/]+$", 1))
-    )
-    registered = shards.select(
-        F.col("shard_ord").alias("shard"), "n_observations", F.regexp_extract("path", "([^/]+)/*$", 1).alias("_dir")
-    )
-    # One line per file, written once: the check and the offsets both read it.
-    files = settle(counted.join(registered, "_dir", "full"), "files")
-    wrong = (
-        files.groupBy("_dir", "n_observations")
-        .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("found"))
-        .filter(~F.col("found").eqNullSafe(F.col("n_observations")))
-        .head(1)
+        "*",
+        F.substring_index(F.substring_index(file, "/", -2), "/", 1).alias("_dir"),
+        *([] if known else [file.alias("_file"), F.col("_metadata.row_index").alias("_index")]),
     )
-    if wrong:
-        raise ValueError(
-            f"row count differs from the manifest in {wrong[0]._dir}: "
-            f"{wrong[0].found} stored, {wrong[0].n_observations} registered"
+    if known:
+        counted = scan.groupBy("_dir").agg(
+            F.count("row_id").alias("n"),
+            F.min("row_id").alias("lo"),
+            F.max("row_id").alias("hi"),
+            F.sum(F.col("row_id").cast("decimal(38,0)")).alias("total"),
         )
-    earlier = Window.orderBy("shard", "_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.filter(F.col("_file").isNotNull()).select(
-        "_file", "shard", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first")
+    else:
+        files = settle(scan.groupBy("_dir", "_file").agg(F.count(F.lit(1)).alias("_n")), "files")
+        counted = files.groupBy("_dir").agg(F.sum("_n").alias("n"))
+    found = {r._dir: r for r in counted.collect()}  # one line per shard, like the path list
+    first, places = 0, []
+    for name, shard in zip(names, listed):
+        n = found[name].n if name in found else 0
+        if n != shard.n_observations:
+            raise ValueError(
+                f"row count differs from the manifest in {name}: {n} stored, {shard.n_observations} registered"
+            )
+        low = 0
+        if known and n:
+            seen = found[name]
+            if seen.hi - seen.lo + 1 != n or int(seen.total) * 2 != n * (seen.lo + seen.hi):
+                raise ValueError(f"row ids are not consecutive in {name}: {n} rows from {seen.lo} to {seen.hi}")
+            low = seen.lo
+        places.append((name, shard.shard_ord, first - low))
+        first += n
+    offsets = F.broadcast(spark.createDataFrame(places, "_dir string, shard int, _shift bigint"))
+    if known:
+        placed = scan.join(offsets, "_dir").withColumn("row_id", F.col("row_id") + F.col("_shift"))
+        return placed.select("row_id", *own, "shard")
+    earlier = Window.partitionBy("_dir").orderBy(*file_order("_file")).rowsBetween(Window.unboundedPreceding, -1)
+    by_file = files.join(offsets, "_dir").select(
+        "_file", "shard", (F.col("_shift") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("_first")
     )
     if len(stored.inputFiles()) <= MAX_BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
-    numbered = scan.join(offsets, "_file").withColumn("row_id", F.col("_first") + F.col("_index"))
-    return numbered.select("row_id", *[f.name for f in own.fields], "shard")
+        by_file = F.broadcast(by_file)
+    numbered = scan.join(by_file, "_file").withColumn("row_id", F.col("_first") + F.col("_index"))
+    return numbered.select("row_id", *own, "shard")
 
 
 def concat_shards(frames: list[DataFrame]) -> DataFrame:
@@ -174,7 +195,7 @@ def wide_scan_split(wide: DataFrame) -> DataFrame:
 def row_group_scan(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a Parquet directory with their place, row groups of any size.
 
-    Adds ``row_id`` (position in file name order), ``group_id`` (row group in the
+    Adds ``row_id`` (position in the order of files, see ``file_order``), ``group_id`` (row group in the
     same order) and ``pos`` (position in the row group) before the stored
     columns. Places come from the footers; rows are numbered where they are read.
     """
@@ -187,7 +208,7 @@ def row_group_scan(spark: SparkSession, path: str) -> DataFrame:
     files = groups.groupBy("_name").agg(
         F.sort_array(F.collect_list("_start")).alias("_starts"), F.sum("n_rows").alias("_rows")
     )
-    earlier = Window.orderBy("_name").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(*file_order("_name")).rowsBetween(Window.unboundedPreceding, -1)
     files = files.select(
         "_name",
         "_starts",

@@ -6,40 +6,66 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one on ``local`` only."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+    """The folder in ``spark.checkpoint.dir``; a temporary one on ``local`` only.
+
+    On a cluster it must be a folder that the driver and all executors share: a
+    store, or a ``file:`` path on a mount that all of them have.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not sc.master.startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local") or "-cluster" in spark.conf.get("spark.master", ""):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    app = sc.applicationId
+    app = spark.conf.get("spark.app.id")
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="rowloom-")
     return _LOCAL_DIRS[app]
 
 
+def _app_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/rowloom/{spark.conf.get('spark.app.id')}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else writes to."""
-    app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/rowloom/{app}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_app_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def app_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that this application reuses."""
-    return f"{shared_dir(spark)}/rowloom/{spark.sparkContext.applicationId}/{name}"
+    return f"{_app_dir(spark)}/{name}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application has written to the shared folder.
+
+    Call it when the results that read from there have been consumed, at the end
+    of an application or between its jobs.
+    """
+    from pyarrow import fs
+
+    path = _app_dir(spark)
+    store, name = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    if store.get_file_info(name).type == fs.FileType.Directory:
+        store.delete_dir(name)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(hadoop_path)
+    """Whether there is a file or folder; lists it and reads nothing."""
+    try:
+        spark.read.format("binaryFile").load(path).schema  # noqa: B018
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def is_complete(spark: SparkSession, path: str, expected_rows: int | None = None) -> bool:

@@ -72,7 +72,9 @@ def test_throughput_counts_what_it_sums(log):
         (False, 3 * 1024 + 5, range(3)),
         (True, 3 * 1024 + 5, range(1, 4)),
     ):
-        rates = metrics.throughput(log, ["tool", "epoch"], n_samples=samples, skip_first=skip).collect()
+        rates = metrics.throughput(
+            log, ["tool", "epoch"], batch_size=1024, n_samples=samples, skip_first=skip
+        ).collect()
         assert len(rates) == 4
         for r in rates:
             seconds = sum(s for t, e, i, n, s in LOG if (t, e) == (r.tool, r.epoch) and i in chosen)
@@ -81,6 +83,18 @@ def test_throughput_counts_what_it_sums(log):
             assert r.time_per_sample == pytest.approx(1e6 * seconds / r.n_rows)
 
 
+def test_batches_of_any_size_count(spark, log):
+    for skip in (False, True):
+        rates = metrics.throughput(log, ["tool", "epoch"], skip_first=skip).collect()
+        assert {(r.n_batches, r.n_rows) for r in rates} == {(10 - skip, 1024 * (9 - skip) + 100)}
+    other = spark.createDataFrame([("a", 0, i, 2048, 0.5) for i in range(5)], log.schema)
+    assert [r.n_rows for r in metrics.throughput(other, ["tool"]).collect()] == [5 * 2048]
+    assert [r.n_rows for r in metrics.throughput_epochs(other).collect()] == [4 * 2048]
+    assert metrics.nested_results(other).count() == 1
+    with pytest.raises(ValueError, match="needs the batch size"):
+        metrics.throughput(log, ["tool"], n_samples=10)
+
+
 def test_runs_of_no_time(spark):
     log = spark.createDataFrame([("a", 0, 1024, 0.0)], "tool string, batch_idx bigint, n_rows int, seconds double")
     assert metrics.throughput(log, ["tool"]).first().samples_per_sec is None
@@ -106,7 +120,7 @@ def test_intervals_across_ranges(spark, width):
 
 def test_nested_results_lines_merge_to_one_document(spark, log):
     path = workdir.fresh_path(spark, "nested")
-    metrics.write_nested_results(log, path, segment=4)
+    metrics.write_nested_results(log, path, batch_size=1024, segment=4)
     lines = [json.loads(r.value) for r in spark.read.text(path).collect()]
     parts = {}
     for line in lines:

@@ -4,14 +4,14 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, rows_of_spark, rows_of_sql
+from rowloom.plans.oracle import ORACLE
+from rowloom.plans.queries import QUERIES
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
 
 
-def test_only_byte_sizes_have_no_sql():
-    assert set(QUERIES) - set(ORACLE) == {"storage_report"}
-    assert set(ORACLE) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)
+    assert QUERIES.items() <= entry.queries().items() and ORACLE.items() <= entry.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

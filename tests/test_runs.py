@@ -57,7 +57,7 @@ def test_recorded_run_is_in_the_sheet(spark, store):
     assert len(sheet) == 1
     row = sheet[0]
     assert (row.tool, row.batch_size, row.n_samples_collection) == ("chunk_window", 128, 1500)
-    assert row.n_samples_loaded == 1500 // 128 * 128
+    assert row.n_samples_loaded == 1500 // 128 * 128 and row.n_samples_requested == 1500
     assert row.n_samples_per_sec > 0
 
 
@@ -119,18 +119,43 @@ def test_row_groups_of_any_size(spark):
     assert all(r.batch_id == order.index(group_of[r.row_id]) for r in shuffled.collect())
 
 
-def test_layout_passes_append_the_log(spark, sf_dir, monkeypatch):
+def test_layout_passes_hold_every_row_in_every_pass(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(metrics, "LAYOUTS", ["soma_sp", "parquet_chunk", "arrow", "zarr_dense"])
-    path = workdir.fresh_path(spark, "log")
     paths = fixtures.layout_stores(spark, sf_dir)
     labels = fixtures.x_dense(spark, sf_dir).select("row_id", "code")
-    passes = layout_study.time_passes(spark, paths, labels, "code", path, epochs=2).collect()
+    batches = layout_study.layout_passes(spark, paths, labels, "code", epochs=2)
+    passes = batches.groupBy("name", "epoch").agg(*(F.sum(c).alias(c) for c in ("n_rows", "label_sum", "value_sum"))).collect()
     names = ["arrow", "parquet_chunk", "parquet_chunk_rand", "soma_sp", "soma_sp_rand", "zarr_dense", "zarr_dense_rand"]
     assert sorted((p.name, p.epoch) for p in passes) == [(n, e) for n in names for e in range(2)]
-    assert {p.n_rows for p in passes} == {500} and len({p.label_sum for p in passes}) == 1
-    log = metrics.read_loop_log(spark, path).collect()
-    assert sorted((r.name, r.epoch) for r in log) == [(n, e) for n in names for e in range(2)]
-    assert all(r.seconds > 0 for r in log)
+    assert {p.n_rows for p in passes} == {500} and len({(p.label_sum, p.value_sum) for p in passes}) == 1
+
+
+def test_a_budget_keeps_later_runs_out_of_the_exchange(spark, store):
+    for method in ("permutation", "block", "chunk_window"):
+        whole = {(r.batch_id, r.pos): r.row_id for r in run_of(spark, store, method, batch_size=64).batches.collect()}
+        short = run_of(spark, store, method, batch_size=64, n_samples=200, drop_last=False)
+        rows = {(r.batch_id, r.pos): r.row_id for r in short.batches.collect()}
+        assert len(rows) == 200 and short.n_left_out == 0 and short.n_batches == 4
+        assert rows.items() <= whole.items()
+        text = short.batches._jdf.queryExecution().executedPlan().toString()
+        assert text.index("Exchange hashpartitioning") < text.index("_run_start#", text.index("Exchange hashpartitioning"))
+        filtered = text[text.index("Exchange hashpartitioning") :]
+        assert "_run_start" in filtered.split("BroadcastExchange")[0] and "< 200" in filtered
+
+
+def test_epochs_of_a_run_hold_all_rows_in_other_orders(spark, store):
+    run = run_of(spark, store, "chunk_window", epochs=2, drop_last=False)
+    rows = run.batches.select("epoch", "batch_id", "pos", "row_id").collect()
+    orders = [[r.row_id for r in sorted(rows, key=lambda r: (r.batch_id, r.pos)) if r.epoch == e] for e in range(2)]
+    assert sorted(orders[0]) == sorted(orders[1]) == list(range(1500)) and orders[0] != orders[1]
+
+
+def test_container_of_a_method(spark, store):
+    with pytest.raises(LookupError, match="orders_zarr"):
+        run_of_name = lambda method: loading.loading_run(
+            spark, store.manifest, "orders", store.schema, method, containers=loading.CONTAINERS
+        )
+        run_of_name("chunk_window")
 
 
 def test_layouts_that_cannot_be_read_at_random(spark, sf_dir):

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowloom import schemas, workdir
 from rowloom.operators import layouts, reshard, slicing
@@ -105,7 +106,7 @@ def test_two_level_chunks_and_their_labels(spark):
     path = workdir.fresh_path(spark, "dense_two_level")
     x = spark.range(500).select(F.col("id").alias("row_id"), F.array(F.col("id").cast("double")).alias("x"))
     labels = x.select("row_id", (F.col("row_id") % 5 - 1).alias("code"))
-    layouts.write_two_level_chunks(x, labels, path, label_outer=200, label_inner=50)
+    layouts.write_two_level_chunks(x, labels, path, label_outer=200, label_inner=50, chunks_per_file=1)
     files = groups_on_disk(path)
     assert [[len(g) for g in f] for f in files] == [[32] * 4] * 3 + [[32, 32, 32, 20]]
     assert [[len(g) for g in f] for f in groups_on_disk(layouts.label_path(path))] == [[50] * 4, [50] * 4, [50] * 2]
@@ -137,20 +138,20 @@ def test_wide_row_groups(spark):
 def test_label_codes(spark):
     obs = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "row_id bigint, s string")
     coded = layouts.label_codes(obs, "s")
-    assert dict(coded.dtypes)["label_code"] == "tinyint"
+    assert dict(coded.dtypes)["label_code"] == "int"
     assert sorted((r.row_id, r.label_code) for r in coded.collect()) == [(1, 1), (2, -1), (3, 0), (4, 1)]
 
 
 def test_too_many_categories_for_the_type_fail_and_a_wider_type_holds_them(spark):
     obs = spark.range(200).select(F.col("id").alias("row_id"), F.format_string("c%04d", "id").alias("s"))
     with pytest.raises(Exception, match="too many categories"):
-        layouts.label_codes(obs, "s").collect()
+        layouts.label_codes(obs, "s", "tinyint").collect()
     for code_type in ("smallint", "int"):
         coded = layouts.label_codes(obs.repartition(6), "s", code_type)
         assert dict(coded.dtypes)["label_code"] == code_type
         assert {r.row_id: r.label_code for r in coded.collect()} == {i: i for i in range(200)}
     exact = obs.filter("row_id < 128")
-    assert layouts.label_codes(exact, "s").agg(F.max("label_code")).first()[0] == 127
+    assert layouts.label_codes(exact, "s", "tinyint").agg(F.max("label_code")).first()[0] == 127
 
 
 def test_storage_report(spark):
@@ -170,7 +171,7 @@ def store(spark, matrix):
     obs, var, coo, entries = matrix
     root = workdir.fresh_path(spark, "store")
     rows = layouts.assemble_rows(obs, coo).join(obs, "row_id")
-    reshard.reshard_ordered(rows, root, shard_rows=16, rows_per_file=16, clustered=False)
+    reshard.reshard_ordered(rows, root, shard_rows=16, rows_per_file=16)
     manifest_path = workdir.fresh_path(spark, "manifest")
     stored = spark.read.parquet(root)
     registry.register_collection(
@@ -444,3 +445,60 @@ def test_shared_folder_is_the_one_the_cluster_names(spark):
         assert workdir.shared_dir(spark) == named.rstrip("/")
     assert workdir.fresh_path(spark, "a") != workdir.fresh_path(spark, "a")
     assert workdir.app_path(spark, "a") == workdir.app_path(spark, "a")
+
+
+@pytest.mark.parametrize("partitions", [1, 8, 50])
+@pytest.mark.parametrize("coalescing", ["true", "false"])
+def test_row_ids_of_shards_of_many_files(spark, partitions, coalescing):
+    """Ids read back are those stored, however rows were spread and files are named."""
+    rows = spark.range(2000).select(
+        F.col("id").alias("row_id"),
+        F.array(F.col("id").cast("int")).alias("indices"),
+        F.array(F.lit(1.0).cast("float")).alias("values"),
+    )
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalescing)
+    try:
+        for write, place in ((reshard.reshard_shuffled, "source_row_id"), (reshard.reshard_ordered, "row_id")):
+            path = workdir.fresh_path(spark, "many-files")
+            write(rows.repartition(partitions), path, shard_rows=512, rows_per_file=64, chunk_rows=16)
+            assert len(glob.glob(f"{path}/shard=0/*.parquet")) == 8
+            stored = spark.read.parquet(path)
+            manifest = registry.shard_manifest(stored, collection_key="m", description="", key_prefix="m", root=path)
+            schema = T.StructType([f for f in stored.schema.fields if f.name != "shard"])
+            want = {r[place]: (r.row_id, r.shard) for r in stored.collect()}
+            got = scans.concat_scan(spark, manifest, "m", schema).collect()
+            assert {r.indices[0]: (r.row_id, r.shard) for r in got} == want
+            assert len(got) == 2000
+            assert "Exchange" not in scans.concat_scan(spark, manifest, "m", schema)._jdf.queryExecution().executedPlan().toString().replace(
+                "BroadcastExchange", ""
+            )
+        path = workdir.fresh_path(spark, "many-wide")
+        wide = rows.select("row_id", F.col("row_id").cast("float").alias("g0"), F.lit(1).alias("label"))
+        layouts.write_wide(wide.repartition(partitions), path, row_group=16, groups_per_file=4)
+        placed = scans.row_group_scan(spark, path).collect()
+        assert all(r.g0 == r.row_id and (r.group_id, r.pos) == divmod(r.row_id, 16) for r in placed) and len(placed) == 2000
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_exact_files_refuse_ids_with_gaps(spark):
+    x = spark.range(100).select((F.col("id") * 2).alias("row_id"), F.array(F.lit(1.0)).alias("x"), F.lit(1).alias("code"))
+    with pytest.raises(ValueError, match="row ids must be 0..n-1"):
+        layouts.write_dense_chunked(x, workdir.fresh_path(spark, "gaps"))
+
+
+def test_index_outside_the_variables_fails(spark):
+    var = spark.createDataFrame([(i, f"g{i}") for i in range(3)], "var_id int, var_name string")
+    genes = spark.createDataFrame([(0, "g1")], "gene_ord int, var_name string")
+    rows = spark.createDataFrame([(0, [1, 3], [1.0, 2.0])], "row_id bigint, indices array<int>, values array<float>")
+    with pytest.raises(Exception, match="variable index outside"):
+        slicing.gene_subset_rows(rows, var, genes).collect()
+
+
+def test_clear_removes_what_was_written(spark):
+    path = workdir.fresh_path(spark, "cleared")
+    spark.range(3).write.parquet(path)
+    assert workdir.path_exists(spark, path) and not workdir.path_exists(spark, f"{path}-none")
