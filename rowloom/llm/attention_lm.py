@@ -1,9 +1,10 @@
 """Text scores of a small causal self-attention model on subword ids, beside a word count baseline.
 
-Model: one attention layer on embeddings of subwords, with a bias for each
-distance. It predicts the class of the next subword; classes hold equal shares
+Text is read as its lower-cased (A-Z) words, each behind a space, in subword ids of a public
+tokenizer. Model: one attention layer on embeddings of subwords, with a bias for
+each distance. It predicts the class of the next subword; classes hold equal shares
 of the corpus by frequency, and a subword within its class has its smoothed
-share. Text is read in blocks of ``BLOCK`` ids; a window is a block and
+share. Ids come in blocks of ``BLOCK``; a window is a block and
 the one before it, so windows overlap by half and each id is scored once, with
 ``BLOCK`` to ``2 * BLOCK - 1`` ids before it. Masked attention runs over many windows at once.
 
@@ -34,21 +35,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import as_texts, held_out, write_table
-from rowloom.llm.encoding import encoder
+from rowloom.llm.encoding import Encoder, encoder
 from rowloom.workdir import fresh_path
 
 FOLDS, HELD_OUT_FOLD = 7, 2
 BLOCK = 16
-CLASSES = 64
+CLASSES = 32
 SLOTS = 1024
 WIDTH = 16
-EVERY = 32
+EVERY = 64
 GROUP_WINDOWS = 2048
 MINIBATCH = 32
 ROUNDS = 3
 RATE = 0.01
-CHUNK_CHARS = 8 << 20
-_WORK_BLOCKS = 2048
+CHUNK_CHARS = 16 << 20
+_WORK_BLOCKS = 1024
 _LOG10 = 1 / np.log(10)
 
 _ENCODED = pa.schema(
@@ -70,22 +71,34 @@ class _Chunk:
         self.number, self.chars = number, 0
         self._vocabulary: dict[bytes, int] = {}
         self._docs: list[tuple] = []
-        self._train: list[np.ndarray] = []
+        self._numbers: list[np.ndarray] = []
 
-    def add(self, doc_id: int | None, held: bool, text: str, ids: bytes) -> None:
+    def add(self, doc_id: int | None, held: bool, text: str) -> None:
         words = text.encode().lower().split()
         vocabulary = self._vocabulary
         for word in set(words).difference(vocabulary):
             vocabulary[word] = len(vocabulary)
         numbers = np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words))
-        if not held:
-            self._train.append(numbers)
+        self._numbers.append(numbers)
         unique, counts = np.unique(numbers, return_counts=True)
         gaps = np.diff(unique, prepend=np.int32(0)).astype("<i4")
-        self._docs.append((doc_id, held, len(words) + 1, gaps.tobytes(), counts.astype("<i4").tobytes(), ids))
+        self._docs.append((doc_id, held, len(words) + 1, gaps.tobytes(), counts.astype("<i4").tobytes()))
         self.chars += len(text)
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
+    def _ids(self, subwords: Encoder) -> list[bytes]:
+        """Subword ids of each document; a word of the chunk is encoded once."""
+        codes = subwords.encode([" " + word.decode() for word in self._vocabulary])
+        lengths = np.fromiter(map(len, codes), np.int64, len(codes)) // subwords.dtype.itemsize
+        starts = np.cumsum(lengths) - lengths
+        flat = np.frombuffer(b"".join(codes), subwords.dtype)
+        found = []
+        for numbers in self._numbers:
+            n = lengths[numbers]
+            first = np.repeat(starts[numbers] - (np.cumsum(n) - n), n)
+            found.append(flat[first + np.arange(len(first))].tobytes())
+        return found
+
+    def rows(self, subwords: Encoder) -> Iterator[pa.RecordBatch]:
         def batch(n: int, **columns) -> pa.RecordBatch:
             columns |= {"chunk": np.full(n, self.number, np.int64), "place": np.arange(n, dtype=np.int32)}
             return pa.RecordBatch.from_arrays(
@@ -93,11 +106,13 @@ class _Chunk:
                 schema=_ENCODED,
             )
 
-        names = ("doc_id", "held_out", "n_tokens", "word_ids", "word_tf", "ids")
+        names = ("doc_id", "held_out", "n_tokens", "word_ids", "word_tf")
         n = len(self._docs)
-        yield batch(n, kind=np.zeros(n, np.int32), **dict(zip(names, map(list, zip(*self._docs)))))
+        columns = dict(zip(names, map(list, zip(*self._docs))))
+        yield batch(n, kind=np.zeros(n, np.int32), ids=self._ids(subwords), **columns)
         n = len(self._vocabulary)
-        used = np.concatenate(self._train) if self._train else np.zeros(0, np.int32)
+        used = [numbers for numbers, doc in zip(self._numbers, self._docs) if not doc[1]]
+        used = np.concatenate(used) if used else np.zeros(0, np.int32)
         yield batch(
             n, kind=np.ones(n, np.int32), word=list(self._vocabulary), n_train=np.bincount(used, minlength=n)[:n]
         )
@@ -112,10 +127,10 @@ def _encode(tokenizer: str):
             held = batch.column(1).to_pylist()
             for doc_id, is_held, text in zip(batch.column(0).to_pylist(), held, as_texts(batch.column(2))):
                 if chunk.chars and chunk.chars + len(text) > CHUNK_CHARS:
-                    yield from chunk.rows()
+                    yield from chunk.rows(subwords)
                     chunk = _Chunk(chunk.number + 1)
-                chunk.add(doc_id, is_held, text, subwords.encode([text])[0])
-        yield from chunk.rows()
+                chunk.add(doc_id, is_held, text)
+        yield from chunk.rows(subwords)
 
     return encode
 
@@ -240,6 +255,7 @@ _SHAPES = {
 _DISTANCE = (BLOCK + np.arange(BLOCK))[:, None] - np.arange(2 * BLOCK)[None, :]
 _LATER = _DISTANCE < 0
 _BLOCKED = -1e4
+_TOP = 60.0  # weights stay far below; exp of it still fits 32 bits
 
 
 def first_weights(subwords: Subwords) -> dict[str, np.ndarray]:
@@ -396,27 +412,33 @@ class Scorer:
         self._k = (e @ w["k"]).astype(np.float32)
         self._v = (e @ w["v"] @ w["o"]).astype(np.float32)
         self._u, self._b = w["u"].astype(np.float32), w["b"].astype(np.float32)
-        self._bias = np.where(_LATER, _BLOCKED, w["r"][np.maximum(_DISTANCE, 0)]).astype(np.float32)
-
-    def _windows(self, x: np.ndarray, y: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log probability sum of each block of ``x``, whose earlier block is ``before``."""
-        windows = np.concatenate([before, x], axis=1)
-        s = np.matmul(self._q[x], self._k[windows].transpose(0, 2, 1))
-        s += self._bias
-        starts = np.flatnonzero(before[:, -1] == self._subwords.pad)
-        s[starts, :, :BLOCK] = _BLOCKED
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        h = self._x[x] + np.matmul(s, self._v[windows])
+        bias = np.where(_LATER, _BLOCKED, w["r"][np.maximum(_DISTANCE, 0)]).astype(np.float32)
+        self._bias_before, self._bias_own = bias[:, :BLOCK], bias[:, BLOCK:]
+
+    def _blocks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """log probability sum of each block of ``x`` but the first, each with the block before it."""
+        keys, values = self._k.take(x, axis=0), self._v.take(x, axis=0)
+        queries = self._q.take(x[1:], axis=0)
+        before = np.matmul(queries, keys[:-1].transpose(0, 2, 1))
+        before += self._bias_before
+        before[x[:-1, -1] == self._subwords.pad] = _BLOCKED
+        own = np.matmul(queries, keys[1:].transpose(0, 2, 1))
+        own += self._bias_own
+        for s in (before, own):
+            np.exp(np.minimum(s, _TOP, out=s), out=s)
+        h = np.matmul(before, values[:-1])
+        h += np.matmul(own, values[1:])
+        ones = np.ones(BLOCK, np.float32)
+        h /= (before @ ones + own @ ones)[:, :, None]
+        h += self._x.take(x[1:], axis=0)
         z = h.reshape(-1, WIDTH) @ self._u
         z += self._b
-        z -= z.max(axis=1, keepdims=True)
-        ids = y.reshape(-1)
+        np.clip(z, -_TOP, _TOP, out=z)
+        ids = y[1:].reshape(-1)
         valid = ids >= 0
         at = z[np.arange(len(z)), np.where(valid, self._subwords.klass[ids], 0)]
         np.exp(z, out=z)
-        log_p = at - np.log(z.sum(axis=1)) + self._subwords.log_share[ids]
+        log_p = at - np.log(z @ np.ones(CLASSES, np.float32)) + self._subwords.log_share[ids]
         return np.where(valid, log_p, 0.0).reshape(-1, BLOCK).sum(axis=1)
 
     def log_probabilities(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -428,13 +450,10 @@ class Scorer:
         y = np.concatenate([m[1] for m in made])
         sizes = np.array([len(m[0]) for m in made])
         first = np.cumsum(sizes) - sizes  # the padding block of each text
-        sums = np.zeros(len(x))
-        scored = np.ones(len(x), bool)
-        scored[first] = False
-        at = np.flatnonzero(scored)
-        for start in range(0, len(at), _WORK_BLOCKS):
-            part = at[start : start + _WORK_BLOCKS]
-            sums[part] = self._windows(x[part], y[part], x[part - 1])
+        sums = np.zeros(len(x))  # blocks of padding have no targets, so they add nothing
+        for start in range(1, len(x), _WORK_BLOCKS):
+            end = min(start + _WORK_BLOCKS, len(x))
+            sums[start:end] = self._blocks(x[start - 1 : end], y[start - 1 : end])
         return np.add.reduceat(sums, first)
 
 

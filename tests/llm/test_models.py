@@ -277,7 +277,8 @@ def test_language_model_of_documents(spark, sf_dir, texts):
         assert r.score < 0
     # On texts it has not seen, better than the frequencies of subwords alone.
     encoder = Encoder(tokenizer_path())
-    ids = {i: np.frombuffer(encoder.encode([t or ""])[0], encoder.dtype) for i, t, _ in texts}
+    plain = {i: " " + b" ".join(ws).decode() if ws else "" for i, ws in words.items()}
+    ids = {i: np.frombuffer(encoder.encode([t])[0], encoder.dtype) for i, t in plain.items()}
     n_ids = np.ones(encoder.vocab_size + 1)
     for i, found_ids in ids.items():
         if not held[i]:
