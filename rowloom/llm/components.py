@@ -39,9 +39,8 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     while True:
         current = write_table(_star(_star(current, large=True), large=False), "stars")
         # Stable when nothing moves: each node hangs on one root and no root hangs on another.
-        summary = current.agg(
-            F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))
-        ).first()
+        total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        summary = current.agg(F.count(F.lit(1)), total, F.sum(F.col("v").cast("decimal(38,0)"))).first()
         if tuple(summary) == state:
             roots = current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

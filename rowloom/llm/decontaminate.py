@@ -29,7 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import as_texts, groups_of, key_column, write_table
@@ -191,7 +191,7 @@ def benchmark_bitmap(items: DataFrame) -> np.ndarray:
     return bitmap.reshape(-1)
 
 
-def _row_key(docs: DataFrame) -> DataFrame:
+def _row_key() -> Column:
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     return F.concat(key_column(F.col("doc_id")), F.lit("|"), digest)
 
@@ -212,7 +212,7 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     sizes = sorted(row["size"] for row in items.select("size").distinct().collect())  # MIN_ITEM to WINDOW
     bitmap = benchmark_bitmap(items)
-    narrow = docs.select(F.col("doc_id").cast("long"), _row_key(docs).alias("key"), "text")
+    narrow = docs.select(F.col("doc_id").cast("long"), _row_key().alias("key"), "text")
     windows = write_table(narrow.mapInArrow(_document_windows(sizes, bitmap), _WINDOWS), "document-windows").distinct()
     item_side = items.select(
         F.col("id").alias("item_id"),
@@ -267,7 +267,7 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item contaminates, with their own columns."""
     bad = write_table(_found(docs, benchmark).select(F.col("key").alias("_row_key")).distinct(), "contaminated")
-    rows = docs.select(F.struct("*").alias("_row"), _row_key(docs).alias("_row_key"))
+    rows = docs.select(F.struct("*").alias("_row"), _row_key().alias("_row_key"))
     return rows.join(bad, "_row_key", "left_anti").select("_row.*")
 
 
