@@ -11,9 +11,10 @@ the one before it, so windows overlap by half and each id is scored once, with
 Corpus work: ids, words of each chunk of documents and their counts are written
 once. Word counts are summed over chunks and brought back to the chunk that has
 the word, so the words shuffled are those of chunks and not of documents. Subword
-counts are over all training documents. Weights are trained in groups of
-``GROUP_WINDOWS`` windows, every ``EVERY``-th block of all training documents, and averaged
-after each of ``ROUNDS`` rounds: more text gives more groups, not longer ones.
+counts are over all training documents. Weights are trained on every block of all
+training documents, in groups of some ``GROUP_WINDOWS`` windows, and averaged
+after each of ``ROUNDS`` rounds: more text gives more groups, not longer ones. Texts
+go to groups in segments of ``SEGMENT`` blocks, so a long one is spread over many.
 
 Defined results: null and empty texts are an end alone, which is scored; a null
 id is in the fold of the text ``null``; repeated rows each count and each give a
@@ -23,7 +24,6 @@ only id and text are read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -40,10 +40,10 @@ from rowloom.workdir import fresh_path
 
 FOLDS, HELD_OUT_FOLD = 7, 2
 BLOCK = 16
-CLASSES = 32
+CLASSES = 64
 SLOTS = 1024
 WIDTH = 16
-EVERY = 64
+SEGMENT = 64
 GROUP_WINDOWS = 2048
 MINIBATCH = 32
 ROUNDS = 3
@@ -63,6 +63,10 @@ _ENCODED_SQL = (
     "word_ids binary, word_tf binary, ids binary, word binary, n_train long"
 )
 
+_SEGMENTS = pa.schema(
+    [("doc_id", pa.int64()), ("number", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_()), ("ids", pa.binary())]
+)
+
 
 class _Chunk:
     """Documents and the words that they have, up to ``CHUNK_CHARS`` characters."""
@@ -340,57 +344,94 @@ def train_group(flat: np.ndarray, windows: np.ndarray, classes: np.ndarray, pad:
     return flat
 
 
-def _sample_windows(subwords: Subwords, dtype: str):
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def segments_of(ids: np.ndarray) -> Iterator[tuple[int, bool, bool, np.ndarray]]:
+    """``number, first, last, ids`` of the parts of a text; later ones begin with what their first window sees before."""
+    n, size = len(ids) + 1, SEGMENT * BLOCK
+    for start in range(0, n, size):
+        end = min(start + size, n)
+        yield start // size, start == 0, end == n, ids[max(0, start - BLOCK - 1) : min(end, n - 1)]
+
+
+def segment_windows(ids: np.ndarray, first: bool, last: bool, subwords: Subwords) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and target classes of all windows of a segment."""
+    inputs, targets = subwords.slot[ids], subwords.klass[ids]
+    if first:
+        inputs = np.concatenate([np.full(BLOCK, subwords.pad, np.int32), [subwords.start], inputs])
+        targets = np.concatenate([np.full(BLOCK, -1, np.int32), targets])
+    else:
+        targets = targets[1:]
+    if last:
+        targets = np.append(targets, subwords.klass[-1])
+    size = -(-len(targets) // BLOCK) * BLOCK
+    x = np.full(size, subwords.pad, np.int32)
+    x[: len(targets)] = inputs[: len(targets)]
+    y = np.full(size, -1, np.int32)
+    y[: len(targets)] = targets
+    x, y = x.reshape(-1, BLOCK), y.reshape(-1, BLOCK)
+    return np.concatenate([x[:-1], x[1:]], axis=1), y[1:]
+
+
+def _segments(dtype: str):
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            inputs, classes, keys = [], [], []
-            for data in batch.column(0).to_pylist():
-                x, y = blocks_of(np.frombuffer(data, dtype), subwords)
-                first = zlib.crc32(data) % EVERY  # another block of each text, the same in each run
-                for b in range(1 + first, len(x), EVERY):
-                    inputs.append(np.concatenate([x[b - 1], x[b]]).astype("<i4").tobytes())
-                    classes.append(np.where(y[b] >= 0, subwords.klass[y[b]], -1).astype("<i4").tobytes())
-                    keys.append(zlib.crc32(inputs[-1]))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "key": pa.array(keys, pa.int64()),
-                    "inputs": pa.array(inputs, pa.binary()),
-                    "classes": pa.array(classes, pa.binary()),
-                }
+            rows = [
+                (doc_id, number, first, last, ids.tobytes())
+                for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                for number, first, last, ids in segments_of(np.frombuffer(data, dtype))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _SEGMENTS)], schema=_SEGMENTS
             )
 
-    return sample
+    return segments
 
 
-def _train_task(flat: np.ndarray, pad: int):
+def _train_task(flat: np.ndarray, subwords: Subwords, dtype: str):
     def step(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["key", "inputs", "classes"])
-        x = np.frombuffer(b"".join(frame["inputs"]), "<i4").reshape(-1, 2 * BLOCK)
-        y = np.frombuffer(b"".join(frame["classes"]), "<i4").reshape(-1, BLOCK)
+        frame = frame.sort_values(["key", "number", "ids"])
+        made = [
+            segment_windows(np.frombuffer(ids, dtype), first, last, subwords)
+            for ids, first, last in zip(frame["ids"], frame["first"], frame["last"])
+        ]
+        x, y = (np.concatenate(parts) for parts in zip(*made))
         order = np.random.default_rng(len(x)).permutation(len(x))
-        new = train_group(flat, x[order], y[order], pad)
-        return pd.DataFrame({"at": np.arange(len(new)), "total": new * len(x), "n": len(x)})
+        new = train_group(flat, x[order], y[order], subwords.pad)
+        return pd.DataFrame({"weights": [(new * len(x)).tobytes()], "n": [len(x)]})
 
     return step
 
 
+def _sum_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights of the groups of a task, added up: one line per weight."""
+    total, n = None, 0
+    for batch in batches:
+        for weights, windows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            weights = np.frombuffer(weights)
+            total = weights if total is None else total + weights
+            n += windows
+    if total is not None:
+        yield pa.RecordBatch.from_pydict(
+            {"at": np.arange(len(total), dtype=np.int32), "total": total, "n": np.full(len(total), n, np.int64)}
+        )
+
+
 def train(training: DataFrame, subwords: Subwords, dtype: str) -> np.ndarray:
-    """Weights from every ``EVERY``-th block of all texts: rounds of groups, each averaged by windows."""
+    """Weights from every block of all texts: rounds of groups, each averaged by windows."""
     flat = pack(first_weights(subwords))
-    windows = write_table(
-        training.select("ids").mapInArrow(_sample_windows(subwords, dtype), "key long, inputs binary, classes binary"),
-        "lm-windows",
-    )
-    n = windows.count()
+    size = np.dtype(dtype).itemsize * BLOCK
+    n = training.agg(F.sum(F.floor(F.octet_length("ids") / size) + 1)).first()[0] or 0
     n_groups = max(1, -(-n // GROUP_WINDOWS))
-    pad = subwords.pad
+    segments = training.select("doc_id", "ids").mapInArrow(
+        _segments(dtype), "doc_id long, number int, first boolean, last boolean, ids binary"
+    )
     for round_ in range(ROUNDS if n else 0):
-        # Equal windows have one key; the hash of all columns spreads groups, and repeats only weigh more.
-        group = F.pmod(F.xxhash64("key", F.lit(round_)), F.lit(n_groups))
+        # By id, place and content: copies of a text under other ids go to other groups.
+        key = F.xxhash64("doc_id", "number", "ids", F.lit(round_))
         moved = (
-            windows.withColumn("group", group)
-            .groupBy("group")
-            .applyInPandas(_train_task(flat, pad), "at int, total double, n long")
+            segments.select(key.alias("key"), "number", "first", "last", "ids")
+            .groupBy(F.pmod("key", F.lit(n_groups)).alias("group"))
+            .applyInPandas(_train_task(flat, subwords, dtype), "weights binary, n long")
+            .mapInArrow(_sum_groups, "at int, total double, n long")
             .groupBy("at")
             .agg((F.sum("total") / F.sum("n")).alias("value"))
             .toPandas()  # one line per weight

@@ -311,3 +311,34 @@ def test_language_model_of_odd_rows(spark, odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
     assert attention_lm.score_texts(no_docs, tokenizer_path()).count() == 0
+
+
+def test_every_block_of_every_text_is_trained_on(spark, monkeypatch):
+    """Short and long texts, cut in segments or not: the windows of ``blocks_of``, each once a round."""
+    subwords = small_subwords()
+    r = np.random.default_rng(3)
+    monkeypatch.setattr(attention_lm, "SEGMENT", 4)
+    texts = [r.integers(0, 40, n).astype("<u2") for n in (0, 1, 15, 16, 17, 63, 64, 65, 127, 128, 129, 400)]
+    n_windows = 0
+    for ids in texts:
+        x, y = attention_lm.blocks_of(ids, subwords)
+        parts = [attention_lm.segment_windows(s, a, b, subwords) for _, a, b, s in attention_lm.segments_of(ids)]
+        assert (np.concatenate([p[0] for p in parts]) == np.concatenate([x[:-1], x[1:]], axis=1)).all()
+        assert (np.concatenate([p[1] for p in parts]) == np.where(y[1:] >= 0, subwords.klass[y[1:]], -1)).all()
+        n_windows += len(x) - 1
+    docs = spark.createDataFrame([(i, t.tobytes()) for i, t in enumerate(texts)], "doc_id long, ids binary")
+    segments = docs.mapInArrow(attention_lm._segments("<u2"), "doc_id long, number int, first boolean, last boolean, ids binary")
+    step = attention_lm._train_task(attention_lm.pack(attention_lm.first_weights(subwords)), subwords, "<u2")
+    seen = step(segments.toPandas().assign(key=0))
+    assert seen["n"].sum() == n_windows
+    assert attention_lm.CLASSES >= 64
+
+
+def test_short_training_texts_move_the_weights(spark):
+    """Texts of a single block each: all of them are trained on."""
+    subwords = small_subwords()
+    for seed in range(5):
+        ids = np.random.default_rng(seed).integers(0, 40, 9).astype("<u2")
+        docs = spark.createDataFrame([(1, ids.tobytes())], "doc_id long, ids binary")
+        flat = attention_lm.train(docs, subwords, "<u2")
+        assert np.abs(flat - attention_lm.pack(attention_lm.first_weights(subwords))).max() > 0.01
