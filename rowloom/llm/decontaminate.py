@@ -5,11 +5,13 @@ words and numbers as they stand. The template view puts typed placeholders for
 numbers, for units that follow a number and for names (capitalised words inside
 a sentence) and keeps what it replaced as slots. Hashes of windows of ``WINDOW`` tokens
 are joined with those of the benchmark items. Windows of a document
-that lie at one distance from their places in an item form a run. In a run every
-item slot must stand for one document slot and the reverse: a question with other
-names and numbers in the same places is caught, chance matches of a template are
-not. A document is contaminated by an item when consistent runs hold
-``MIN_SHARE`` of the item's windows, or one run ``MIN_RUN`` windows.
+that lie at one distance from their places in an item form a run. Plain windows always
+count. In the template windows of a run an item slot must stand for one document slot, and
+a name or unit of the document for one of the item (two numbers may be equal by chance): a
+question with other names and numbers in the same places is caught, chance matches of a
+template are not. Where slots clash, the pairing of more than half of the places holds, and
+windows with a place outside it do not count. A document is contaminated by an item when
+the windows that count are ``MIN_SHARE`` of the item's, or ``MIN_RUN`` in one run.
 
 Before the join a bitmap of benchmark hashes, of fixed size, is sent to the tasks;
 only windows that hit it leave them. It drops no match.
@@ -23,6 +25,7 @@ other than ids and texts are not read, and ``drop_contaminated`` passes them on.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -58,6 +61,12 @@ _ARROW = pa.schema(
     + [("hash", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.string()))]
 )
 
+_RUNS = "key string, id long, item_id long, item_windows int, places array<int>, n_slots int, changed_slots int"
+_RUN_ARROW = pa.schema(
+    [("key", pa.string()), ("id", pa.int64()), ("item_id", pa.int64()), ("item_windows", pa.int32())]
+    + [("places", pa.list_(pa.int32())), ("n_slots", pa.int32()), ("changed_slots", pa.int32())]
+)
+
 
 @lru_cache(maxsize=1 << 18)
 def _hash(token: str) -> int:
@@ -153,6 +162,51 @@ def _document_windows(sizes: list[int], bitmap: np.ndarray):
     return windows
 
 
+def _slot(text: str) -> tuple[int, str, str]:
+    """Place in the window, kind and word of a slot."""
+    place, _, word = text[1:].partition(":")
+    return int(place), text[0], word
+
+
+def counted_windows(windows: list[tuple[int, int, list[str], list[str]]]) -> tuple[set[int], set[int], set[tuple]]:
+    """Item places of the plain and of the consistent template windows of a run, and the slots of the latter.
+
+    Windows are ``view, item_place, item_slots, slots``.
+    """
+    plain = {place for view, place, _, _ in windows if view == 0}
+    bound: dict[int, tuple] = {}  # by place in the item: a run has one document place for each
+    templates = []
+    for view, place, ours, theirs in windows:
+        if view:
+            found = []
+            for a, b in zip(map(_slot, ours), map(_slot, theirs)):
+                bound[place + a[0]] = (a[1:], b[1:])
+                found.append(place + a[0])
+            templates.append((place, found))
+    both, one, other = (Counter(x) for x in (bound.values(), (a for a, _ in bound.values()), (b for _, b in bound.values())))
+
+    def holds(a: tuple, b: tuple) -> bool:
+        return 2 * both[a, b] > one[a] and (b[0] == "#" or 2 * both[a, b] > other[b])
+
+    good = {at for at, pair in bound.items() if holds(*pair)}
+    kept = [(place, found) for place, found in templates if good.issuperset(found)]
+    return plain, {place for place, _ in kept}, {bound[at] for _, found in kept for at in found}
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            windows = [(w["view"], w["item_place"], w["item_slots"], w["slots"]) for w in row["windows"]]
+            plain, template, slots = counted_windows(windows)
+            if plain or template:
+                changed = sum(a != b for a, b in slots)
+                rows.append((row["key"], row["id"], row["item_id"], row["item_windows"], sorted(plain | template), len(slots), changed))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, _RUN_ARROW)], schema=_RUN_ARROW
+        )
+
+
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     make = _Windows([WINDOW], None)
     for batch in batches:
@@ -225,37 +279,20 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     met = windows.join(item_side, ["view", "size", "hash"]).filter(F.size("slots") == F.size("item_slots"))
     run = ["key", "id", "item_id", "item_windows", "distance"]
-    pairs = F.transform(
-        F.arrays_zip("item_slots", "slots"),
-        lambda z: F.struct(z["item_slots"].alias("a"), z["slots"].alias("b")),
-    )
-
-    def value(slot):  # kind and word, without its place in the window
-        return F.concat(F.substring(slot, 1, 1), F.regexp_extract(slot, r"^.\d+:(.*)$", 1))
-
     runs = (
         met.withColumn("distance", F.col("place") - F.col("item_place"))
         .groupBy(*run)
-        .agg(
-            F.sort_array(F.collect_set("item_place")).alias("places"),  # as many as the item has windows
-            F.array_distinct(
-                F.transform(
-                    F.flatten(F.collect_list(pairs)), lambda p: F.struct(value(p["a"]).alias("a"), value(p["b"]).alias("b"))
-                )
-            ).alias("slots"),
-        )
-    )
-    one_to_one = (F.size(F.array_distinct("slots.a")) == F.size("slots")) & (
-        F.size(F.array_distinct("slots.b")) == F.size("slots")
+        .agg(F.collect_list(F.struct("view", "item_place", "item_slots", "slots")).alias("windows"))  # those of an item
+        .drop("distance")
+        .mapInArrow(_runs, _RUNS)
     )
-    consistent = runs.filter(one_to_one)
     total = (
-        consistent.groupBy("key", "id", "item_id", "item_windows")
+        runs.groupBy("key", "id", "item_id", "item_windows")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"),
             F.max(F.size("places")).cast("long").alias("longest_run"),
-            F.sum(F.size("slots")).alias("n_slots"),
-            F.sum(F.size(F.filter("slots", lambda s: s["a"] != s["b"]))).alias("changed_slots"),
+            F.sum("n_slots").alias("n_slots"),
+            F.sum("changed_slots").alias("changed_slots"),
         )
         .withColumn("share", F.col("n_windows") / F.col("item_windows"))
     )

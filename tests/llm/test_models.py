@@ -169,6 +169,21 @@ def test_reparameterised_questions_are_caught(spark):
     assert got[1, 0].changed_slots > 0
 
 
+def test_a_clash_removes_only_the_windows_that_hold_it(spark):
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    words[20] = words[40] = "40"
+    twice = " ".join(words)
+    words[40] = "45"
+    apples = "Yesterday the farmer packed 3 apples into a box and then put 4 apples on the shelf above the door of the barn"
+    got = found(
+        spark,
+        [" ".join(words), apples.replace("3", "4"), apples.replace("3", "7").replace(" 4 ", " 7 ")],
+        [twice, apples],
+    )
+    assert set(got) == {(0, 0), (1, 1), (2, 1)}
+    assert got[0, 0].n_windows >= 53 - 16
+
+
 def test_short_items_are_one_window(spark):
     got = found(spark, ["x The capital of France is it y", "The capital of it France is"], ["the capital of france is it", "a b c d"])
     assert set(got) == {(0, 0)}
