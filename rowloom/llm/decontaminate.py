@@ -3,7 +3,9 @@
 A text becomes a row of tokens in two views. The plain view has lower-cased
 words and numbers as they stand. The template view puts typed placeholders for
 numbers, for units that follow a number and for names (capitalised words inside
-a sentence) and keeps what it replaced as slots. Hashes of windows of ``WINDOW`` tokens
+a sentence) and keeps what it replaced as slots. It has a second form of windows with a capitalised word
+at the start of a sentence: there each one that is no common opener (``OPENERS``) is a name
+too. Either form of an item meets either form of a document. Hashes of windows of ``WINDOW`` tokens
 are joined with those of the benchmark items. Windows of a document
 that lie at one distance from their places in an item form a run. Plain windows always
 count. In the template windows of a run an item slot must stand for one document slot, and
@@ -51,6 +53,14 @@ UNITS = frozenset(
     "pounds ounce ounces l ml liter liters litre litres second seconds minute minutes hour hours day days week weeks "
     "month months year years percent dollar dollars euro euros cent cents degree degrees kmh mph".split()
 )
+# Words that open sentences and are no names (fixed values); words that are both, such as will or may, are left out.
+OPENERS = frozenset(
+    "a about after all also although an and another any are as at because before both but by can could did do does "
+    "during each either every few find first for from had has have he her here his how i if in into is it its "
+    "last let many more most my next no not now of often on once one only or other our out over she should since "
+    "so some such than that the their then there these they this those though to two under until up was we were what "
+    "when where whether which while who whom whose why with would yes yet you your".split()
+)
 _TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n]+|[^\W]+")
 _PLACEHOLDERS = {"#": "<number>", "u": "<unit>", "n": "<name>"}
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -73,10 +83,11 @@ def _hash(token: str) -> int:
     return xxhash.xxh64_intdigest(token, 1)
 
 
-def tokens_of(text: str) -> tuple[list[str], dict[int, str]]:
-    """Lower-cased words and numbers, and by place the kind of those that templates replace."""
+def tokens_of(text: str) -> tuple[list[str], dict[int, str], list[int]]:
+    """Lower-cased words and numbers, by place the kind of those that templates replace, places of names that open sentences."""
     words: list[str] = []
     kinds: dict[int, str] = {}
+    opening: list[int] = []
     fresh = True  # at the start of a sentence
     for token in _TOKEN.findall(text):
         first = token[0]
@@ -88,19 +99,22 @@ def tokens_of(text: str) -> tuple[list[str], dict[int, str]]:
             kinds[len(words)] = "#"
         elif low in UNITS and kinds.get(len(words) - 1) == "#":
             kinds[len(words)] = "u"
-        elif not fresh and first != low[0] and token[1:] == low[1:]:
-            kinds[len(words)] = "n"
+        elif first != low[0] and token[1:] == low[1:]:
+            if not fresh:
+                kinds[len(words)] = "n"
+            elif low not in OPENERS:
+                opening.append(len(words))
         fresh = False
         words.append(low)
-    return words, kinds
+    return words, kinds, opening
 
 
 def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every window of ``size`` tokens."""
-    n = len(hashes) - size + 1
-    total = np.zeros(n, np.uint64)
+    """Hash of every window of ``size`` tokens in each row."""
+    n = hashes.shape[1] - size + 1
+    total = np.zeros((len(hashes), n), np.uint64)
     for k in range(size):
-        total = total * _MULTIPLIER + hashes[k : k + n]
+        total = total * _MULTIPLIER + hashes[:, k : k + n]
     total ^= total >> np.uint64(29)
     return total * np.uint64(0xBF58476D1CE4E5B9)
 
@@ -113,38 +127,43 @@ class _Windows:
 
     def _hit(self, hashes: np.ndarray) -> np.ndarray:
         if self._bitmap is None:
-            return np.ones(len(hashes), bool)
+            return np.ones(hashes.shape, bool)
         at = hashes & np.uint64((1 << BITMAP_BITS) - 1)
         return self._bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
 
     def of(self, text: str, sizes: list[int] | None = None) -> Iterator[tuple[int, int, int, int, list[str]]]:
         """``view, size, hash, place, slots`` of each window kept."""
-        words, kinds = tokens_of(text)
-        if len(words) < min(sizes or self._sizes, default=1):
+        words, kinds, opening = tokens_of(text)
+        n = len(words)
+        if n < min(sizes or self._sizes, default=1):
             return
-        plain = np.fromiter(map(_hash, words), np.uint64, len(words))
-        literal = np.ones(len(words), np.int64)
-        template = plain.copy()
+        # Plain, template, and template with the names that open sentences, if there are any.
+        hashes = np.empty((3 if opening else 2, n), np.uint64)
+        hashes[:] = np.fromiter(map(_hash, words), np.uint64, n)
+        replaced = np.zeros((len(hashes), n + 1), np.int64)
         for place, kind in kinds.items():
-            template[place] = _hash(_PLACEHOLDERS[kind])
-            literal[place] = 0
-        literals = np.concatenate([[0], np.cumsum(literal)])
+            hashes[1:, place] = _hash(_PLACEHOLDERS[kind])
+            replaced[1:, place + 1] = 1
+        if opening:
+            hashes[2, opening] = _hash(_PLACEHOLDERS["n"])
+            replaced[2, np.array(opening) + 1] = 1
+        replaced = np.cumsum(replaced, axis=1)
+        wide = kinds | dict.fromkeys(opening, "n")
         for size in sizes or self._sizes:
-            if len(words) < size:
+            if n < size:
                 continue
-            n_literal = literals[size:] - literals[:-size]
-            for view, hashes in ((0, plain), (1, template)):
-                rolled = _rolled(hashes, size)
-                keep = self._hit(rolled)
-                if view == 1:  # a template without slots says no more than the plain view
-                    keep &= (n_literal < size) & (n_literal >= min(MIN_LITERALS, size - 1))
-                for place in np.flatnonzero(keep).tolist():
-                    slots = (
-                        [f"{kinds[i]}{i - place}:{words[i]}" for i in range(place, place + size) if i in kinds]
-                        if view
-                        else []
-                    )
-                    yield view, size, int(rolled[place].view(np.int64)), place, slots
+            n_replaced = replaced[:, size:] - replaced[:, :-size]
+            rolled = _rolled(hashes, size)
+            keep = self._hit(rolled)
+            # A template without slots says no more than the plain view, the second form without openings than the first.
+            keep[1:] &= (n_replaced[1:] > 0) & (size - n_replaced[1:] >= min(MIN_LITERALS, size - 1))
+            keep[2:] &= n_replaced[2:] > n_replaced[1]
+            for form, place in np.argwhere(keep).tolist():
+                slots = []
+                if form:
+                    known = wide if form == 2 else kinds
+                    slots = [f"{known[i]}{i - place}:{words[i]}" for i in range(place, place + size) if i in known]
+                yield min(form, 1), size, int(rolled[form, place].view(np.int64)), place, slots
 
 
 def _document_windows(sizes: list[int], bitmap: np.ndarray):

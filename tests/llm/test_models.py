@@ -184,6 +184,17 @@ def test_a_clash_removes_only_the_windows_that_hold_it(spark):
     assert got[0, 0].n_windows >= 53 - 16
 
 
+def test_names_that_open_sentences_are_replaced(spark):
+    item = "Anna bought 12 pens for 3 euros each. Anna sold 4 pens to Ben. How many pens does Anna have left?"
+    again = item.replace("Anna", "Mary").replace("Ben", "Tim").replace("12", "15").replace(" 3 ", " 2 ").replace(" 4 ", " 6 ")
+    mixed_up = again.replace("Mary sold", "Paul sold").replace("does Mary", "does Jane")
+    inside = "We know that " + again
+    filler = " ".join(f"filler{i}" for i in range(30))
+    got = found(spark, [item, again, f"{filler}. {again} {filler}", inside, mixed_up, filler], [item])
+    assert {d for d, _ in got} == {0, 1, 2, 3}
+    assert got[1, 0].share == 1 and got[1, 0].changed_slots == 5
+
+
 def test_short_items_are_one_window(spark):
     got = found(spark, ["x The capital of France is it y", "The capital of it France is"], ["the capital of france is it", "a b c d"])
     assert set(got) == {(0, 0)}
