@@ -13,7 +13,8 @@ a name or unit of the document for one of the item (two numbers may be equal by
 question with other names and numbers in the same places is caught, chance matches of a
 template are not. Where slots clash, the pairing of more than half of the places holds, and
 windows with a place outside it do not count. A document is contaminated by an item when
-the windows that count are ``MIN_SHARE`` of the item's, or ``MIN_RUN`` in one run.
+the windows that count are ``MIN_SHARE`` of the item's, or ``MIN_RUN`` in one run (20 tokens
+at least), or if ``MIN_TOKENS`` of its tokens in a row are found word for word.
 
 Before the join a bitmap of benchmark hashes, of fixed size, is sent to the tasks;
 only windows that hit it leave them. It drops no match.
@@ -44,6 +45,7 @@ MIN_ITEM = 5
 MIN_LITERALS = 4
 MIN_SHARE = 0.5
 MIN_RUN = 13
+MIN_TOKENS = 13
 BITMAP_BITS = 24
 _WORK_CHARS = 4 << 20
 
@@ -71,10 +73,10 @@ _ARROW = pa.schema(
     + [("hash", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.string()))]
 )
 
-_RUNS = "key string, id long, item_id long, item_windows int, places array<int>, n_slots int, changed_slots int"
+_RUNS = "key string, id long, item_id long, item_windows int, places array<int>, plain_row int, n_slots int, changed_slots int"
 _RUN_ARROW = pa.schema(
     [("key", pa.string()), ("id", pa.int64()), ("item_id", pa.int64()), ("item_windows", pa.int32())]
-    + [("places", pa.list_(pa.int32())), ("n_slots", pa.int32()), ("changed_slots", pa.int32())]
+    + [("places", pa.list_(pa.int32())), ("plain_row", pa.int32()), ("n_slots", pa.int32()), ("changed_slots", pa.int32())]
 )
 
 
@@ -212,6 +214,18 @@ def counted_windows(windows: list[tuple[int, int, list[str], list[str]]]) -> tup
     return plain, {place for place, _ in kept}, {bound[at] for _, found in kept for at in found}
 
 
+def _longest_row(places: set[int]) -> int:
+    """Most places in a row."""
+    longest = 0
+    for place in places:
+        if place - 1 not in places:
+            end = place
+            while end in places:
+                end += 1
+            longest = max(longest, end - place)
+    return longest
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -220,9 +234,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             plain, template, slots = counted_windows(windows)
             if plain or template:
                 changed = sum(a != b for a, b in slots)
-                rows.append((row["key"], row["id"], row["item_id"], row["item_windows"], sorted(plain | template), len(slots), changed))
+                rows.append((row["key"], row["id"], row["item_id"], row["item_windows"], sorted(plain | template), _longest_row(plain), len(slots), changed))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, _RUN_ARROW)], schema=_RUN_ARROW
+            [pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * 8, _RUN_ARROW)], schema=_RUN_ARROW
         )
 
 
@@ -310,12 +324,14 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"),
             F.max(F.size("places")).cast("long").alias("longest_run"),
+            F.max("plain_row").alias("plain_row"),
             F.sum("n_slots").alias("n_slots"),
             F.sum("changed_slots").alias("changed_slots"),
         )
         .withColumn("share", F.col("n_windows") / F.col("item_windows"))
     )
-    return total.filter((F.col("share") >= MIN_SHARE) | (F.col("longest_run") >= MIN_RUN)).select(
+    word_for_word = F.col("plain_row") + (WINDOW - 1) >= MIN_TOKENS  # shorter items are one window, all of them
+    return total.filter((F.col("share") >= MIN_SHARE) | (F.col("longest_run") >= MIN_RUN) | word_for_word).select(
         "key", F.col("id").alias("doc_id"), "item_id", "n_windows", "share", "longest_run", "n_slots", "changed_slots"
     )
 

@@ -195,6 +195,13 @@ def test_names_that_open_sentences_are_replaced(spark):
     assert got[1, 0].share == 1 and got[1, 0].changed_slots == 5
 
 
+def test_thirteen_tokens_in_a_row_are_a_passage(spark):
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    split = [*words[5:14], "other", *words[15:24], "other", *words[25:34]]
+    got = found(spark, [" ".join(words[5:18]), " ".join(words[5:17]), " ".join(split)], [" ".join(words)])
+    assert set(got) == {(0, 0)} and got[0, 0].longest_run == 6
+
+
 def test_short_items_are_one_window(spark):
     got = found(spark, ["x The capital of France is it y", "The capital of it France is"], ["the capital of france is it", "a b c d"])
     assert set(got) == {(0, 0)}
