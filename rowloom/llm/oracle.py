@@ -104,4 +104,64 @@ judged as (
 select *, not base_failed and 100 * (n_words - n_removed_words) >= {MIN_LEFT_PERCENT} * n_words as kept from judged
 """
 
-ORACLE = {"op9_mixing": OP9, "op10_line_rules": OP10}
+# CRC-32 of the decimal digits of the id, bit by bit.
+_ID_CRC = """xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(regexp_extract_all(doc_id::varchar, '.'),
+ lambda c: ascii(c)::ubigint)), lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0]::ubigint[],
+ lambda d, z: xor(d >> 1, (d & 1) * 3988292384::ubigint))), 4294967295::ubigint)"""
+
+
+def _leaf(text: str) -> str:
+    fields = ["doc_id", "source", "lang", "n_chars", text]
+    return "sha256(concat({}))".format(
+        ", ".join(f"case when {f} is null then '-' else concat(strlen(({f})::varchar), ':', {f}) end" for f in fields)
+    )
+
+
+OP13 = f"""
+with recursive rows as (
+  select *, case when source is null then 'null' else '=' || source end as g,
+         case when doc_id is not null and {_ID_CRC} % 2 = 0 then replace(text, chr(10), '') else text end as found
+  from documents),
+leaves as (
+  select doc_id, source, g, leaf, seen, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as pos
+  from (select *, {_leaf("text")} as leaf, {_leaf("found")} as seen from rows) r),
+low as (
+  select g, 0 as level, pos as idx, count(*) over (partition by g) as n, leaf as node from leaves
+  union all
+  select g, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(node, '' order by idx)) from low
+  where n > 1 group by g, level, idx // 3, n),
+subroots as (
+  select g, node as subroot, row_number() over (order by source nulls first) - 1 as place
+  from low join (select distinct g, source from leaves) s using (g) where n = 1),
+high as (
+  select 0 as level, place as idx, count(*) over () as n, subroot as node from subroots
+  union all
+  select level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(node, '' order by idx)) from high
+  where n > 1 group by level, idx // 3, n),
+beside as (
+  select 0 as part, a.g, a.level, a.idx, string_agg(b.node, '' order by b.idx) filter (b.idx < a.idx) as l,
+         string_agg(b.node, '' order by b.idx) filter (b.idx > a.idx) as r
+  from low a join low b on a.g = b.g and a.level = b.level and a.idx // 3 = b.idx // 3 where a.n > 1 group by 1, 2, 3, 4
+  union all
+  select 1, '', a.level, a.idx, string_agg(b.node, '' order by b.idx) filter (b.idx < a.idx),
+         string_agg(b.node, '' order by b.idx) filter (b.idx > a.idx)
+  from high a join high b on a.level = b.level and a.idx // 3 = b.idx // 3 where a.n > 1 group by 1, 2, 3, 4),
+steps as (
+  select leaves.g, pos, part, level, coalesce(l, '') as l, coalesce(r, '') as r
+  from leaves join beside b on part = 0 and b.g = leaves.g and b.idx = pos // power(3, level)::bigint
+  union all
+  select leaves.g, pos, part, level, coalesce(l, ''), coalesce(r, '')
+  from leaves join subroots using (g) join beside b on part = 1 and b.idx = place // power(3, level)::bigint),
+paths as (
+  select g, pos, string_agg(concat(l, r), '' order by part, level) as siblings,
+         list(concat(l, '|', r) order by part, level) as path
+  from steps group by 1, 2),
+done as (
+  select doc_id, leaf, subroot, (select node from high where n = 1) as root, sha256(coalesce(siblings, '')) as proof_sha256,
+         list_reduce(list_prepend(seen, coalesce(path, [])),
+                     lambda node, x: sha256(concat(split_part(x, '|', 1), node, split_part(x, '|', 2)))) as folded_root
+  from leaves join subroots using (g) left join paths using (g, pos))
+select *, folded_root = root as verified from done
+"""
+
+ORACLE = {"op9_mixing": OP9, "op10_line_rules": OP10, "op13_merkle_manifest": OP13}

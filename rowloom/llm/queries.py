@@ -10,6 +10,7 @@ from rowloom.llm import (
     decontaminate,
     language,
     line_rules,
+    merkle,
     mixing,
     piece_counts,
     rule_quality,
@@ -91,6 +92,10 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.apply_rules(documents(spark, sf_dir))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_decontaminate": op2_decontaminate,
@@ -102,4 +107,5 @@ QUERIES = {
     "op8_attention_lm": op8_attention_lm,
     "op9_mixing": op9_mixing,
     "op10_line_rules": op10_line_rules,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
