@@ -164,4 +164,39 @@ done as (
 select *, folded_root = root as verified from done
 """
 
-ORACLE = {"op9_mixing": OP9, "op10_line_rules": OP10, "op13_merkle_manifest": OP13}
+def _assigned(book: str) -> str:
+    """Nearest entry of each part, ties to the lower index."""
+    return f"""(select vec_id, label, part, c, arg_min(entry, d * 64 + entry) as entry, min(d) as d from (
+  select p.*, b.entry, list_sum(list_transform(list_zip(p.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+  from parts p join {book} b on p.part = b.part) x group by vec_id, label, part, c)"""
+
+
+def _moved(book: str) -> str:
+    """Floors of the means of the parts that go to each entry."""
+    return f"""(select part, entry, coalesce(m.c, b.c) as c from {book} b left join (
+  select part, entry, list(mean order by i) as c from (
+    select part, entry, i, floor(sum(c[i])::double / count(*))::bigint as mean
+    from {_assigned(book)} a, range(1, len(c) + 1) r(i) group by part, entry, i) y group by part, entry) m using (part, entry))"""
+
+
+OP11 = f"""
+with kept as (
+  select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as (
+  select vec_id, label, p::int as part, list_slice(v, p * len(v) // 16 + 1, (p + 1) * len(v) // 16) as c
+  from kept, range(16) r(p)),
+book0 as (
+  select part, row_number() over (partition by part order by vec_id) - 1 as entry, c from parts
+  where vec_id in (select vec_id from kept order by vec_id limit 64)),
+book1 as {_moved("book0")},
+book2 as {_moved("book1")},
+coded as (
+  select vec_id, label, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' order by part) as code, sum(d)::bigint as error
+  from {_assigned("book2")} a group by vec_id, label)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+ (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) from book2) as codebooks_sha256
+from coded
+"""
+
+ORACLE = {"op9_mixing": OP9, "op10_line_rules": OP10, "op11_product_codes": OP11, "op13_merkle_manifest": OP13}

@@ -13,6 +13,7 @@ from rowloom.llm import (
     merkle,
     mixing,
     piece_counts,
+    product_codes,
     rule_quality,
     secret_ledger,
     simhash,
@@ -92,6 +93,10 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.apply_rules(documents(spark, sf_dir))
 
 
+def op11_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.with_errors(product_codes.quantise(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(documents(spark, sf_dir))
 
@@ -107,5 +112,6 @@ QUERIES = {
     "op8_attention_lm": op8_attention_lm,
     "op9_mixing": op9_mixing,
     "op10_line_rules": op10_line_rules,
+    "op11_product_codes": op11_product_codes,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
