@@ -14,6 +14,7 @@ from rowloom.llm import (
     mixing,
     piece_counts,
     product_codes,
+    recursive_bpe,
     rule_quality,
     secret_ledger,
     simhash,
@@ -97,6 +98,13 @@ def op11_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product_codes.with_errors(product_codes.quantise(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
 
+def op12_recursive_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    return recursive_bpe.round_trips(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(documents(spark, sf_dir))
 
@@ -113,5 +121,6 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_line_rules": op10_line_rules,
     "op11_product_codes": op11_product_codes,
+    "op12_recursive_bpe": op12_recursive_bpe,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
