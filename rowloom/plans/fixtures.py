@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rowloom import schemas, workdir
 from rowloom.functions.scalars import collection_format_key
-from rowloom.operators import layouts, reshard
+from rowloom.operators import layouts, reshard, tiles
 from rowloom.operators.ordinals import grouped_positions, hex_bucket, with_ordinal
 from rowloom.plans import layout_study
 from rowloom.sources import registry
@@ -19,6 +19,9 @@ COLLECTION = collection_format_key("orders", "parquet")
 # Rows of a shard and of a file of the stores: fixed, so that their number grows with the rows.
 SHARD_ROWS = 4096
 FILE_ROWS = 1024
+# Entries of a row group of tiles and of a line of the store by variable: small, so that there are several.
+TILE_ENTRIES = 8_192
+COLUMN_ENTRIES = 4_096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -213,3 +216,37 @@ def layout_stores(spark: SparkSession, sf_dir: str) -> dict[str, str]:
         rows = layouts.assemble_rows(dense, layouts.sparsify(dense))
         layout_study.write_layouts(rows, dense, "code", n_values(dense), root)
     return layout_study.layout_paths(root)
+
+
+def coordinate_store(spark: SparkSession, sf_dir: str) -> str:
+    """The order matrix as stored entries in row order."""
+    root = store_path(spark, sf_dir, "coordinates")
+    # The second form is written last.
+    if not workdir.is_complete(spark, f"{root}/coo"):
+        layouts.write_sparse(stored_rows(spark, sf_dir), root)
+    return f"{root}/coo"
+
+
+def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(schemas.X_COO).parquet(coordinate_store(spark, sf_dir))
+
+
+def tile_store(spark: SparkSession, sf_dir: str) -> str:
+    """The stored entries in tiles of rows and variables."""
+    path = store_path(spark, sf_dir, "tiles")
+
+    def write(to: str) -> None:
+        tiles.write_tiles(
+            stored_entries(spark, sf_dir), to, tile_rows=1024, tile_vars=64, group_entries=TILE_ENTRIES, groups_per_file=4
+        )
+
+    workdir.write_if_absent(spark, path, write)
+    return path
+
+
+def column_store(spark: SparkSession, sf_dir: str) -> str:
+    """The stored entries by variable."""
+    path = store_path(spark, sf_dir, "by-variable")
+    if not workdir.is_complete(spark, f"{path}/counts"):
+        tiles.write_columns(stored_entries(spark, sf_dir), path, segment=COLUMN_ENTRIES)
+    return path

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from rowloom import schemas
 from rowloom.functions.scalars import budget, collection_format_key, effective_batch
-from rowloom.operators import batches, ordering
-from rowloom.sources import registry
+from rowloom.operators import batches, keyed_order, ordering
+from rowloom.sources import group_index, registry
 
 # Rows of one exchange unit: at most this many, fewer so that small collections
 # still spread over some hundred units.
@@ -130,6 +130,30 @@ def loading_run(
     )
 
 
+def resumed_batches(
+    spark: SparkSession,
+    index: DataFrame,
+    schema: T.StructType,
+    n_rows: int,
+    batch_size: int,
+    *,
+    first_batch: int = 0,
+    n_batches: int | None = None,
+    seed: int | str = 42,
+    drop_last: bool = True,
+) -> DataFrame:
+    """Batches ``first_batch`` and on of the keyed permutation of a store, with their rows.
+
+    ``index`` is that of ``group_index.index_groups`` by ``row_id``. The batches before are not
+    made again: the rows of the places from there on come from a formula, and
+    only row groups that hold one of them are read.
+    """
+    plan = keyed_order.keyed_batches(
+        spark, n_rows, batch_size, first_batch=first_batch, n_batches=n_batches, seed=seed, drop_last=drop_last
+    )
+    return group_index.gather(index, plan, schema)
+
+
 def record_run(
     spark: SparkSession, run: LoadingRun, results_path: str, *, run_id: str, user: str, compute_spec: str = "unknown"
 ) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 _SHARD_ROWS = "4096"
 _ROWS = "select o_orderkey as row_id, o_orderpriority as cell_line, o_orderstatus as cell_states from orders"
 _OBS = """select o_orderkey as row_id, o_orderpriority as cell_line, o_orderstatus as cell_states,
@@ -315,3 +317,70 @@ from ({_ROWS}) r left join e on r.row_id = e.row_id group by 1""",
     "chunk_callback": f"""select row_id, cast(len(list_filter(x, lambda v: v > 0)) as bigint) as n_positive,
  cast(list_max(x) as double) as largest from ({_DENSE}) d""",
 }
+
+
+# --- row sets, indexed reads and keyed orders ------------------------------------
+
+
+def _round_numbers(seed: str, round_: int) -> list[int]:
+    return [int(hashlib.md5(f"{seed}:{round_}:{name}".encode()).hexdigest()[:7], 16) for name in "abc"]
+
+
+def _rounds(source: str, seed: str) -> str:
+    """``x`` of ``source`` after eight rounds on its quotient and remainder by b; sizes a and b are in ``z``."""
+    sql = f"select row_id, x // b as l, x % b as r, a, b, n from ({source}) s, z"
+    for i in range(8):
+        mul, add, more = _round_numbers(seed, i)
+        given, size = ("r", "a") if i % 2 == 0 else ("l", "b")
+        mixed = f"(({given}::bigint * {mul} + {add}) % 2147483647)"
+        mixed = f"(({mixed} * {mixed} + {more}) % 2147483647)"
+        l, r = (f"(l + {mixed}) % {size}", "r") if i % 2 == 0 else ("l", f"(r + {mixed}) % {size}")
+        sql = f"select row_id, {l} as l, {r} as r, a, b, n from ({sql}) s"
+    return f"select row_id, l * b + r as x from ({sql}) s"
+
+
+_Z = """z as (select n, a, (n + a - 1) // a as b from (
+   select count(*) as n, ceil(sqrt(count(*)))::bigint as a from orders) c)"""
+
+
+def _keyed(seed: str, name: str = "o") -> str:
+    """``name(row_id, ord)``: rounds are repeated until the result is the number of a row."""
+    again = f"select row_id, x from {name}_w where x >= (select n from z)"
+    return f"""{name}_w as ({_rounds(f"select row_id, row_id as x from ({_ROWS}) r", seed)} union all {_rounds(again, seed)}),
+ {name} as (select row_id, x as ord from {name}_w where x < (select n from z))"""
+
+
+def _box(rows: str, variables: str) -> str:
+    return f"select * from ({_COO}) c where row_id between {rows} and var_id between {variables}"
+
+
+ORACLE |= {
+    "axis_query_row_set": ORACLE["axis_query"],
+    "obs_semi_join_row_set": f"""select s.row_id, cast(s.row_id // {_SHARD_ROWS} as integer) as shard, cell_line, nnz, total
+ from ({_SUMS}) s where row_id in (select row_id from ({_CELLS}) c)""",
+    "row_set_sizes": f"""
+with r as (select cell_states as s from ({_ROWS}) r)
+select s as name, count(*) as n_rows from r group by 1
+union all select 'F or O', count(*) from r where s in ('F', 'O')
+union all select 'all', count(*) from r""",
+    "row_gather_index": f"""
+with p as (select row_id, row_number() over (order by md5(concat('42:', cast(row_id as varchar))), row_id) - 1 as pos
+           from ({_CELLS}) c where cell_line = '1-URGENT')
+select pos, s.row_id, nnz, total from ({_SUMS}) s join p on s.row_id = p.row_id""",
+    "head_slice_tiles": _box("0 and 255", "0 and 499"),
+    "coord_range_tiles": _box("2000 and 5999", "100 and 999"),
+    "gene_subset_columns": ORACLE["gene_subset"],
+    "variable_counts": f"""select var_id, count(*) as n_entries, cast((count(*) + 4095) // 4096 as bigint) as n_segments
+ from ({_COO}) c group by 1""",
+    "keyed_permutation": f"""with recursive {_Z}, {_keyed("42")}
+select r.row_id, cell_line, ord // 128 as batch_id, ord % 128 as pos from ({_ROWS}) r join o on r.row_id = o.row_id""",
+    "keyed_epochs": f"""with recursive {_Z}, {_keyed("42:0", "o0")}, {_keyed("42:1", "o1")}, {_keyed("42:2", "o2")},
+ e as (select 0 as epoch, * from o0 union all select 1, * from o1 union all select 2, * from o2)
+select row_id, epoch, ord // 1024 as batch_id, ord % 1024 as pos from e
+where ord // 1024 < (select count(*) // 1024 from orders)""",
+    "loading_run_resumed": f"""with recursive {_Z}, {_keyed("42")}
+select ord // 128 as batch_id, cast(count(*) as bigint) as n_rows, cast(sum(nnz) as bigint) as nnz, sum(total) as total,
+ cast(sum(s.row_id * (ord % 128)) as bigint) as order_sum
+from o join ({_SUMS}) s on o.row_id = s.row_id, (select n // 128 as last from z) l
+where ord // 128 >= last // 2 and ord // 128 < last group by 1""",
+}

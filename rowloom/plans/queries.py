@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from rowloom import schemas, workdir
 from rowloom.functions import scalars
-from rowloom.operators import batches, layouts, metrics, ordering, reshard, slicing
+from rowloom.operators import batches, keyed_order, layouts, metrics, ordering, reshard, rowsets, slicing, tiles
 from rowloom.plans import fixtures as fx
 from rowloom.plans import layout_study, loading, preparation
 from rowloom.plans.subsets import batch_summary
-from rowloom.sources import registry, scans
+from rowloom.sources import group_index, registry, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -734,3 +734,109 @@ def chunk_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.chunk_callback(
         fx.x_dense(spark, sf_dir).select("row_id", "x"), peak, "row_id bigint, n_positive bigint, largest double"
     )
+
+
+# --- row sets, indexed reads and keyed orders ------------------------------------
+
+
+def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slicing.obs_semi_join(fx.obs(spark, sf_dir), fx.datasets_of(spark, sf_dir, REGION))
+
+
+def _entries(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select(
+        "row_id", *keep, F.col("var_id").cast("bigint").alias("var_id"), F.col("value").cast("double").alias("value")
+    )
+
+
+@query
+def axis_query_row_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sub-matrix with rows tested where entries are read."""
+    found = rowsets.axis_query(_chosen(spark, sf_dir), fx.stored_entries(spark, sf_dir), LAST_VAR)
+    return _entries(found, "cell_line")
+
+
+@query
+def obs_semi_join_row_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored rows of the chosen datasets."""
+    rows = rowsets.keep_rows(fx.stored_rows(spark, sf_dir), rowsets.row_bitmaps(_chosen(spark, sf_dir)))
+    return _row_sums(rows, "row_id", "shard", "cell_line")
+
+
+@query
+def row_set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each status, of two of them together and in all, from bitmaps."""
+    labels = fx.row_labels(spark, sf_dir)
+    sets = {status: rowsets.row_bitmaps(labels.filter(F.col("cell_states") == status)) for status in ("F", "O", "P")}
+    sets["F or O"] = rowsets.union_of([sets["F"], sets["O"]])
+    sets["all"] = rowsets.union_of([sets["F or O"], sets["P"]])
+    named = [bitmaps.withColumn("name", F.lit(name)) for name, bitmaps in sets.items()]
+    stacked = named[0]
+    for one in named[1:]:
+        stacked = stacked.unionByName(one)
+    return rowsets.sizes(stacked, "name")
+
+
+@query
+def row_gather_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a sparse list in a given order, by the row groups that hold them."""
+    urgent = _chosen(spark, sf_dir).filter(F.col("cell_line") == "1-URGENT").select("row_id")
+    indices = ordering.global_order(urgent).withColumnRenamed("ord", "pos")
+    index = group_index.index_groups(spark, fx.sharded_store(spark, sf_dir).root, ["row_id"])
+    return _row_sums(group_index.gather(index, indices, schemas.X_ROW), "pos", "row_id")
+
+
+@query
+def head_slice_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows and variables from the tiles that meet them."""
+    table = tiles.tile_table(spark, fx.tile_store(spark, sf_dir))
+    return _entries(tiles.read_box(table, (0, 255), (0, 499)))
+
+
+@query
+def coord_range_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of rows and of variables from the tiles that meet it."""
+    table = tiles.tile_table(spark, fx.tile_store(spark, sf_dir))
+    return _entries(tiles.read_box(table, (2_000, 5_999), (100, LAST_VAR)))
+
+
+@query
+def gene_subset_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the listed variables from the store by variable."""
+    index = tiles.column_index(spark, fx.column_store(spark, sf_dir))
+    return _entries(tiles.gene_subset(index, fx.var(spark, sf_dir), fx.gene_list(spark, sf_dir)))
+
+
+@query
+def variable_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.variable_counts(spark, fx.column_store(spark, sf_dir)).select(
+        F.col("var_id").cast("bigint").alias("var_id"), "n_entries", "n_segments"
+    )
+
+
+@query
+def keyed_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = fx.row_labels(spark, sf_dir).select("row_id", "cell_line")
+    return keyed_order.keyed_permutation(labels, BATCH, labels.count(), drop_last=False)
+
+
+@query
+def keyed_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = fx.row_ids(spark, sf_dir)
+    return keyed_order.keyed_permutation(ids, 1024, ids.count(), epochs=3)
+
+
+@query
+def loading_run_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the batches of the second half of a run hold, without the first half."""
+    store = fx.sharded_store(spark, sf_dir)
+    n_rows = registry.collection_total(store.manifest, fx.COLLECTION, -1).first().n_samples
+    index = group_index.index_groups(spark, store.root, ["row_id"])
+    resumed = loading.resumed_batches(spark, index, schemas.X_ROW, n_rows, BATCH, first_batch=n_rows // BATCH // 2)
+    rows = _row_sums(resumed, "batch_id", "row_id", "pos")
+    return rows.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("nnz").alias("nnz"),
+        F.sum("total").alias("total"),
+        F.sum(F.col("row_id") * F.col("pos")).alias("order_sum"),
+    )
