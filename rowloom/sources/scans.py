@@ -65,9 +65,21 @@ def concat_scan(
     return concat_listed(spark, collection(manifest, collection_key, n_datasets), schema)
 
 
+def _distinct_ends(paths: list[str]) -> tuple[list[str], int]:
+    """The last folders of each path, as many as it takes to tell all paths apart, and their number."""
+    parts = [path.rstrip("/").split("/") for path in paths]
+    for depth in range(1, max(map(len, parts)) + 1):
+        ends = ["/".join(part[-depth:]) for part in parts]
+        if len(set(ends)) == len(ends) and all(len(part) > depth for part in parts):
+            return ends, depth
+    raise ValueError("a shard is listed twice")
+
+
 def concat_listed(spark: SparkSession, shards: DataFrame, schema: T.StructType) -> DataFrame:
     """Shards as one matrix: ``row_id`` counts on from shard to shard in ``shard_ord``.
 
+    Shards may lie anywhere: folders of the same name are told apart by those above them.
+
     No row moves. A shard that stores ``row_id`` is read by it: its ids must be
     consecutive, and are shifted to its place; the order of its files does not
     matter and the plan has one line per shard to join. In a store without ids
@@ -77,10 +89,8 @@ def concat_listed(spark: SparkSession, shards: DataFrame, schema: T.StructType)
     listed = shards.orderBy("shard_ord").select("shard_ord", "path", "n_observations").collect()
     if not listed:
         raise LookupError("no shards to read")
-    names = [r.path.rstrip("/").rsplit("/", 1)[-1] for r in listed]
-    if len(set(names)) < len(names):
-        raise ValueError("shards need different directory names")
     paths = [r.path for r in listed]
+    names, depth = _distinct_ends(paths)
     known = "row_id" in spark.read.parquet(paths[0]).columns
     fields = [f for f in schema.fields if f.name != "row_id"]
     own = [f.name for f in fields]
@@ -89,7 +99,7 @@ def concat_listed(spark: SparkSession, shards: DataFrame, schema: T.StructType)
     file = F.col("_metadata.file_path")
     scan = stored.select(
         "*",
-        F.substring_index(F.substring_index(file, "/", -2), "/", 1).alias("_dir"),
+        F.substring_index(F.substring_index(file, "/", -1 - depth), "/", depth).alias("_dir"),
         *([] if known else [file.alias("_file"), F.col("_metadata.row_index").alias("_index")]),
     )
     if known:
@@ -118,7 +128,9 @@ def concat_listed(spark: SparkSession, shards: DataFrame, schema: T.StructType)
             low = seen.lo
         places.append((name, shard.shard_ord, first - low))
         first += n
-    offsets = F.broadcast(spark.createDataFrame(places, "_dir string, shard int, _shift bigint"))
+    offsets = spark.createDataFrame(places, "_dir string, shard int, _shift bigint")
+    if len(places) <= MAX_BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
     if known:
         placed = scan.join(offsets, "_dir").withColumn("row_id", F.col("row_id") + F.col("_shift"))
         return placed.select("row_id", *own, "shard")

@@ -1,0 +1,251 @@
+"""Row sets, indexed reads, tiles, stores by variable and keyed orders: results and what is read."""
+
+import glob
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rowloom import schemas
+from rowloom.operators import keyed_order, rowsets, slicing, tiles
+from rowloom.plans import fixtures, loading
+from rowloom.plans.queries import QUERIES
+from rowloom.sources import group_index
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def rows_of(df, *columns):
+    return sorted(map(tuple, df.select(*columns).collect()))
+
+
+def spoil(path, keep):
+    """Overwrite the pages of all row groups but those in ``keep``, (file, row group) pairs; footers stay."""
+    from pyarrow import parquet
+
+    spoiled = 0
+    for file in glob.glob(f"{path}/**/*.parquet", recursive=True):
+        meta = parquet.read_metadata(file)
+        with open(file, "r+b") as out:
+            for g in range(meta.num_row_groups):
+                if (file, g) not in keep:
+                    for c in range(meta.num_columns):
+                        column = meta.row_group(g).column(c)
+                        start = column.dictionary_page_offset or column.data_page_offset
+                        out.seek(start)
+                        out.write(b"\xff" * column.total_compressed_size)
+                    spoiled += 1
+    return spoiled
+
+
+def places(groups):
+    return {(r.path.removeprefix("file:").replace("//", "/"), r.row_group) for r in groups.select("path", "row_group").collect()}
+
+
+# --- row sets --------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def scattered():
+    rng = random.Random(3)
+    return [rng.randrange(-200_000, 200_000) for _ in range(3_000)] + [0, 1, -1, 32_768, 32_769, -32_768, -32_767, 65_536, 1, None]
+
+
+@pytest.mark.parametrize("buckets, rows, slices", [(16_384, 64, 256), (3, 0, 256), (3, 10**9, 256), (3, 0, 1)])
+def test_rows_of_a_set_are_kept(spark, scattered, monkeypatch, buckets, rows, slices):
+    monkeypatch.setattr(rowsets, "MAX_BROADCAST_BUCKETS", buckets)
+    monkeypatch.setattr(rowsets, "LEAST_ROWS_A_BUCKET", rows)
+    monkeypatch.setattr(rowsets, "MAX_SLICES", slices)
+    ids = spark.createDataFrame([(i,) for i in scattered], "row_id long")
+    want = sorted((i, 2 * i) for i in set(scattered) - {None})
+    x = spark.range(-230_000, 230_000).select(F.col("id").alias("row_id"), (F.col("id") * 2).alias("v"))
+    bitmaps = rowsets.row_bitmaps(ids)
+    assert rows_of(rowsets.keep_rows(x, bitmaps), "row_id", "v") == want
+    assert rows_of(rowsets.row_ids(bitmaps), "row_id") == [(i,) for i, _ in want]
+    assert rowsets.sizes(bitmaps).first().n_rows == len(want)
+
+
+def test_sets_of_nothing_and_unions(spark):
+    x = spark.range(100).withColumnRenamed("id", "row_id")
+    none = rowsets.row_bitmaps(x.filter("row_id < 0"))
+    assert rowsets.keep_rows(x, none).count() == 0
+    some, more = (rowsets.row_bitmaps(x.filter(f"row_id % {k} = 0")) for k in (3, 5))
+    both = rowsets.union_of([none, some, more])
+    assert rows_of(rowsets.keep_rows(x, both), "row_id") == [(i,) for i in range(100) if i % 3 == 0 or i % 5 == 0]
+
+
+def test_entries_of_other_rows_are_not_exchanged(spark, sf_dir):
+    entries = fixtures.stored_entries(spark, sf_dir)
+    chosen = slicing.obs_semi_join(fixtures.obs(spark, sf_dir), fixtures.datasets_of(spark, sf_dir, "ASIA"))
+    kept = rowsets.keep_rows(entries, rowsets.row_bitmaps(chosen))
+    assert "Exchange hashpartitioning" not in plan_of(kept) and "BroadcastHashJoin" in plan_of(kept)
+    # In the whole query the test of the bit is below the exchange of the entries.
+    query = QUERIES["axis_query_row_set"](spark, sf_dir)
+    query.collect()
+    plan = query._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    lines = plan.splitlines()
+    scan = max(i for i, line in enumerate(lines) if "FileScan parquet [row_id#" in line and "value#" in line)
+    above = next(i for i in range(scan, -1, -1) if "Exchange" in lines[i] or "getbit" in lines[i])
+    assert "getbit" in lines[above]
+
+
+# --- row groups ------------------------------------------------------------------
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    """4,000 rows in 5 files of row groups of 100, with a list column before the key."""
+    path = str(tmp_path / "store")
+    rows = spark.range(4_000).select(
+        F.array(F.col("id").cast("int"), (F.col("id") % 7).cast("int")).alias("indices"),
+        F.col("id").alias("row_id"),
+        F.array(F.lit(1.0).cast("float"), F.lit(2.0).cast("float")).alias("values"),
+    )
+    writer = rows.repartitionByRange(5, "row_id").sortWithinPartitions("row_id").write
+    writer.option("parquet.block.row.count.limit", 100).parquet(path)
+    return path
+
+
+def test_only_groups_that_are_hit_are_read(spark, store):
+    index = group_index.index_groups(spark, store, ["row_id"])
+    assert index.agg(F.sum("n_rows")).first()[0] == 4_000
+    wanted = [17, 1_999, 3_003, 17, 9_999, 2_000]
+    indices = spark.createDataFrame(list(enumerate(wanted)), "pos long, row_id long")
+    hit = group_index.groups_with(index, indices, "row_id", 64)
+    keep = places(hit)
+    bounds = {(r.path.removeprefix("file:").replace("//", "/"), r.row_group): (r.lo_row_id, r.hi_row_id) for r in index.collect()}
+    assert keep == {group for group, (lo, hi) in bounds.items() if any(lo <= i <= hi for i in wanted)}
+    assert len(keep) <= 4
+    assert spoil(store, keep) == len(bounds) - len(keep)
+    got = group_index.gather(index, indices, schemas.X_ROW, span=64)
+    want = [(pos, i, [i, i % 7]) for pos, i in enumerate(wanted) if i < 4_000]
+    assert rows_of(got, "pos", "row_id", "indices") == want
+
+
+@pytest.mark.parametrize("span", [1, 100, 1_000_000])
+def test_gather_of_any_width_of_blocks(spark, store, span):
+    index = group_index.index_groups(spark, store, ["row_id"])
+    indices = spark.range(4_000).select((3_999 - F.col("id")).alias("row_id"), F.col("id").alias("pos")).filter("pos % 3 = 0")
+    got = group_index.gather(index, indices, schemas.X_ROW, span=span)
+    assert rows_of(got, "pos", "row_id") == [(p, 3_999 - p) for p in range(0, 4_000, 3)]
+
+
+def test_gather_of_nothing(spark, store):
+    index = group_index.index_groups(spark, store, ["row_id"])
+    none = spark.createDataFrame([], "pos long, row_id long")
+    assert group_index.gather(index, none, schemas.X_ROW).count() == 0
+    beyond = spark.createDataFrame([(0, 10**12), (1, None)], "pos long, row_id long")
+    assert group_index.gather(index, beyond, schemas.X_ROW).count() == 0
+
+
+def test_groups_without_bounds_may_hold_anything(spark):
+    lines = spark.createDataFrame([(None, None), (5, 9)], "lo_k long, hi_k long")
+    assert lines.filter(group_index.may_hold("k", 7, 8)).count() == 2
+    assert lines.filter(group_index.may_hold("k", 10, None)).count() == 1
+    assert lines.filter(group_index.may_hold("k", None, 4)).count() == 1
+
+
+# --- tiles and columns ---------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def matrix(spark):
+    """512 x 512 with a hot row and a hot variable."""
+    n = spark.range(512 * 512).select((F.col("id") / 512).cast("long").alias("row_id"), (F.col("id") % 512).cast("int").alias("var_id"))
+    kept = n.filter("hash(row_id, var_id) % 10 = 0 or row_id = 77 or var_id = 300")
+    return kept.withColumn("value", (F.col("row_id") * 1000 + F.col("var_id")).cast("float")).persist()
+
+
+def test_a_rectangle_reads_its_tiles_only(spark, matrix, tmp_path):
+    path = str(tmp_path / "tiles")
+    tiles.write_tiles(matrix, path, tile_rows=32, tile_vars=32, group_entries=200, groups_per_file=20)
+    table = tiles.tile_table(spark, path)
+    n_groups = table.count()
+    assert n_groups > 100
+    box = (64, 95), (128, 191)
+    keep = places(tiles.tiles_of(table, *box))
+    # Bands of rows or of variables alone would be an eighth and a sixteenth of the groups.
+    assert len(keep) < n_groups / 16
+    assert spoil(path, keep) == n_groups - len(keep)
+    want = matrix.filter(F.col("row_id").between(*box[0]) & F.col("var_id").between(*box[1]))
+    assert rows_of(tiles.read_box(table, *box), *want.columns) == rows_of(want, *want.columns)
+
+
+def test_bits_are_in_turn(spark):
+    rng = random.Random(1)
+    pairs = [(rng.randrange(2**31), rng.randrange(2**31)) for _ in range(200)] + [(0, 0), (2**31 - 1, 2**31 - 1)]
+    df = spark.createDataFrame(pairs, "x long, y long").select("x", "y", tiles.interleaved(F.col("x"), F.col("y")).alias("z"))
+    for x, y, z in df.collect():
+        assert z == sum(((x >> i & 1) << (2 * i + 1)) | ((y >> i & 1) << (2 * i)) for i in range(31))
+
+
+def test_variables_are_read_from_their_segments(spark, matrix, tmp_path):
+    path = str(tmp_path / "columns")
+    tiles.write_columns(matrix, path, segment=50, group_segments=1)
+    counts = {r.var_id: (r.n_entries, r.n_segments) for r in tiles.variable_counts(spark, path).collect()}
+    assert counts[300] == (512, 11)
+    assert all(segments == -(-entries // 50) for entries, segments in counts.values())
+    var = spark.range(512).select(F.col("id").cast("int").alias("var_id"), F.concat(F.lit("g"), "id").alias("var_name"))
+    names = ["g300", "g5", "g511", "g5"]
+    genes = spark.createDataFrame(list(enumerate(names)), schemas.GENE_LIST)
+    index = tiles.column_index(spark, path)
+    keep = places(group_index.groups_with(index, var.filter("var_id in (5, 300, 511)"), "var_id", 64))
+    assert len(keep) == sum(counts[v][1] for v in (5, 300, 511))
+    assert spoil(f"{path}/segments", keep) > 400
+    got = tiles.gene_subset(index, var, genes)
+    assert rows_of(got, "row_id", "var_id", "value") == rows_of(slicing.gene_subset(matrix, var, genes), "row_id", "var_id", "value")
+    with pytest.raises(KeyError):
+        tiles.gene_subset(index, var, spark.createDataFrame([(0, "none")], schemas.GENE_LIST))
+
+
+# --- keyed orders -----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 12, 97, 1_000, 10_007])
+def test_every_place_is_taken_once_and_leads_back(spark, n):
+    for seed in (42, "other"):
+        order = keyed_order.KeyedOrder(n, seed)
+        placed = order.places(spark.range(n).withColumnRenamed("id", "row_id")).collect()
+        assert sorted(r.ord for r in placed) == list(range(n))
+        back = order.rows_at(spark.range(n).withColumnRenamed("id", "ord"))
+        assert {(r.row_id, r.ord) for r in back.collect()} == {(r.row_id, r.ord) for r in placed}
+
+
+def test_orders_differ_and_look_random(spark):
+    n = 20_000
+    ids = spark.range(n).withColumnRenamed("id", "row_id")
+    plan = keyed_order.keyed_permutation(ids, 100, n, epochs=2)
+    orders = plan.toPandas().assign(ord=lambda d: d.batch_id * 100 + d["pos"]).pivot(index="row_id", columns="epoch", values="ord")
+    for a, b in ((np.arange(n), orders[0]), (np.arange(n), orders[1]), (orders[0], orders[1]), (orders[0][1:], orders[0][:-1])):
+        assert abs(np.corrcoef(a, b)[0, 1]) < 0.03
+
+
+def test_no_exchange_before_the_batches(spark, sf_dir):
+    plan = keyed_order.keyed_permutation(fixtures.row_labels(spark, sf_dir), 128, 1_500, epochs=3)
+    assert "Exchange" not in plan_of(plan.filter("batch_id > 3 and pos < 7"))
+
+
+def test_batches_from_the_middle_are_those_of_the_whole(spark):
+    n = 1_000
+    whole = keyed_order.keyed_permutation(spark.range(n).withColumnRenamed("id", "row_id"), 64, n, drop_last=False)
+    for first, some, drop_last in ((0, None, False), (5, None, True), (5, 3, True), (14, None, False), (15, None, False), (99, None, True)):
+        part = keyed_order.keyed_batches(spark, n, 64, first_batch=first, n_batches=some, drop_last=drop_last)
+        end = n // 64 if drop_last else 16
+        end = end if some is None else min(end, first + some)
+        want = whole.filter((F.col("batch_id") >= first) & (F.col("batch_id") < end))
+        assert rows_of(part, "row_id", "batch_id", "pos") == rows_of(want, "row_id", "batch_id", "pos")
+
+
+def test_a_resumed_run_reads_only_its_groups(spark, store):
+    index = group_index.index_groups(spark, store, ["row_id"])
+    plan = keyed_order.keyed_batches(spark, 4_000, 2, first_batch=1_990, n_batches=3)
+    keep = places(group_index.groups_with(index, plan, "row_id", 4_096))
+    assert len(keep) <= 6
+    spoil(store, keep)
+    got = loading.resumed_batches(spark, index, schemas.X_ROW, 4_000, 2, first_batch=1_990, n_batches=3)
+    rows = got.collect()
+    assert sorted((r.batch_id, r.pos) for r in rows) == [(b, p) for b in (1_990, 1_991, 1_992) for p in (0, 1)]
+    assert all(r.indices == [r.row_id, r.row_id % 7] for r in rows)
