@@ -21,6 +21,8 @@ MAX_WIDE_COLUMNS = 5_000
 # Dense cells per Arrow batch handed back to Spark (16 MiB of float32).
 DENSE_BATCH_CELLS = 4_194_304
 # Largest category code per stored integer type.
+# Tasks that one category is spread over where the categories are not broadcast.
+CODE_SALTS = 16
 MAX_CODE = {"tinyint": 127, "smallint": 32_767}
 
 ROW_GROUP_ROWS = "parquet.block.row.count.limit"
@@ -121,7 +123,8 @@ def label_codes(
     Codes above what ``code_type`` holds fail the job. The small types also bound
     the categories table, which is read up to one past the bound and broadcast.
     For ``int`` the categories are sorted into a table and numbered by their place
-    in its files, so any number of them works; they are broadcast up to a million.
+    in its files, so any number of them works; they are broadcast up to a million and
+    joined by category and salt above.
     """
     values = obs.select(F.col(label).alias("_category")).filter(F.col("_category").isNotNull()).distinct()
     if code_type in MAX_CODE:
@@ -135,7 +138,18 @@ def label_codes(
         codes = _places_in_files(stored, "_code")
         if stored.count() <= MAX_BROADCAST_CODES:
             codes = F.broadcast(codes)
-    coded = obs.join(codes, F.col(label) == F.col("_category"), "left")
+        else:
+            # A frequent category, and null, is spread over several tasks.
+            salt = F.pmod(F.xxhash64(*obs.columns), F.lit(CODE_SALTS)).cast("int")
+            salted = codes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(CODE_SALTS - 1))))
+            coded = obs.withColumn("_own_salt", salt).join(
+                salted, (F.col(label) == F.col("_category")) & (F.col("_own_salt") == F.col("_salt")), "left"
+            )
+            return _coded(coded, obs, code_type, name)
+    return _coded(obs.join(codes, F.col(label) == F.col("_category"), "left"), obs, code_type, name)
+
+
+def _coded(coded: DataFrame, obs: DataFrame, code_type: str, name: str) -> DataFrame:
     return coded.select(
         *[F.col(c) for c in obs.columns], F.coalesce("_code", F.lit(-1)).cast(code_type).alias(name)
     )

@@ -96,14 +96,14 @@ def batch_intervals(
     time is a ``lag``; its first batch takes the last time of the range before,
     found on one row per range. A run of any length is spread over its ranges.
     """
-    cut = log.withColumn("_range", F.floor(F.col(idx) / width).cast("bigint"))
-    last = cut.groupBy(run, "_range").agg(F.max_by(ts, idx).alias("_last"))
-    by_run = Window.partitionBy(run).orderBy("_range")
-    before = last.select(
-        F.col(run).alias("_run"), F.col("_range").alias("_r"), F.lag("_last").over(by_run).alias("_before")
-    )
-    inside = Window.partitionBy(run, "_range").orderBy(idx)
-    joined = cut.join(before, F.col(run).eqNullSafe(F.col("_run")) & (F.col("_range") == F.col("_r")), "left")
+    # A string that is never null: the join and the window then share one exchange of the log.
+    name = F.when(F.col(run).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(run).cast("string")))
+    cut = log.withColumns({"_run": name, "_range": F.floor(F.col(idx) / width).cast("bigint")})
+    last = cut.groupBy("_run", "_range").agg(F.max_by(ts, idx).alias("_last"))
+    by_run = Window.partitionBy("_run").orderBy("_range")
+    before = last.select("_run", "_range", F.lag("_last").over(by_run).alias("_before"))
+    inside = Window.partitionBy("_run", "_range").orderBy(idx)
+    joined = cut.join(before, ["_run", "_range"], "left")
     gap = F.col(ts) - F.coalesce(F.lag(ts).over(inside), F.col("_before"), start)
     seconds = (
         F.extract(F.lit("DAY"), F.col("_gap")) * 86_400

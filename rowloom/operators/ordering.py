@@ -297,25 +297,37 @@ def _into_runs(rows: DataFrame, firsts: DataFrame, tie: str, n_runs: int, epochs
     """Add ``run`` and ``_run_start`` to keyed rows.
 
     ``firsts`` holds placed rows or chunks with ``_run``, the first place in it
-    ``_run_start`` and ``_is_first``. Each md5 bucket lists the runs that begin in
-    it, after the one that is open when it begins.
+    ``_run_start`` and ``_is_first``. Each md5 bucket has the run that is open when
+    it begins and the runs that begin in it.
     """
     epoch = _epoch_columns(epochs)
+    place = F.struct("_run", "_run_start")
     mark = F.struct("_key", F.col(tie).alias("_tie"), "_run", "_run_start")
-    opened = F.struct(F.lit("").alias("_key"), F.col(tie).alias("_tie"), "_run", "_run_start")
-    marks = F.concat(
-        F.array(F.min_by(opened, "ord")), F.sort_array(F.collect_list(F.when(F.col("_is_first"), mark)))
+    marks = F.sort_array(F.collect_list(F.when(F.col("_is_first"), mark)))
+    parts = firsts.groupBy(*epoch, "_part").agg(F.min_by(place, "ord").alias("_open"), marks.alias("_marks"))
+    # Nearly all buckets have one mark at most, which two comparisons settle; only others are searched.
+    parts = parts.select(
+        *epoch,
+        "_part",
+        "_open",
+        F.get("_marks", F.lit(0)).alias("_first"),
+        F.when(F.size("_marks") > 1, F.col("_marks")).alias("_more"),
     )
-    parts = firsts.groupBy(*epoch, "_part").agg(marks.alias("_marks"))
     if max(n_runs, 16**digits * (epochs or 1)) <= MAX_BROADCAST_OFFSETS:
         parts = F.broadcast(parts)
     here = F.struct(F.col("_key"), F.col(tie).alias("_tie"))
-    passed = F.filter("_marks", lambda m: F.struct(m["_key"], m["_tie"]) <= here)
+    passed = F.filter("_more", lambda m: F.struct(m["_key"], m["_tie"]) <= here)
+    first = F.col("_first")
+    ahead = first.isNull() | (F.col("_key") < first["_key"]) | ((F.col("_key") == first["_key"]) & (F.col(tie) < first["_tie"]))
+
+    def found(name: str) -> Column:
+        later = F.when(F.col("_more").isNull(), first[name]).otherwise(F.element_at(passed, -1)[name])
+        return F.when(ahead, F.col("_open")[name]).otherwise(later)
+
     return (
         rows.join(parts, [*epoch, "_part"], "left")
-        .withColumn("_at", F.element_at(passed, -1))
-        .withColumns({"run": F.col("_at._run"), "_run_start": F.col("_at._run_start")})
-        .drop("_marks", "_at", "_part")
+        .withColumns({"run": found("_run"), "_run_start": found("_run_start")})
+        .drop("_open", "_first", "_more", "_part")
     )
 
 

@@ -16,9 +16,10 @@ from rowloom.plans import layout_study
 from rowloom.sources import registry
 
 COLLECTION = collection_format_key("orders", "parquet")
-# Rows of a shard and of a file of the stores: fixed, so that their number grows with the rows.
+# Rows of a shard, of its files and of their row groups: fixed, so that their number grows with the rows.
 SHARD_ROWS = 4096
-FILE_ROWS = 1024
+FILE_ROWS = 4096
+GROUP_ROWS = 1024
 # Entries of a row group of tiles and of a line of the store by variable: small, so that there are several.
 TILE_ENTRIES = 8_192
 COLUMN_ENTRIES = 4_096
@@ -179,7 +180,7 @@ def sharded_store(spark: SparkSession, sf_dir: str) -> Store:
             path,
             shard_rows=SHARD_ROWS,
             rows_per_file=FILE_ROWS,
-            chunk_rows=FILE_ROWS,
+            chunk_rows=GROUP_ROWS,
             n_rows=layouts.row_count(row_ids(spark, sf_dir)),
             compression="zstd",
         )

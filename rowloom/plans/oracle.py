@@ -383,4 +383,11 @@ select ord // 128 as batch_id, cast(count(*) as bigint) as n_rows, cast(sum(nnz)
  cast(sum(s.row_id * (ord % 128)) as bigint) as order_sum
 from o join ({_SUMS}) s on o.row_id = s.row_id, (select n // 128 as last from z) l
 where ord // 128 >= last // 2 and ord // 128 < last group by 1""",
+    "concat_two_stores": f"""
+with n as (select count(*) as n, max(o_orderkey) // {_SHARD_ROWS} + 1 as shards from orders)
+select row_id, cast(row_id // {_SHARD_ROWS} as integer) as shard, cell_line, nnz, total from ({_SUMS}) s
+union all
+select n + ord, cast(shards + ord // {_SHARD_ROWS} as integer), cell_line, nnz, total
+from ({_SUMS}) s join ({_PERM}) p on s.row_id = p.row_id, n""",
+    "growing_store": f"select ord, s.row_id, cell_line, nnz, total from ({_SUMS}) s join ({_PERM}) p on s.row_id = p.row_id",
 }

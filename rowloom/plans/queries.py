@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rowloom import schemas, workdir
 from rowloom.functions import scalars
-from rowloom.operators import batches, keyed_order, layouts, metrics, ordering, reshard, rowsets, slicing, tiles
+from rowloom.operators import batches, growing, keyed_order, layouts, metrics, ordering, reshard, rowsets, slicing, tiles
 from rowloom.plans import fixtures as fx
 from rowloom.plans import layout_study, loading, preparation
 from rowloom.plans.subsets import batch_summary
@@ -141,7 +141,7 @@ def prepare_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = _row_sums(rows, F.lit(key).alias("collection_key"), "shard", "row_id")
         sums = one if sums is None else sums.unionByName(one)
     return sums.join(
-        F.broadcast(manifest.select("collection_key", F.col("shard_ord").alias("shard"), "n_observations")),
+        manifest.select("collection_key", F.col("shard_ord").alias("shard"), "n_observations"),
         ["collection_key", "shard"],
     )
 
@@ -173,8 +173,7 @@ def uid_list_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = [r.shard_key for r in store.manifest.orderBy(F.md5("shard_key")).select("shard_key").collect()]
     found = registry.uid_list_scan(spark, store.manifest, listed)
     rows = fx.stored_rows(spark, sf_dir).select("row_id", "shard")
-    # At most one manifest row per shard of the typed list.
-    return rows.join(F.broadcast(found), F.col("shard") == F.col("shard_ord")).select(
+    return rows.join(found, F.col("shard") == F.col("shard_ord")).select(
         "list_ord", "shard_key", "row_id"
     )
 
@@ -342,7 +341,8 @@ def reshard_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workdir.fresh_path(spark, "ordered")
     store = fx.sharded_store(spark, sf_dir)
     rows = scans.concat_scan(spark, store.manifest, fx.COLLECTION, store.schema).drop("shard")
-    reshard.reshard_ordered(rows, path, shard_rows=fx.SHARD_ROWS // 2, rows_per_file=512, chunk_rows=128)
+    n_rows = registry.collection_total(store.manifest, fx.COLLECTION, -1).first().n_samples
+    reshard.reshard_ordered(rows, path, n_rows=n_rows, shard_rows=fx.SHARD_ROWS // 2, chunk_rows=128)
     return _row_sums(_read_back(spark, path), "shard", "row_id", "cell_line")
 
 
@@ -840,3 +840,29 @@ def loading_run_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("total").alias("total"),
         F.sum(F.col("row_id") * F.col("pos")).alias("order_sum"),
     )
+
+
+@query
+def concat_two_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stores whose shards have the same folder names, as one matrix."""
+    store = fx.sharded_store(spark, sf_dir)
+    path = workdir.fresh_path(spark, "second")
+    reshard.reshard_shuffled(fx.stored_rows(spark, sf_dir).drop("shard"), path, shard_rows=fx.SHARD_ROWS)
+    n_shards = store.manifest.filter(F.col("collection_key") == fx.COLLECTION).count()
+    second = registry.shard_manifest(
+        spark.read.parquet(path), collection_key=fx.COLLECTION, description="shuffled", key_prefix="second", root=path
+    )
+    both = store.manifest.unionByName(second.withColumn("shard_ord", F.col("shard_ord") + n_shards))
+    return _row_sums(scans.concat_scan(spark, both, fx.COLLECTION, store.schema), "row_id", "shard", "cell_line")
+
+
+@query
+def growing_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shuffled store after two more appends and a compaction, in the order of a full shuffle."""
+    rows = fx.stored_rows(spark, sf_dir)
+    store = growing.GrowingStore(spark, workdir.fresh_path(spark, "growing"), digits=1)
+    first, last = rows.agg(F.min("shard"), F.max("shard")).first()
+    for own in (F.col("shard") == first, (F.col("shard") > first) & (F.col("shard") < last), (F.col("shard") == last) & (last > first)):
+        store.append(rows.filter(own).drop("shard"))
+    store.compact(max_runs=2)
+    return _row_sums(store.ordered(), "ord", "row_id", "cell_line")

@@ -58,3 +58,45 @@ NAMES = [
 def test_hot_keys(spark, skewed_dir, name):
     want = rows_of_sql(connect(skewed_dir), entry.oracle_sql()[name])
     assert rows_of_spark(entry.queries()[name](spark, skewed_dir)) == want
+
+
+@pytest.mark.parametrize("kept", [10**6, 3])
+def test_codes_of_hot_and_null_categories_beyond_the_broadcast_bound(spark, monkeypatch, kept):
+    from pyspark.sql import functions as F
+
+    from rowloom.operators import layouts
+
+    monkeypatch.setattr(layouts, "MAX_BROADCAST_CODES", kept)
+    n = 3_000
+    name = F.when(F.col("row_id") % 3 == 0, "hot").when(F.col("row_id") % 3 == 1, F.concat(F.lit("c"), F.col("row_id") % 40))
+    rows = spark.range(n).withColumnRenamed("id", "row_id").withColumn("name", name)
+    names = sorted({"hot", *(f"c{i % 40}" for i in range(1, n, 3))})
+    want = {i: names.index("hot" if i % 3 == 0 else f"c{i % 40}") if i % 3 < 2 else -1 for i in range(n)}
+    coded = layouts.label_codes(rows, "name")
+    assert coded.columns == ["row_id", "name", "label_code"]
+    assert {r.row_id: r.label_code for r in coded.collect()} == want
+    if kept == 3:
+        spread = coded.groupBy("name", F.spark_partition_id().alias("task")).count().groupBy("name").count()
+        assert "_salt" in coded._jdf.queryExecution().optimizedPlan().toString() and spread.count() == len(names) + 1
+
+
+def test_intervals_of_a_log_take_one_exchange(spark):
+    from pyspark.sql import functions as F
+
+    from rowloom.operators import metrics
+
+    log = spark.range(1_000).select(
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("r"), F.col("id") % 3)).alias("run"),
+        F.col("id").alias("idx"),
+        F.timestamp_seconds(F.col("id") * F.col("id")).alias("ts"),
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = metrics.batch_intervals(log, "run", "idx", "ts", F.timestamp_seconds(F.lit(0)), width=100)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = {r.idx: r.interval_us for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # One for the log; three for its ranges: their sums, their window and the join.
+    assert plan.count("Exchange hashpartitioning(_run") == 4
+    assert rows == {i: (i * i - (i - 3) ** 2 if i > 2 else i * i) * 1_000_000 for i in range(1_000)}
