@@ -33,29 +33,30 @@ from rowloom.llm.common import as_texts, groups_of
 
 # Bytes up to which a word contracts one pair a step.
 LONG = 128
-MEMO_WORDS = 1 << 18
+MEMO_WORDS = 3 << 17
 MEMO_BYTES = 64
 # Characters of texts, bytes of new words, and ids that are worked on at a time.
 STEP_CHARS = 2_000_000
 STEP_BYTES = 200_000
 STEP_IDS = 500_000
 
-# The pair of least rank in each word, the leftmost of them, becomes one token. A rank holds its place in the
-# low bits, so that it is the only one of its kind in the word. A word without pairs is done.
+# The pair of least rank in each word, the leftmost of them, becomes one token; a word without pairs is done.
+# ``spot`` is word and place in one number, so one sort serves all words; a rank holds its place in the low bits, so
+# that it is the only one of its kind in the word.
 _SHORT_WORDS = """
 with recursive state as (
-  select word, pos, id, false as done from pieces
-  union all
-  select word, pos, case when rank = least then merged else id end, least is null
-  from (
-    select *, min(rank) over (partition by word) as least
-    from (
-      select s.*, m.merged, (m.merged::bigint << 32) + s.pos as rank
-      from (select word, pos, id, lead(id) over seen as next, lag(pos) over seen as before
-            from state where not done window seen as (partition by word order by pos)) s
-      left join merges m on m.l = s.id and m.r = s.next))
-  where least is null or before is null or before <> least & 4294967295)
-select word, pos, id from state where done
+  select (word << 16) + pos as spot, id, false as done from pieces
+  union all (
+  with placed as materialized (
+    select spot, id, spot >> 16 as word, lead(spot) over seen as spot2, lead(id) over seen as next, lag(spot) over seen as before
+    from state where not done window seen as (order by spot)),
+  best as materialized (
+    select word, min((m.merged::bigint << 16) + (spot & 65535)) as least
+    from placed join merges m on m.l = id and m.r = next and spot2 >> 16 = word group by word)
+  select spot, case when spot & 65535 = least & 65535 then (least >> 16)::int else id end, least is null
+  from placed left join best using (word)
+  where least is null or before is null or before >> 16 <> word or before & 65535 <> least & 65535))
+select spot >> 16 as word, spot & 65535 as pos, id from state where done
 """
 
 # All pairs of least rank in each word at once, every second one where they overlap, from the left. Were they
@@ -128,7 +129,9 @@ class Coder:
         # White space is what Unicode says it is.
         self._words = regex.compile(pattern).findall
         self._of_byte = np.array([self._ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        # What was met lately; the older half goes when the newer one is full.
         self._memo: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._memo_words = memo_words
         self._long = long
         # Steps are small: nothing is to be put on disk.
@@ -167,8 +170,9 @@ class Coder:
                     break
         word, pos, ids = (np.concatenate([d[name] for d in done]) for name in ("word", "pos", "id"))
         order = np.lexsort((pos, word))
-        ends = np.cumsum(np.bincount(word, minlength=len(words)))[:-1]
-        return [part.tobytes() for part in np.split(ids[order].astype("<u4"), ends)]
+        data = ids[order].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()
+        return [data[start:end] for start, end in zip([0, *ends], ends)]
 
     def _ids_of(self, words: set[str]) -> dict[str, bytes]:
         known: dict[str, bytes] = {}
@@ -187,9 +191,17 @@ class Coder:
         return known
 
     def _learn(self, stretches: set[str]) -> dict[str, bytes]:
-        cut = {stretch: self._words(stretch) for stretch in stretches}
         memo = self._memo
-        new = self._ids_of({word for words in cut.values() for word in words if word not in memo})
+        cut = {}
+        missing = set()
+        for stretch in stretches:
+            words = self._words(stretch)
+            if len(words) > 1:
+                cut[stretch] = words
+            missing.update(words)
+        missing.difference_update(memo)
+        again = {word: self._old[word] for word in missing if word in self._old}
+        new = again | self._ids_of(missing.difference(again))
         new |= {
             stretch: b"".join([new[word] if word in new else memo[word] for word in words]) for stretch, words in cut.items()
         }
@@ -201,16 +213,18 @@ class Coder:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         for group in groups_of(texts, map(len, texts), STEP_CHARS):
             cut = [_STRETCHES.findall(text) for text in group]
-            new = self._learn(set().union(*cut).difference(self._memo))
+            missing = set().union(*cut).difference(self._memo)
+            again = missing.intersection(self._old)
+            self._memo.update((stretch, self._old[stretch]) for stretch in again)
+            new = self._learn(missing - again)
             self._memo.update(new)
             for stretches in cut:
                 yield b"".join(map(self._memo.__getitem__, stretches))
+            for word in new:
+                if len(word) > MEMO_BYTES:
+                    del self._memo[word]
             if len(self._memo) > self._memo_words:
-                self._memo = {}
-            else:
-                for word in new:
-                    if len(word) > MEMO_BYTES:
-                        del self._memo[word]
+                self._old, self._memo = self._memo, {}
 
     def decode(self, ids: list[bytes]) -> Iterator[bytes]:
         """The bytes that the ids of each text stand for; an id that is no token is an error."""

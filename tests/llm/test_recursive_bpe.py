@@ -121,7 +121,7 @@ def test_memo_is_bounded(library):
     some = [f"word{i} other{i * i} words of text {'z' * 70}" for i in range(200)]
     for text in some:
         assert list(coder.encode([text])) == [library(text)]
-        assert len(coder._memo) <= 50 + 20
+        assert len(coder._memo) <= 50 and len(coder._old) <= 50 + 20
 
 
 def test_unknown_ids_fail(coder):
