@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.scalars import part_rows, seed_text, seeded_hex
 from rowloom.operators.ordinals import MAX_BROADCAST_OFFSETS, dense_positions, hex_bucket, with_ordinal
+from rowloom.workdir import settle
 
 
 def with_epochs(rows: DataFrame, epochs: int | None) -> DataFrame:
@@ -179,23 +180,25 @@ def chunk_window_shuffle(
     n_rows: int | None = None,
     digits: int | None = None,
     key: str = "row_id",
+    chunk: str | None = None,
 ) -> DataFrame:
     """Random chunks of consecutive rows, shuffled inside windows of chunks.
 
-    ``key`` is the position that is cut into chunks.  A window holds at most
+    ``key`` is the position that is cut into chunks, unless a column ``chunk`` names them.  A window holds at most
     ``chunk_size * preload_nchunks`` rows, which is also the most one window
     group brings to a task.  The short last chunk may land in any window, so
     positions continue from counted window starts.
     """
     epoch = _epoch_columns(epochs)
     digits = _digits(digits, n_rows)
-    places = _chunk_places(rows, _div(F.col(key), chunk_size), "c", seed, epochs, digits)
+    chunk_id = _div(F.col(key), chunk_size) if chunk is None else F.col(chunk)
+    places = _chunk_places(rows, chunk_id, "c", seed, epochs, digits)
     windows = places.withColumn("_window", _div(F.col("ord"), preload_nchunks)).drop("ord", "_key", "_part")
     windows = windows.withColumn(
         "_first", F.min("start").over(Window.partitionBy(*epoch, "_window"))
     ).drop("start")
     placed = (
-        rows.withColumn("_chunk", _div(F.col(key), chunk_size))
+        rows.withColumn("_chunk", chunk_id)
         .join(windows, "_chunk")
         .withColumn("_key", seeded_hex(_seed(seed, epochs), "r", F.col(key)))
     )
@@ -228,6 +231,53 @@ def part_shuffle(
     )
 
 
+def sparse_row_bytes(n_entries: Column) -> Column:
+    """Size of a sparse row: its id, and an index and a value of 4 bytes for each entry."""
+    return n_entries.cast("bigint") * 8 + 8
+
+
+def sized_parts(rows: DataFrame, part_bytes: int, size: str = "bytes") -> DataFrame:
+    """Add ``part``: rows in ``row_id`` order are cut where the running sum of ``size`` passes ``part_bytes``.
+
+    A part has ``part_bytes`` within its longest row on either side. A row that is no shorter
+    than that is a part of its own, numbered below 0, and does not count for the others. The
+    sum runs inside ranges of ids, one exchange; ids may be sparse.
+    """
+    is_long = F.col(size) >= part_bytes
+    weighed = rows.withColumn("_counted", F.when(is_long, F.lit(0)).otherwise(F.col(size)).cast("bigint"))
+    summed = with_ordinal(weighed, order_by=["row_id"], bucket=_div(F.col("row_id"), 65_536), weight="_counted")
+    part = F.when(is_long, -F.col("row_id") - 1).otherwise(_div(F.col("start"), part_bytes))
+    return summed.withColumn("part", part.cast("bigint")).drop("_counted", "ord", "start")
+
+
+def sized_part_shuffle(
+    rows: DataFrame,
+    batch_size: int = 1024,
+    *,
+    part_bytes: int = 100_000_000,
+    size: str = "bytes",
+    seed: int | str = 42,
+    epochs: int | None = None,
+    drop_last: bool = True,
+    n_rows: int | None = None,
+) -> DataFrame:
+    """``part_shuffle`` of rows whose ``size`` differs: parts of nearly equal bytes, not of equal rows.
+
+    The parts are written once and read three times below. Pass ids, not payload.
+    """
+    parts = settle(sized_parts(rows, part_bytes, size), "sized-parts")
+    return chunk_window_shuffle(
+        parts,
+        batch_size,
+        preload_nchunks=1,
+        seed=seed,
+        epochs=epochs,
+        drop_last=drop_last,
+        n_rows=n_rows,
+        chunk="part",
+    ).drop("part")
+
+
 def stream_chunk_shuffle(
     rows: DataFrame,
     batch_size: int = 1024,

@@ -390,4 +390,20 @@ union all
 select n + ord, cast(shards + ord // {_SHARD_ROWS} as integer), cell_line, nnz, total
 from ({_SUMS}) s join ({_PERM}) p on s.row_id = p.row_id, n""",
     "growing_store": f"select ord, s.row_id, cell_line, nnz, total from ({_SUMS}) s join ({_PERM}) p on s.row_id = p.row_id",
+    "sized_part_shuffle": f"""
+with b as (select row_id, nnz * 8 + 8 as bytes from ({_SUMS}) s),
+ r as (select *, sum(case when bytes < 65536 then bytes else 0 end) over (order by row_id
+          rows between unbounded preceding and 1 preceding) as before from b),
+ c as (select row_id, case when bytes >= 65536 then -row_id - 1 else (coalesce(before, 0) // 65536)::bigint end as part from r),
+ p as (select part, row_number() over (order by md5(concat('42c:', cast(part as varchar))), part) - 1 as place
+       from (select distinct part from c) d),
+ o as (select row_id, row_number() over (order by place, md5(concat('42r:', cast(row_id as varchar))), row_id) - 1 as ord
+       from c join p on c.part = p.part)
+select row_id, ord // 1024 as batch_id, ord % 1024 as pos from o where ord // 1024 < (select count(*) // 1024 from orders)""",
+    "shard_digests": f"""
+with v as (select distinct row_id // {_SHARD_ROWS} as shard, var_id from ({_COO}) c),
+ n as (select shard, row_number() over (partition by shard order by var_id) - 1 as place, var_id from v)
+select cast(shard as integer) as shard, count(*) as n_var,
+ cast(sum(cast(concat('0x', substr(md5(concat(place, ':g', var_id)), 1, 15)) as hugeint)) as varchar) as digest
+from n group by 1""",
 }

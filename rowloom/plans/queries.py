@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rowloom import schemas, workdir
 from rowloom.functions import scalars
 from rowloom.operators import batches, growing, keyed_order, layouts, metrics, ordering, reshard, rowsets, slicing, tiles
+from rowloom.operators.ordinals import grouped_positions
 from rowloom.plans import fixtures as fx
 from rowloom.plans import layout_study, loading, preparation
 from rowloom.plans.subsets import batch_summary
@@ -25,6 +26,7 @@ LAST_VAR = 999
 BATCH = 128
 # A store small enough to be in more than one chunk or segment at test scale.
 TIMED_SEGMENT = 100
+PART_BYTES = 65_536
 
 
 def query(function: Query) -> Query:
@@ -866,3 +868,20 @@ def growing_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         store.append(rows.filter(own).drop("shard"))
     store.compact(max_runs=2)
     return _row_sums(store.ordered(), "ord", "row_id", "cell_line")
+
+
+@query
+def sized_part_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of equal bytes of the sparse rows."""
+    rows = fx.stored_rows(spark, sf_dir)
+    sized = rows.select("row_id", ordering.sparse_row_bytes(F.size("indices")).alias("bytes"))
+    return ordering.sized_part_shuffle(sized, part_bytes=PART_BYTES).drop("bytes")
+
+
+@query
+def shard_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of the variables that each shard has entries of, in the order of their ids."""
+    seen = fx.stored_rows(spark, sf_dir).select("shard", F.explode("indices").alias("var_id")).distinct()
+    named = grouped_positions(seen, ["shard"], "var_id").join(fx.var(spark, sf_dir), "var_id")
+    digests = scans.sequence_digests(named.withColumnRenamed("ord", "var_ord"))
+    return digests.select("shard", "n_var", F.col("digest").cast("string").alias("digest"))

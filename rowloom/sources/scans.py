@@ -171,6 +171,56 @@ def checked_concat(x: DataFrame, var: DataFrame) -> DataFrame:
     return x
 
 
+def sequence_digests(var: DataFrame, *, segment: int = 1_024, by_segment: bool = False) -> DataFrame:
+    """One line per shard for its ordered variable list: ``n_var`` and ``digest``; or one per segment of it.
+
+    The digest is the sum of a hash of (place, name) over the list. So it tells
+    the order, and digests of segments or of parts made apart add up to that of the list.
+    """
+    hashed = F.conv(F.substring(F.md5(F.concat(F.col("var_ord").cast("string"), F.lit(":"), "var_name")), 1, 15), 16, 10)
+    keys = [F.col("shard")]
+    if by_segment:
+        keys.append(F.call_function("div", F.col("var_ord").cast("bigint"), F.lit(segment).cast("bigint")).alias("segment"))
+    return var.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_var"), F.sum(hashed.cast("decimal(38,0)")).alias("digest"))
+
+
+def first_difference(var: DataFrame, segment: int = 1_024) -> tuple | None:
+    """``(shard, place, name, expected)`` of the first place where a list differs from that of the first shard.
+
+    None when all lists are equal. Shards are compared by one line each; only the first
+    segment in which the first differing shard departs is read by name.
+    """
+    lines = sequence_digests(var)
+    base = var.agg(F.min("shard")).first()[0]
+    if base is None:
+        return None
+    own = lines.filter(F.col("shard") == base).first()
+    differs = (F.col("n_var") != own.n_var) | (F.col("digest") != F.lit(own.digest))
+    shard = lines.filter(differs).agg(F.min("shard")).first()[0]
+    if shard is None:
+        return None
+    pair = var.filter(F.col("shard").isin(base, shard))
+    parts = sequence_digests(pair, segment=segment, by_segment=True).groupBy("segment")
+    parts = parts.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("n_var", "digest").alias("kinds"))
+    at = parts.filter((F.col("n") < 2) | (F.col("kinds") > 1)).agg(F.min("segment")).first()[0]
+    inside = pair.filter(F.col("var_ord").between(at * segment, (at + 1) * segment - 1))
+    names = inside.groupBy("var_ord").agg(
+        F.max(F.when(F.col("shard") == shard, F.col("var_name"))).alias("name"),
+        F.max(F.when(F.col("shard") == base, F.col("var_name"))).alias("expected"),
+    )
+    line = names.filter(~F.col("name").eqNullSafe(F.col("expected"))).orderBy("var_ord").first()
+    return shard, line.var_ord, line.name, line.expected
+
+
+def digest_checked_concat(x: DataFrame, var: DataFrame) -> DataFrame:
+    """``checked_concat`` by one digest per shard; the error names the first difference."""
+    found = first_difference(var)
+    if found is not None:
+        shard, place, name, expected = found
+        raise ValueError(f"shards have different variables: {name} instead of {expected} at {place} of shard {shard}")
+    return x
+
+
 def obs_columns(spark: SparkSession, path: str, columns: list[str], include_obs: bool = True) -> DataFrame:
     """Chosen columns of the row table; only the ids when ``include_obs`` is off."""
     wanted = columns if include_obs else []

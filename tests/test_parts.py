@@ -1,0 +1,85 @@
+"""Parts of equal bytes and ordered digests of variable lists."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from rowloom.operators import ordering
+from rowloom.sources import scans
+
+
+@pytest.fixture(scope="module")
+def uneven(spark):
+    """Rows of 8 to 800 bytes over sparse ids, and a few of more than a part."""
+    rng = random.Random(5)
+    rows = [(i * 37, 100_000 + i if i % 500 == 250 else rng.choice([8, 16, 80, 800])) for i in range(3_000)]
+    return spark.createDataFrame(rows, "row_id long, bytes long").repartition(5).persist()
+
+
+def test_parts_are_of_equal_bytes(spark, uneven):
+    size = 20_000
+    parts = ordering.sized_parts(uneven, size)
+    assert parts.columns == ["row_id", "bytes", "part"]
+    rows = parts.collect()
+    assert sorted((r.row_id, r.bytes) for r in rows) == sorted(map(tuple, uneven.collect()))
+    totals = {}
+    for r in rows:
+        totals.setdefault(r.part, []).append(r.bytes)
+    longs = [sizes for part, sizes in totals.items() if part < 0]
+    assert sorted(len(sizes) for sizes in longs) == [1] * 6 and min(map(sum, longs)) >= 100_000
+    own = {part: sum(sizes) for part, sizes in totals.items() if part >= 0}
+    assert sorted(own) == list(range(len(own)))
+    assert all(abs(total - size) <= 800 for part, total in own.items() if part < len(own) - 1)
+    # Parts follow the order of rows.
+    short = sorted((r.row_id, r.part) for r in rows if r.part >= 0)
+    assert [p for _, p in short] == sorted(p for _, p in short)
+
+
+def test_sized_parts_are_shuffled_one_at_a_time(spark, uneven):
+    plan = ordering.sized_part_shuffle(uneven, 100, part_bytes=20_000, drop_last=False, epochs=2).collect()
+    part = {r.row_id: r.part for r in ordering.sized_parts(uneven, 20_000).collect()}
+    for epoch in (0, 1):
+        rows = sorted(((r.batch_id * 100 + r.pos, r.row_id) for r in plan if r.epoch == epoch))
+        assert [o for o, _ in rows] == list(range(3_000))
+        runs = [part[i] for _, i in rows]
+        changes = sum(a != b for a, b in zip(runs, runs[1:]))
+        assert changes == len(set(runs)) - 1 and runs != sorted(runs)
+        assert [i for _, i in rows] != sorted(i for _, i in rows)
+    assert ordering.sized_parts(uneven.limit(0), 100).count() == 0
+
+
+def lists(spark, *names):
+    rows = [(shard, place, name) for shard, some in enumerate(names) for place, name in enumerate(some)]
+    return spark.createDataFrame(rows, "shard int, var_ord int, var_name string")
+
+
+NAMES = [f"g{i}" for i in range(300)]
+
+
+@pytest.mark.parametrize(
+    "other, place, name, expected",
+    [
+        (NAMES[:250] + ["x"] + NAMES[251:], 250, "x", "g250"),
+        (NAMES[:7] + [NAMES[8], NAMES[7]] + NAMES[9:], 7, "g8", "g7"),
+        (NAMES[:-1], 299, None, "g299"),
+        ([*NAMES, "more"], 300, "more", None),
+        (NAMES[::-1], 0, "g299", "g0"),
+    ],
+)
+def test_the_first_difference_is_named(spark, other, place, name, expected):
+    var = lists(spark, NAMES, NAMES, other, NAMES[::-1])
+    assert scans.first_difference(var, segment=16) == (2, place, name, expected)
+    x = spark.range(3)
+    with pytest.raises(ValueError, match=f"{name} instead of {expected} at {place} of shard 2"):
+        scans.digest_checked_concat(x, var)
+    assert scans.digest_checked_concat(x, var.filter("shard < 2")).count() == 3
+    assert scans.first_difference(var.limit(0)) is None
+
+
+def test_digests_of_segments_add_up_and_tell_the_order(spark):
+    var = lists(spark, NAMES, [NAMES[1], NAMES[0], *NAMES[2:]])
+    whole = {r.shard: (r.n_var, r.digest) for r in scans.sequence_digests(var).collect()}
+    assert whole[0] != whole[1]
+    parts = scans.sequence_digests(var, segment=7, by_segment=True).groupBy("shard").agg(F.sum("n_var"), F.sum("digest")).collect()
+    assert {r[0]: (r[1], r[2]) for r in parts} == whole

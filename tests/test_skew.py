@@ -36,19 +36,25 @@ NAMES = [
     "append_result_row",
     "assemble_rows",
     "axis_query",
+    "axis_query_row_set",
     "batch_callback",
     "batch_intervals",
+    "coord_range_tiles",
     "subset_batches",
     "densify",
     "effective_batch",
     "gene_subset",
+    "gene_subset_columns",
+    "growing_store",
     "label_codes",
     "nested_results_json",
     "obs_semi_join",
     "reshard_shuffled",
+    "sized_part_shuffle",
     "stream_chunk_shuffle",
     "subset_rewrite",
     "throughput_epochs",
+    "variable_counts",
     "write_sparse",
     "x_label_join",
 ]
