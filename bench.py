@@ -54,6 +54,12 @@ HEADLINE = [
     "row_group_scan",
     "loading_run_budget",
     "loading_run_epochs",
+    "keyed_permutation",
+    "loading_run_resumed",
+    "axis_query_row_set",
+    "row_gather_index",
+    "coord_range_tiles",
+    "gene_subset_columns",
 ]
 # Rows each loading query puts in batches, in passes over the row table.
 LOADING = {
@@ -67,6 +73,7 @@ LOADING = {
     "part_shuffle": 1,
     "epochs": 5,
     "batch_callback": 1,
+    "keyed_permutation": 1,
 }
 
 
