@@ -1,16 +1,17 @@
 """Quality rules for web text: repetition, length, and lines that many documents of a host share.
 
 Each text gives its counts and its normalised lines (A-Z lower-cased, runs of
-white space one space, runs of digits one 0) as hashes with their words. Lines
-are counted over the documents of a host; one found in more than ``min_docs``
-documents and in more than ``max_share`` of the host's documents is removed. A
-document left with less than ``min_left`` of its words is depleted and rejected.
-So a host has at most (its lines / its documents / ``max_share``) such lines, a
-short list, which is joined with the host's documents.
-
-Defined results: a null text has no words and no lines; null hosts form a host of their own; a line
-counts once for each row that has it, and each row counts as a document; empty
-tables give no rows; only doc_id, source and text are read.
+white space one space, runs of digits one 0) as hashes with their words. Per host
+and line the distinct documents are counted; a line found in more than ``min_docs``
+of them is removed, however large the host. A document left with less than
+``min_left`` of its words is depleted and rejected. Counting moves one narrow row per
+line of a document; the lines above the limit meet those rows again by host and line,
+spread over ``SALTS`` keys as one line may stand in a third of all documents.
+
+Defined results: a null text has no words and no lines; null hosts form a host of their own;
+rows of one doc_id are one document, rows without an id one document each; repeated rows each
+give a row; a very long text is one row with all its lines; a line in exactly ``min_docs``
+documents stays; empty tables give no rows; only doc_id, source and text are read.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from rowloom.llm.common import as_texts, key_column, write_table
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 10
-MAX_SHARE_PERCENT = 5
 MIN_LEFT_PERCENT = 50
+SALTS = 16
 
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _DIGITS = re.compile(rb"[0-9]+")
@@ -98,17 +99,19 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
-def frequent_lines(measured: DataFrame, min_docs: int, max_share_percent: int) -> DataFrame:
-    """``host, frequent``: per host the hashes of the lines above both limits."""
-    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    counted = (
-        measured.select("host", F.explode("lines.line").alias("line"))
-        .groupBy("host", "line")
-        .agg(F.count(F.lit(1)).alias("n_docs"))
-        .filter(F.col("n_docs") > min_docs)
-    )
-    over = counted.join(hosts, "host").filter(F.col("n_docs") * 100 > F.col("host_docs") * max_share_percent)
-    return over.groupBy("host").agg(F.collect_list("line").alias("frequent"))
+def frequent_lines(lines: DataFrame, min_docs: int) -> DataFrame:
+    """``line`` of those in more than ``min_docs`` distinct documents; each null id is one of its own."""
+    without_id = F.count(F.when(F.col("doc_id").isNull(), F.lit(1)))
+    counted = lines.groupBy("line").agg((F.count_distinct("doc_id") + without_id).alias("n_docs"))
+    return counted.filter(F.col("n_docs") > min_docs).select("line")
+
+
+def removed_words(lines: DataFrame, min_docs: int) -> DataFrame:
+    """``row, n_removed_words`` of the rows that have frequent lines."""
+    salts = F.array(*(F.lit(k) for k in range(SALTS)))
+    frequent = frequent_lines(lines, min_docs).select("line", F.explode(salts).alias("salt"))
+    salted = lines.select("line", F.pmod(F.xxhash64("row"), SALTS).cast("int").alias("salt"), "row", "words")
+    return salted.join(frequent, ["line", "salt"]).groupBy("row").agg(F.sum("words").alias("n_removed_words"))
 
 
 def apply_rules(
@@ -116,24 +119,20 @@ def apply_rules(
     min_words: int = MIN_WORDS,
     max_repeat_percent: int = MAX_REPEAT_PERCENT,
     min_docs: int = MIN_DOCS,
-    max_share_percent: int = MAX_SHARE_PERCENT,
     min_left_percent: int = MIN_LEFT_PERCENT,
 ) -> DataFrame:
     """Counts of each document, words in removed lines, and whether it is kept."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
     measured = write_table(
-        narrow.mapInArrow(_measure, _SCHEMA).withColumn("host", key_column(F.col("source"))), "line-rules", "zstd"
+        narrow.mapInArrow(_measure, _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "line-rules", "zstd"
     )
-    removed = F.when(F.col("frequent").isNull(), F.lit(0).cast("long")).otherwise(
-        F.aggregate(
-            F.filter("lines", lambda x: F.array_contains("frequent", x["line"])),
-            F.lit(0).cast("long"),
-            lambda total, x: total + x["words"],
-        )
+    lines = measured.select("doc_id", "row", key_column(F.col("source")).alias("host"), F.explode("lines").alias("l")).select(
+        "doc_id", "row", F.xxhash64("host", "l.line").alias("line"), "l.words"
     )
     judged = (
-        measured.join(frequent_lines(measured, min_docs, max_share_percent), "host", "left")
-        .withColumn("n_removed_words", removed)
+        measured.drop("lines", "source")
+        .join(removed_words(lines, min_docs), "row", "left")
+        .withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
         .withColumn(
             "base_failed",
             (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),

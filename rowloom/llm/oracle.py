@@ -1,6 +1,6 @@
 """SQL that gives the rows of the queries SQL can express."""
 
-from rowloom.llm.line_rules import MAX_REPEAT_PERCENT, MAX_SHARE_PERCENT, MIN_DOCS, MIN_LEFT_PERCENT, MIN_WORDS
+from rowloom.llm.line_rules import MAX_REPEAT_PERCENT, MIN_DOCS, MIN_LEFT_PERCENT, MIN_WORDS
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,23 +69,21 @@ windows as (
 ),
 twice as (select rid, i from (select rid, i, count(*) over (partition by rid, g) as n from windows) where n > 1),
 covered as (select rid, count(distinct i + k) as n_repeat from twice, (values (0), (1), (2)) as s(k) group by rid),
-lines as (select rid, source, unnest(ls) as line from lists),
+lines as (select rid, doc_id, source, unnest(ls) as line from lists),
 worded as (
-  select rid, source, line, regexp_extract_all(line, '{_WORD}') as w
+  select rid, doc_id, source, line, regexp_extract_all(line, '{_WORD}') as w
   from lines where regexp_matches(line, '{_WORD}')
 ),
 dups as (select rid, count(*) - count(distinct line) as n_dup from worded group by rid),
 normal as (
-  select rid, source, sum(len(w)) as words,
+  select rid, doc_id, source, sum(len(w)) as words,
          regexp_replace(translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                         '[0-9]+', '0', 'g') as line
-  from worded group by rid, source, 4
+  from worded group by rid, doc_id, source, 5
 ),
-hosts as (select source, count(*) as docs from texts group by source),
 frequent as (
-  select n.source, line from normal n join hosts h on n.source is not distinct from h.source
-  group by n.source, line, docs
-  having count(*) > {MIN_DOCS} and count(*) * 100 > docs * {MAX_SHARE_PERCENT}
+  select source, line from normal group by source, line
+  having count(distinct doc_id) + count(*) filter (where doc_id is null) > {MIN_DOCS}
 ),
 removed as (
   select rid, sum(words) as n_removed from normal n

@@ -165,6 +165,30 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert got[200].n_removed_words == 0 and got[200].kept  # a host of its own
 
 
+def test_verdict_does_not_depend_on_the_size_of_the_host(spark):
+    def word(i):
+        return "".join(chr(97 + int(d)) for d in f"{i:04d}")
+
+    passage = " ".join("p" + word(k) for k in range(60))
+    for size in (300, 2_000):
+        docs = spark.range(size).selectExpr("id as doc_id", "cast(id as string) as t").collect()
+        own = {r.doc_id: " ".join(f"o{word(r.doc_id)}{word(k)}" for k in range(55)) for r in docs}
+        rows = [(i, text + ("\n" + passage if i < 80 else ""), "host") for i, text in own.items()]
+        got = {r.doc_id: r for r in line_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+        assert all(got[i].n_removed_words == 60 and not got[i].kept for i in range(80))
+        assert all(got[i].n_removed_words == 0 and got[i].kept for i in range(80, size))
+
+
+def test_repeated_rows_of_one_id_do_not_make_a_line_frequent(spark):
+    text = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    schema = "doc_id long, text string, source string"
+    same = line_rules.apply_rules(spark.createDataFrame([(7, text, "a")] * 30, schema)).collect()
+    assert len(same) == 30 and all(r.kept and r.n_removed_words == 0 for r in same)
+    for n, removed in ((10, 0), (11, 60)):  # a line in exactly ten documents stays
+        rows = [(None, text, "a")] * n
+        assert {r.n_removed_words for r in line_rules.apply_rules(spark.createDataFrame(rows, schema)).collect()} == {removed}
+
+
 def test_line_rules_of_odd_rows(spark, odd_docs, no_docs):
     got = line_rules.apply_rules(odd_docs).collect()
     assert len(got) == odd_docs.count()
