@@ -126,22 +126,30 @@ def _tree_paths(bins: np.ndarray, label: np.ndarray) -> list[tuple]:
 def _lasso(x: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray]:
     """Logistic weights under an L1 penalty, by accelerated proximal steps; the intercept is free."""
     n = len(label)
-    mean = x.mean(axis=0)
-    centred = x - mean
+    mean = x.mean(axis=0, dtype=np.float64)
     share = label.mean()
+
+    # Products with the centred matrix, which is never built; ``x`` holds zeros and ones in 32 bits.
+    def times(weights: np.ndarray) -> np.ndarray:
+        return (x @ weights.astype(np.float32)).astype(np.float64) - mean @ weights
+
+    def turned(rows: np.ndarray) -> np.ndarray:
+        return (rows.astype(np.float32) @ x).astype(np.float64) - mean * rows.sum()
+
     # Lipschitz bound of the gradient, by power iteration.
     v = np.ones(x.shape[1], np.float64) / np.sqrt(max(1, x.shape[1]))
+    norm = 1.0
     for _ in range(20):
-        v = centred.T @ (centred @ v)
+        v = turned(times(v))
         norm = np.linalg.norm(v) or 1.0
         v /= norm
     rate = 1 / (0.25 * (norm / n + 1))
     w, b = np.zeros(x.shape[1]), float(np.log(share / (1 - share)))
     w_ahead, b_ahead, t = w, b, 1.0
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-(centred @ w_ahead + b_ahead)))
+        p = 1 / (1 + np.exp(-(times(w_ahead) + b_ahead)))
         error = (p - label) / n
-        raw = w_ahead - rate * (centred.T @ error)
+        raw = w_ahead - rate * turned(error)
         w_new = np.sign(raw) * np.maximum(np.abs(raw) - rate * PENALTY, 0)
         b_new = b_ahead - rate * error.sum()
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -159,9 +167,9 @@ def fit_rules(x: np.ndarray, label: np.ndarray) -> Model:
     cuts = [_thresholds(x[:, k]) for k in range(x.shape[1])]
     bins = np.stack([np.searchsorted(cut, x[:, k], side="left") for k, cut in enumerate(cuts)], axis=1)
     paths = [p for p in _tree_paths(bins, label) if all(at < len(cuts[k]) for k, _, at in p)]
-    met = np.stack(
-        [np.all([(bins[:, k] > at) == above for k, above, at in path], axis=0) for path in paths], axis=1
-    ).astype(np.float64) if paths else np.zeros((len(label), 0))
+    met = np.zeros((len(label), len(paths)), np.float32)
+    for column, path in enumerate(paths):
+        met[:, column] = np.all([(bins[:, k] > at) == above for k, above, at in path], axis=0)
     intercept, weights = _lasso(met, label)
     rules = tuple(
         Rule(float(w), tuple((k, above, float(cuts[k][at])) for k, above, at in path))
@@ -236,4 +244,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents whose score reaches ``threshold``, with their own columns."""
     scored = _scored(docs, model, [F.struct("*").alias("_row")])
-    return scored.filter(F.col("_score") >= threshold).select("_row.*")
+    # A filter is not pushed below a column that is no function of its row: pushed, it would hold each
+    # statistic once for every term of every rule, too large to compile.
+    placed = scored.withColumn("_place", F.monotonically_increasing_id())
+    return placed.filter((F.col("_score") >= threshold) & (F.col("_place") >= 0)).select("_row.*")
