@@ -6,7 +6,9 @@ numbers, for units that follow a number and for names (capitalised words inside
 a sentence) and keeps what it replaced as slots. It has a second form of windows with a capitalised word
 at the start of a sentence: there each one that is no common opener (``OPENERS``) is a name
 too. Either form of an item meets either form of a document. Hashes of windows of ``WINDOW`` tokens
-are joined with those of the benchmark items. Windows of a document
+are joined with those of the benchmark items. A template window that holds fewer than ``MIN_LITERALS`` words as they
+stand is widened to the right until it has them, so questions full of numbers and names match as well; one that
+has not got them in ``MAX_WINDOW`` tokens is a bare table and is matched by its plain view. Windows of a document
 that lie at one distance from their places in an item form a run. Plain windows always
 count. In the template windows of a run an item slot must stand for one document slot, and
 a name or unit of the document for one of the item (two numbers may be equal by chance): a
@@ -17,25 +19,29 @@ the windows that count are ``MIN_SHARE`` of the item's, or ``MIN_RUN`` in one ru
 at least), or if ``MIN_TOKENS`` of its tokens in a row are found word for word.
 
 Before the join a bitmap of benchmark hashes, of fixed size, is sent to the tasks;
-only windows that hit it leave them. It drops no match.
+only windows that hit it leave them. It drops no match. A pair of document and item that is
+reported shares at least t of the n window places of the item, so it shares one of any n - t + 1: only the
+rarest ones of each item start pairs, and the other windows are compared for started pairs alone. An
+opening that many questions share starts none.
 
 Defined results: items of fewer than ``MIN_ITEM`` tokens match nothing; shorter ones than a
 window are one window of their own length; null and empty texts match nothing;
-repeated items each report, repeated rows each count as the same document id and text; columns
-other than ids and texts are not read, and ``drop_contaminated`` passes them on.
+repeated items each report, repeated rows each count as the same document id and text; very long texts are
+read whole; where two pairings of slots tie, neither holds; an empty table of documents or of items finds nothing;
+columns other than ids and texts are not read, and ``drop_contaminated`` passes them on.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import as_texts, groups_of, key_column, write_table
@@ -43,11 +49,13 @@ from rowloom.llm.common import as_texts, groups_of, key_column, write_table
 WINDOW = 8
 MIN_ITEM = 5
 MIN_LITERALS = 4
+MAX_WINDOW = 32
 MIN_SHARE = 0.5
 MIN_RUN = 13
 MIN_TOKENS = 13
 BITMAP_BITS = 24
 _WORK_CHARS = 4 << 20
+_MAX_LEXICON = 1 << 18
 
 # Units that may follow a number (fixed values).
 UNITS = frozenset(
@@ -65,7 +73,9 @@ OPENERS = frozenset(
 )
 _TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n]+|[^\W]+")
 _PLACEHOLDERS = {"#": "<number>", "u": "<unit>", "n": "<name>"}
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
+_KINDS = " #un"
+_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
+_BREAK, _NUMBER, _UNIT, _CAPITAL, _OPENER = 1, 2, 4, 8, 16
 
 _WINDOWS = "id long, key string, view int, size int, hash long, place int, slots array<string>"
 _ARROW = pa.schema(
@@ -80,45 +90,102 @@ _RUN_ARROW = pa.schema(
 )
 
 
-@lru_cache(maxsize=1 << 18)
 def _hash(token: str) -> int:
     return xxhash.xxh64_intdigest(token, 1)
 
 
+def _marks(token: str) -> tuple[str, int]:
+    """Lower-cased token, and what it can be wherever it stands."""
+    first, low = token[0], token.lower()
+    if first in ".!?\n":
+        return low, _BREAK
+    if first.isdigit():
+        return low, _NUMBER
+    capital = _CAPITAL if first != low[0] and token[1:] == low[1:] else 0
+    return low, capital | (_UNIT if low in UNITS else 0) | (_OPENER if low in OPENERS else 0)
+
+
 def tokens_of(text: str) -> tuple[list[str], dict[int, str], list[int]]:
     """Lower-cased words and numbers, by place the kind of those that templates replace, places of names that open sentences."""
     words: list[str] = []
     kinds: dict[int, str] = {}
     opening: list[int] = []
     fresh = True  # at the start of a sentence
-    for token in _TOKEN.findall(text):
-        first = token[0]
-        if first in ".!?\n":
+    for low, marks in map(_marks, _TOKEN.findall(text)):
+        if marks & _BREAK:
             fresh = True
             continue
-        low = token.lower()
-        if first.isdigit():
+        if marks & _NUMBER:
             kinds[len(words)] = "#"
-        elif low in UNITS and kinds.get(len(words) - 1) == "#":
+        elif marks & _UNIT and kinds.get(len(words) - 1) == "#":
             kinds[len(words)] = "u"
-        elif first != low[0] and token[1:] == low[1:]:
+        elif marks & _CAPITAL:
             if not fresh:
                 kinds[len(words)] = "n"
-            elif low not in OPENERS:
+            elif not marks & _OPENER:
                 opening.append(len(words))
         fresh = False
         words.append(low)
     return words, kinds, opening
 
 
-def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every window of ``size`` tokens in each row."""
-    n = hashes.shape[1] - size + 1
-    total = np.zeros((len(hashes), n), np.uint64)
-    for k in range(size):
-        total = total * _MULTIPLIER + hashes[:, k : k + n]
-    total ^= total >> np.uint64(29)
-    return total * np.uint64(0xBF58476D1CE4E5B9)
+class _Lexicon(dict):
+    """Number of each distinct chunk of text between spaces; its tokens, with hash and marks, are found once."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.chars = 0
+        self._tokens: dict[str, int] = {}
+        self.lows: list[str] = []
+        self._hashes, self._marks = array("Q"), array("B")
+        self._codes, self._ends = array("i"), array("q", [0])
+
+    def __missing__(self, chunk: str) -> int:
+        for token in _TOKEN.findall(chunk):
+            code = self._tokens.get(token)
+            if code is None:
+                low, marks = _marks(token)
+                self.lows.append(low)
+                self._hashes.append(_hash(low))
+                self._marks.append(marks)
+                self._tokens[token] = code = len(self._tokens)
+            self._codes.append(code)
+        self._ends.append(len(self._codes))
+        self.chars += len(chunk)
+        self[chunk] = number = len(self)
+        return number
+
+    def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token codes of all texts in a row, and how many each text has."""
+        # No token holds a space, and a line break only ever stands with what ends sentences.
+        chunks = [np.fromiter(map(self.__getitem__, text.replace("\n", " \n ").split(" ")), np.int64) for text in texts]
+        ends = np.array(self._ends)
+        flat = np.concatenate(chunks) if chunks else np.zeros(0, np.int64)
+        first = ends[flat]
+        lengths = ends[flat + 1] - first
+        after = np.cumsum(lengths)
+        at = np.repeat(first - (after - lengths), lengths)
+        at += np.arange(len(at))
+        counted = np.concatenate([[0], after])[np.cumsum([0, *map(len, chunks)])]
+        return np.array(self._codes, np.int32)[at], np.diff(counted)
+
+    def properties(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and marks of each token."""
+        return np.array(self._hashes, np.uint64)[codes], np.array(self._marks, np.uint8)[codes]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """``base ** 0`` to ``base ** (n - 1)``, in 64 bits."""
+    powers = np.full(n, base, np.uint64)
+    powers[:1] = 1
+    return np.multiply.accumulate(powers)
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Running sums, from zero."""
+    sums = np.zeros(len(values) + 1, values.dtype if values.dtype == np.uint64 else np.int64)
+    np.cumsum(values, out=sums[1:])
+    return sums
 
 
 class _Windows:
@@ -126,6 +193,9 @@ class _Windows:
 
     def __init__(self, sizes: list[int], bitmap: np.ndarray | None) -> None:
         self._sizes, self._bitmap = sizes, bitmap
+        self._lexicon = _Lexicon()
+        self._placeholders = np.array([0, *(_hash(_PLACEHOLDERS[kind]) for kind in _KINDS[1:])], np.uint64)
+        self._up, self._down = _powers(_MULTIPLIER, 0), _powers(1, 0)
 
     def _hit(self, hashes: np.ndarray) -> np.ndarray:
         if self._bitmap is None:
@@ -133,39 +203,77 @@ class _Windows:
         at = hashes & np.uint64((1 << BITMAP_BITS) - 1)
         return self._bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
 
-    def of(self, text: str, sizes: list[int] | None = None) -> Iterator[tuple[int, int, int, int, list[str]]]:
-        """``view, size, hash, place, slots`` of each window kept."""
-        words, kinds, opening = tokens_of(text)
-        n = len(words)
-        if n < min(sizes or self._sizes, default=1):
+    def _rolled(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the tokens from ``start`` to ``end``, from running sums of token hashes over powers."""
+        total = (sums[end] - sums[start]) * self._up[end - 1]
+        total ^= total >> np.uint64(29)
+        return total * np.uint64(0xBF58476D1CE4E5B9)
+
+    def of(self, texts: list[str], sizes: list[int] | None = None) -> Iterator[tuple[int, int, int, int, int, list[str]]]:
+        """``text number, view, size, hash, place, slots`` of each window kept; all texts in one array."""
+        if len(self._lexicon) > _MAX_LEXICON or self._lexicon.chars > _WORK_CHARS:
+            self._lexicon = _Lexicon()
+        lexicon = self._lexicon
+        codes, lengths = lexicon.codes(texts)
+        number = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+        hashes, marks = lexicon.properties(codes)
+        fresh = np.ones(len(codes), bool)
+        fresh[1:] = (marks[:-1] & _BREAK > 0) | (number[1:] != number[:-1])
+        words = marks & _BREAK == 0
+        codes, number, hashes, marks, fresh = (x[words] for x in (codes, number, hashes, marks, fresh))
+        n = len(codes)
+        if not n:
             return
+        if n > len(self._up):
+            self._up, self._down = _powers(_MULTIPLIER, n), _powers(pow(_MULTIPLIER, -1, 1 << 64), n)
+        firsts = np.searchsorted(number, np.arange(len(texts) + 1))
+        ends = firsts[number + 1]
+
+        kinds = np.zeros(n, np.int8)
+        kinds[(marks & _CAPITAL > 0) & ~fresh] = 3
+        numbers = marks & _NUMBER > 0
+        after = np.zeros(n, bool)
+        after[1:] = numbers[:-1] & (number[1:] == number[:-1])
+        units = (marks & _UNIT > 0) & after
+        kinds[units] = 2
+        kinds[numbers] = 1
+        opening = (marks & (_CAPITAL | _OPENER) == _CAPITAL) & fresh & ~units
         # Plain, template, and template with the names that open sentences, if there are any.
-        hashes = np.empty((3 if opening else 2, n), np.uint64)
-        hashes[:] = np.fromiter(map(_hash, words), np.uint64, n)
-        replaced = np.zeros((len(hashes), n + 1), np.int64)
-        for place, kind in kinds.items():
-            hashes[1:, place] = _hash(_PLACEHOLDERS[kind])
-            replaced[1:, place + 1] = 1
-        if opening:
-            hashes[2, opening] = _hash(_PLACEHOLDERS["n"])
-            replaced[2, np.array(opening) + 1] = 1
-        replaced = np.cumsum(replaced, axis=1)
-        wide = kinds | dict.fromkeys(opening, "n")
-        for size in sizes or self._sizes:
-            if n < size:
-                continue
-            n_replaced = replaced[:, size:] - replaced[:, :-size]
-            rolled = _rolled(hashes, size)
-            keep = self._hit(rolled)
-            # A template without slots says no more than the plain view, the second form without openings than the first.
-            keep[1:] &= (n_replaced[1:] > 0) & (size - n_replaced[1:] >= min(MIN_LITERALS, size - 1))
-            keep[2:] &= n_replaced[2:] > n_replaced[1]
-            for form, place in np.argwhere(keep).tolist():
-                slots = []
+        forms = [np.zeros(n, np.int8), kinds]
+        if opening.any():
+            forms.append(np.where(opening, np.int8(3), kinds))
+        n_opening = _sums(opening)
+        start = np.arange(n)
+        for form, known in enumerate(forms):
+            sums = _sums(np.where(known > 0, self._placeholders[known], hashes) * self._down[:n])
+            replaced = _sums(known > 0)
+            literals = np.flatnonzero(known == 0)
+            for size in sizes or self._sizes:
+                end = start + size
+                if form and size >= WINDOW:
+                    last = start - replaced[:-1] + (MIN_LITERALS - 1)  # of the literals from here on
+                    whole = last < len(literals)
+                    end[whole] = np.maximum(end[whole], literals[last[whole]] + 1)
+                    end[~whole] = n + 1
+                keep = np.flatnonzero((end <= ends) & (end - start <= MAX_WINDOW))
+                to = end[keep]
                 if form:
-                    known = wide if form == 2 else kinds
-                    slots = [f"{known[i]}{i - place}:{words[i]}" for i in range(place, place + size) if i in known]
-                yield min(form, 1), size, int(rolled[form, place].view(np.int64)), place, slots
+                    # A template without slots says no more than the plain view, the second form without openings than the first.
+                    n_replaced = replaced[to] - replaced[keep]
+                    good = (n_replaced > 0) & (to - keep - n_replaced >= min(MIN_LITERALS, size - 1))
+                    if form == 2:
+                        good &= n_opening[to] > n_opening[keep]
+                    keep, to = keep[good], to[good]
+                rolled = self._rolled(sums, keep, to)
+                hit = self._hit(rolled)
+                keep, to, rolled = keep[hit], to[hit], rolled[hit].view(np.int64)
+                texts_of, places = number[keep], keep - firsts[number[keep]]
+                for text, a, b, value, place in zip(*(x.tolist() for x in (texts_of, keep, to, rolled, places))):
+                    slots = []
+                    if form:
+                        at = np.flatnonzero(known[a:b]).tolist()
+                        slots = [f"{_KINDS[known[a + i]]}{i}:{lexicon.lows[codes[a + i]]}" for i in at]
+                    yield text, min(form, 1), b - a, value, place, slots
 
 
 def _document_windows(sizes: list[int], bitmap: np.ndarray):
@@ -175,7 +283,7 @@ def _document_windows(sizes: list[int], bitmap: np.ndarray):
             texts = as_texts(batch.column(2))
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts)
             for run in groups_of(rows, map(len, texts), _WORK_CHARS):
-                found = [(i, key, *window) for i, key, text in run for window in make.of(text)]
+                found = [(*run[at][:2], *window) for at, *window in make.of([text for _, _, text in run])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(c), f.type) for c, f in zip(zip(*found) if found else [[]] * 7, _ARROW)], schema=_ARROW
                 )
@@ -248,7 +356,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             n = len(tokens_of(text)[0])
             if n >= MIN_ITEM:
                 size = min(WINDOW, n)
-                rows.extend((i, str(n - size + 1), *window) for window in make.of(text, [size]))
+                rows.extend((i, str(n - size + 1), *window) for _, *window in make.of([text], [size]))
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, _ARROW)], schema=_ARROW
         )
@@ -283,10 +391,42 @@ def _row_key() -> Column:
     return F.concat(key_column(F.col("doc_id")), F.lit("|"), digest)
 
 
+def started_pairs(windows: DataFrame, item_side: DataFrame) -> DataFrame:
+    """``key, item_id, item_windows`` of all pairs that can be reported, by the rarest window places of each item.
+
+    A reported pair has ``MIN_TOKENS`` tokens in a row in its plain view, or ``MIN_SHARE`` of the places or ``MIN_RUN``
+    of them in any view. How often a window is found only ranks the places; any ranking gives the same findings.
+    """
+    window, item = ["view", "size", "hash"], ["item_id", "item_windows"]
+    often = windows.groupBy(*window).agg(F.count("*").alias("n_found"))
+    own = item_side.select(*item, "item_place", *window).join(often, window)
+    # Places that no document has rank first: they count towards the n - t + 1, though they start nothing.
+    n_found = F.coalesce(F.sum("n_found"), F.lit(0))
+    starts = []
+    least_plain = F.lit(MIN_TOKENS - WINDOW + 1)
+    least_any = F.least(F.ceil(F.col("item_windows") * MIN_SHARE), F.lit(MIN_RUN))
+    for least, seen in ((least_plain, own.filter("view = 0")), (least_any, own)):
+        places = seen.groupBy(*item, "item_place").agg(n_found.alias("n_found"))
+        n_places = Window.partitionBy(*item)
+        by_rank = n_places.orderBy("n_found", "item_place")
+        unseen = F.col("item_windows") - F.count("*").over(n_places)
+        rank = unseen + F.row_number().over(by_rank)
+        starts.append(
+            places.withColumn("rank", rank)
+            .filter(F.col("rank") <= F.col("item_windows") - least + 1)
+            .select(*item, "item_place")
+            .join(seen.select(*item, "item_place", *window), [*item, "item_place"])
+            .select(*item, *window)
+        )
+    start = starts[0].union(starts[1]).distinct()
+    return windows.select("key", *window).join(start, window).select("key", *item).distinct()
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, n_windows, share, longest_run, n_slots, changed_slots``, one row per document and item.
 
-    ``changed_slots`` counts the slots that the document fills in another way.
+    ``changed_slots`` counts the slots that the document fills in another way, summed over runs: an item
+    that repeats its own template meets a copy at several distances.
     Rows of one id and one text are one document.
     """
     return _found(docs, benchmark).drop("key")
@@ -297,10 +437,11 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         benchmark.select(F.col("item_id").cast("long"), "text").distinct().mapInArrow(_item_windows, _WINDOWS),
         "benchmark-windows",
     )
-    sizes = sorted(row["size"] for row in items.select("size").distinct().collect())  # MIN_ITEM to WINDOW
+    size = F.least("size", F.lit(WINDOW)).alias("size")
+    sizes = sorted(row["size"] for row in items.select(size).distinct().collect())  # MIN_ITEM to WINDOW
     bitmap = benchmark_bitmap(items)
     narrow = docs.select(F.col("doc_id").cast("long"), _row_key().alias("key"), "text")
-    windows = write_table(narrow.mapInArrow(_document_windows(sizes, bitmap), _WINDOWS), "document-windows").distinct()
+    windows = write_table(narrow.mapInArrow(_document_windows(sizes, bitmap), _WINDOWS), "document-windows")
     item_side = items.select(
         F.col("id").alias("item_id"),
         F.col("key").cast("int").alias("item_windows"),
@@ -310,7 +451,12 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("place").alias("item_place"),
         F.col("slots").alias("item_slots"),
     )
-    met = windows.join(item_side, ["view", "size", "hash"]).filter(F.size("slots") == F.size("item_slots"))
+    pairs = started_pairs(windows, item_side)
+    met = (
+        pairs.join(item_side, ["item_id", "item_windows"])
+        .join(windows.distinct(), ["key", "view", "size", "hash"])
+        .filter(F.size("slots") == F.size("item_slots"))
+    )
     run = ["key", "id", "item_id", "item_windows", "distance"]
     runs = (
         met.withColumn("distance", F.col("place") - F.col("item_place"))

@@ -207,6 +207,87 @@ def test_short_items_are_one_window(spark):
     assert set(got) == {(0, 0)}
 
 
+MANY_SLOTS = (
+    "At the fair Tom paid 3 euros, Anna paid 5 euros, Ben paid 7 euros, Eva paid 4 euros, "
+    "Max paid 6 euros, Lea paid 9 euros. How much did all pay?"
+)
+
+
+def test_questions_full_of_slots_are_caught(spark):
+    """Windows with few words as they stand are widened until they have four."""
+    again = MANY_SLOTS
+    names = {"Tom": "Jim", "Anna": "Rosa", "Ben": "Karl", "Eva": "Ida", "Max": "Otto", "Lea": "Nora"}
+    for a, b in {**names, " 3 ": " 13 ", " 5 ": " 15 ", " 7 ": " 17 ", " 4 ": " 14 ", " 6 ": " 16 ", " 9 ": " 19 "}.items():
+        again = again.replace(a, b)
+    filler = " ".join(f"filler{i}" for i in range(30))
+    table = " ".join(str(i) for i in range(60))
+    other_table = " ".join(str(i) for i in range(100, 160))
+    got = found(spark, [MANY_SLOTS, f"{filler}. {again} {filler}", filler, table, other_table], [MANY_SLOTS, table])
+    assert set(got) == {(0, 0), (1, 0), (3, 1)}
+    assert got[0, 0].share == 1 and got[1, 0].share >= 0.5 and got[1, 0].changed_slots >= 12
+
+
+def plain_windows(text, sizes):
+    """Windows of a text, one token after another."""
+    words, kinds, opening = decontaminate.tokens_of(text)
+    n, made = len(words), set()
+    for form, known in enumerate([{}, kinds, kinds | dict.fromkeys(opening, "n")]):
+        marks = [f"<{ {'#': 'number', 'u': 'unit', 'n': 'name'}[known[i]]}>" if i in known else words[i] for i in range(n)]
+        for start in range(n):
+            for size in sizes:
+                end = start + size
+                while form and size == decontaminate.WINDOW and end <= n and sum(j not in known for j in range(start, end)) < 4:
+                    end += 1
+                if end > n or end - start > 32:
+                    continue
+                slots = tuple(f"{known[j]}{j - start}:{words[j]}" for j in range(start, end) if j in known)
+                if form and (not slots or end - start - len(slots) < min(4, size - 1)):
+                    continue
+                if form == 2 and not any(start <= j < end for j in opening):
+                    continue
+                made.add((min(form, 1), start, tuple(marks[start:end]), slots))
+    return made
+
+
+def test_windows_equal_plain_python(spark, sf_dir):
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
+    texts += ["", " ", ". ! ?", "x  y\n\nA.b\tC", ITEM, MANY_SLOTS, "Tom paid 3 euros. Anna paid 5 euros, Ben\nMay", "a_b 3 m 4. m"]
+    made = decontaminate._Windows([6, 8], None)
+    got, by_hash = {}, {}
+    for number, view, size, value, place, slots in made.of(texts):
+        got.setdefault(number, set()).add((view, place, size, tuple(slots)))
+        by_hash.setdefault((number, view, place, size, tuple(slots)), value)
+    same = {}
+    for number, text in enumerate(texts):
+        want = plain_windows(text, [6, 8])
+        assert got.get(number, set()) == {(v, p, len(m), s) for v, p, m, s in want}
+        for view, place, marks, slots in want:
+            same.setdefault(marks, set()).add(by_hash[number, view, place, len(marks), slots])
+    # One hash for one row of marks, and another for another.
+    assert all(len(values) == 1 for values in same.values())
+    assert len({next(iter(values)) for values in same.values()}) == len(same)
+
+
+def test_shared_openings_start_no_pair(spark, monkeypatch):
+    """An opening of many items meets every document that has it, but starts no pair with any."""
+    opening = "for each of the questions below choose the one right answer here"
+    tails = [" ".join(f"item{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(20)) for i in range(40)]
+    others = [" ".join(f"page{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(20)) for i in range(100)]
+    texts = [f"{opening} {t}" for t in [*others, tails[7], tails[9]]]
+    n_pairs = []
+    plain = decontaminate.started_pairs
+
+    def counted(windows, item_side):
+        pairs = plain(windows, item_side)
+        n_pairs.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(decontaminate, "started_pairs", counted)
+    got = found(spark, texts, [f"{opening} {t}" for t in tails])
+    assert set(got) == {(100, 7), (101, 9)}
+    assert n_pairs == [2]
+
+
 def test_bitmap_drops_no_match(spark, sf_dir):
     """Every planted passage: documents that hold all words of an item in a row."""
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
