@@ -381,7 +381,7 @@ def benchmark_bitmap(items: DataFrame) -> np.ndarray:
     n_blocks = 1 << (BITMAP_BITS - 16)
     found = items.select("hash").repartition(F.col("hash").bitwiseAND((1 << BITMAP_BITS) - 1).bitwiseAND(0xFF0000))
     bitmap = np.zeros((n_blocks, 1 << 13), np.uint8)
-    for row in found.mapInArrow(_as_bitmap, "block int, bits binary").toLocalIterator():
+    for row in found.mapInArrow(_as_bitmap, "block int, bits binary").collect():  # one line per block at most
         bitmap[row["block"]] |= np.frombuffer(row["bits"], np.uint8)
     return bitmap.reshape(-1)
 
@@ -399,26 +399,28 @@ def started_pairs(windows: DataFrame, item_side: DataFrame) -> DataFrame:
     """
     window, item = ["view", "size", "hash"], ["item_id", "item_windows"]
     often = windows.groupBy(*window).agg(F.count("*").alias("n_found"))
-    own = item_side.select(*item, "item_place", *window).join(often, window)
-    # Places that no document has rank first: they count towards the n - t + 1, though they start nothing.
-    n_found = F.coalesce(F.sum("n_found"), F.lit(0))
-    starts = []
-    least_plain = F.lit(MIN_TOKENS - WINDOW + 1)
-    least_any = F.least(F.ceil(F.col("item_windows") * MIN_SHARE), F.lit(MIN_RUN))
-    for least, seen in ((least_plain, own.filter("view = 0")), (least_any, own)):
-        places = seen.groupBy(*item, "item_place").agg(n_found.alias("n_found"))
-        n_places = Window.partitionBy(*item)
-        by_rank = n_places.orderBy("n_found", "item_place")
-        unseen = F.col("item_windows") - F.count("*").over(n_places)
-        rank = unseen + F.row_number().over(by_rank)
-        starts.append(
-            places.withColumn("rank", rank)
-            .filter(F.col("rank") <= F.col("item_windows") - least + 1)
-            .select(*item, "item_place")
-            .join(seen.select(*item, "item_place", *window), [*item, "item_place"])
-            .select(*item, *window)
-        )
-    start = starts[0].union(starts[1]).distinct()
+    own = write_table(item_side.select(*item, "item_place", *window).join(often, window), "benchmark-found")
+    plain = F.when(F.col("view") == 0, F.col("n_found"))
+    places = own.repartition(*item).groupBy(*item, "item_place").agg(F.sum("n_found").alias("any"), F.sum(plain).alias("plain"))
+    least = {
+        "plain": F.lit(MIN_TOKENS - WINDOW + 1),
+        "any": F.least(F.ceil(F.col("item_windows") * MIN_SHARE), F.lit(MIN_RUN)),
+    }
+    of_item = Window.partitionBy(*item)
+
+    def starts(view: str) -> Column:
+        # Places that no document has rank first: they count towards the n - t + 1, though they start nothing.
+        unseen = F.col("item_windows") - F.count(view).over(of_item)
+        rank = unseen + F.row_number().over(of_item.orderBy(F.col(view).asc_nulls_last(), "item_place"))
+        return F.col(view).isNotNull() & (rank <= F.col("item_windows") - least[view] + 1)
+
+    chosen = places.select(*item, "item_place", starts("plain").alias("by_plain"), starts("any").alias("by_any"))
+    start = (
+        own.join(chosen.filter("by_plain or by_any"), [*item, "item_place"])
+        .filter("by_any or view = 0")
+        .select(*item, *window)
+        .distinct()
+    )
     return windows.select("key", *window).join(start, window).select("key", *item).distinct()
 
 
