@@ -48,7 +48,7 @@ GROUP_WINDOWS = 2048
 MINIBATCH = 32
 ROUNDS = 3
 RATE = 0.01
-CHUNK_CHARS = 16 << 20
+CHUNK_CHARS = 4 << 20
 _WORK_BLOCKS = 1024
 _LOG10 = 1 / np.log(10)
 
