@@ -24,6 +24,7 @@ only id and text are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -91,10 +92,8 @@ class _Chunk:
 
     def _ids(self, subwords: Encoder) -> list[bytes]:
         """Subword ids of each document; a word of the chunk is encoded once."""
-        codes = subwords.encode([" " + word.decode() for word in self._vocabulary])
-        lengths = np.fromiter(map(len, codes), np.int64, len(codes)) // subwords.dtype.itemsize
+        flat, lengths = subwords.encode_words([word.decode() for word in self._vocabulary])
         starts = np.cumsum(lengths) - lengths
-        flat = np.frombuffer(b"".join(codes), subwords.dtype)
         found = []
         for numbers in self._numbers:
             n = lengths[numbers]
@@ -260,6 +259,8 @@ _DISTANCE = (BLOCK + np.arange(BLOCK))[:, None] - np.arange(2 * BLOCK)[None, :]
 _LATER = _DISTANCE < 0
 _BLOCKED = -1e4
 _TOP = 60.0  # weights stay far below; exp of it still fits 32 bits
+_BIAS = np.where(_LATER, 2 * BLOCK, _DISTANCE)  # place in the biases, with that of later keys behind them
+_CELLS = np.arange((SLOTS + CLASSES + 2) * WIDTH).reshape(-1, WIDTH)  # places of the weights of a slot
 
 
 def first_weights(subwords: Subwords) -> dict[str, np.ndarray]:
@@ -285,62 +286,137 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return weights
 
 
+def _in_range(sums: np.ndarray) -> bool:
+    """Whether sums of exponents are far from what 32 bits cannot hold."""
+    return math.exp(-_TOP) < sums.min() and sums.max() < math.exp(_TOP)
+
+
+class _Pass:
+    """Forward and backward pass over ``n`` windows, in arrays that are kept from one minibatch to the next.
+
+    Queries meet embeddings through one matrix (``q k'``), values leave through another (``v o``): a product less for each,
+    and the gradients of the four come from those two. Attention is divided by its sum only after it has met the embeddings.
+    """
+
+    def __init__(self, n: int, kind: np.dtype) -> None:
+        rows = n * BLOCK
+        self.n, self._kind = n, np.dtype(kind).type
+        self._x, self._dx, self._dk = (np.empty((n, 2 * BLOCK, WIDTH), kind) for _ in range(3))
+        self._s, self._ds = (np.empty((n, BLOCK, 2 * BLOCK), kind) for _ in range(2))
+        self._xq, self._q, self._mixed, self._h, self._dh, self._dmixed, self._dq = (np.empty((rows, WIDTH), kind) for _ in range(7))
+        self._z = np.empty((rows, CLASSES), kind)
+        self._cells = np.empty((n, 2 * BLOCK, WIDTH), np.int64)
+        self._ones = np.ones(max(rows, CLASSES), kind)
+        self._row = np.arange(rows) * CLASSES
+        self._bias = np.full(2 * BLOCK + 1, _BLOCKED, kind)
+        self._distances = (_BIAS.reshape(-1, 1) == np.arange(2 * BLOCK)).astype(kind)
+
+    @np.errstate(over="ignore")
+    def run(self, w: dict[str, np.ndarray], windows: np.ndarray, classes: np.ndarray, pad: int):
+        """Gradient of the mean negative log class probability over targets that are not -1; sums of exponents, logits of the targets."""
+        n, rows, ones = self.n, self.n * BLOCK, self._ones
+        by_window = (n, BLOCK, WIDTH)
+        scale = self._kind(1 / np.sqrt(WIDTH))
+        qk, vo = w["q"] @ w["k"].T * scale, w["v"] @ w["o"]
+        x = w["e"].take(windows, axis=0, out=self._x, mode="clip")
+        x_turned = x.transpose(0, 2, 1)
+        xq = self._xq
+        xq.reshape(by_window)[...] = x[:, BLOCK:]
+        q = np.matmul(xq, qk, out=self._q)
+        self._bias[: 2 * BLOCK] = w["r"]
+        bias = self._bias.take(_BIAS)
+        # Rows are shifted by their maxima only where sums of exponents leave a safe range without that.
+        for shifted in (False, True):
+            s = np.matmul(q.reshape(by_window), x_turned, out=self._s)
+            s += bias
+            # Padding stands in the block before a text, or behind the end of one, where no target sees it.
+            for first in np.flatnonzero(windows[:, 0] == pad):
+                s[first, :, :BLOCK] = _BLOCKED
+            if shifted:
+                s -= s.max(axis=2, keepdims=True)
+            np.exp(s, out=s)
+            total = s.reshape(rows, -1) @ ones[: 2 * BLOCK]
+            if _in_range(total):
+                break
+        share = 1 / total[:, None]
+        mixed = self._mixed
+        np.matmul(s, x, out=mixed.reshape(by_window))
+        mixed *= share
+        h = np.matmul(mixed, vo, out=self._h)
+        h += xq
+        classes = classes.reshape(-1)
+        valid = classes >= 0
+        weight = valid * self._kind(1 / max(1, np.count_nonzero(valid)))
+        at = self._row + np.maximum(classes, 0)
+        for shifted in (False, True):
+            z = np.matmul(h, w["u"], out=self._z)
+            z += w["b"]
+            if shifted:
+                z -= z.max(axis=1, keepdims=True)
+            z_at = z.reshape(-1)[at]
+            np.exp(z, out=z)
+            total = z @ ones[:CLASSES]
+            if _in_range(total):
+                break
+        z *= (weight / total)[:, None]
+        z.reshape(-1)[at] -= weight
+
+        g = {"u": (z.T @ h).T, "b": ones[:rows] @ z}
+        dh = np.matmul(z, w["u"].T, out=self._dh)
+        dvo = mixed.T @ dh
+        g["v"], g["o"] = dvo @ w["o"].T, w["v"].T @ dvo
+        dmixed = np.matmul(dh, vo.T, out=self._dmixed)
+        dmixed *= share
+        ds = np.matmul(dmixed.reshape(by_window), x_turned, out=self._ds)
+        mixed *= dmixed
+        ds -= (mixed @ ones[:WIDTH]).reshape(n, BLOCK, 1)
+        ds *= s
+        g["r"] = ones[:n] @ ds.reshape(n, -1) @ self._distances
+        dq = self._dq
+        np.matmul(ds, x, out=dq.reshape(by_window))
+        dqk = xq.T @ dq * scale
+        g["q"], g["k"] = dqk @ w["k"], dqk.T @ w["q"]
+        dx = np.matmul(s.transpose(0, 2, 1), dmixed.reshape(by_window), out=self._dx)
+        dx += np.matmul(ds.transpose(0, 2, 1), q.reshape(by_window), out=self._dk)
+        dh += np.matmul(dq, qk.T, out=h)
+        dx[:, BLOCK:] += dh.reshape(by_window)
+        cells = _CELLS.take(windows, axis=0, out=self._cells, mode="clip")
+        g["e"] = np.bincount(cells.reshape(-1), dx.reshape(-1), w["e"].size).reshape(w["e"].shape)
+        return g, total, z_at
+
+
 def loss_and_gradient(w: dict[str, np.ndarray], windows: np.ndarray, classes: np.ndarray, pad: int):
     """Mean negative log class probability over targets that are not -1, and its gradient."""
-    scale = 1 / np.sqrt(WIDTH)
-    x = w["e"][windows]
-    xq = x[:, BLOCK:]
-    q, k, v = xq @ w["q"], x @ w["k"], x @ w["v"]
-    s = q @ k.transpose(0, 2, 1) * scale + np.where(_LATER, _BLOCKED, w["r"][np.maximum(_DISTANCE, 0)])
-    s = np.where((windows == pad)[:, None, :], _BLOCKED, s)
-    a = np.exp(s - s.max(axis=2, keepdims=True))
-    a /= a.sum(axis=2, keepdims=True)
-    mixed = a @ v
-    h = xq + mixed @ w["o"]
-    z = h @ w["u"] + w["b"]
-    p = np.exp(z - z.max(axis=2, keepdims=True))
-    p /= p.sum(axis=2, keepdims=True)
-    valid = classes >= 0
-    n = max(1, int(valid.sum()))
-    at = np.where(valid, classes, 0)[..., None]
-    loss = -float(np.log(np.take_along_axis(p, at, 2)[..., 0][valid]).sum()) / n
-    dz = p.copy()
-    np.put_along_axis(dz, at, np.take_along_axis(dz, at, 2) - 1, 2)
-    dz *= valid[..., None] / n
-
-    def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return a.reshape(-1, a.shape[2]).T @ b.reshape(-1, b.shape[2])
-
-    g = {"u": product(h, dz), "b": dz.sum(axis=(0, 1))}
-    dh = dz @ w["u"].T
-    g["o"] = product(mixed, dh)
-    dmixed = dh @ w["o"].T
-    da = dmixed @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dmixed
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    total = ds.sum(axis=0)
-    g["r"] = np.bincount(_DISTANCE[~_LATER], total[~_LATER], 2 * BLOCK)
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
-    g["q"] = product(xq, dq)
-    g["k"] = product(x, dk)
-    g["v"] = product(x, dv)
-    dx = dk @ w["k"].T + dv @ w["v"].T
-    dx[:, BLOCK:] += dh + dq @ w["q"].T
-    at = (windows.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).reshape(-1)
-    g["e"] = np.bincount(at, dx.reshape(-1), w["e"].size).reshape(w["e"].shape)
-    return loss, g
+    g, total, z_at = _Pass(len(windows), w["e"].dtype).run(w, windows, classes, pad)
+    valid = classes.reshape(-1) >= 0
+    return float((np.log(total) - z_at)[valid].sum()) / max(1, int(valid.sum())), g
 
 
 def train_group(flat: np.ndarray, windows: np.ndarray, classes: np.ndarray, pad: int) -> np.ndarray:
-    """Weights after one pass over the windows in minibatches, by Adam."""
+    """Weights after one pass over the windows in minibatches, by Adam, as exact as ``flat``."""
     flat = flat.copy()
-    m, v = np.zeros_like(flat), np.zeros_like(flat)
+    m, v, g, step_by = (np.zeros_like(flat) for _ in range(4))
+    w, parts = unpack(flat), unpack(g)
+    windows, classes = windows.astype(np.int64), classes.astype(np.int64)
+    work = None
     for step, start in enumerate(range(0, len(windows), MINIBATCH), 1):
         part = slice(start, start + MINIBATCH)
-        _, gradient = loss_and_gradient(unpack(flat), windows[part], classes[part], pad)
-        g = pack(gradient)
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        flat -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        if work is None or work.n != len(windows[part]):
+            work = _Pass(len(windows[part]), flat.dtype)
+        for name, gradient in work.run(w, windows[part], classes[part], pad)[0].items():
+            parts[name][...] = gradient
+        # The means without their factors 0.1 and 0.01, which ``root`` and the rate bring in.
+        m *= 0.9
+        m += g
+        g *= g
+        v *= 0.99
+        v += g
+        root = math.sqrt(0.01 / (1 - 0.99**step))
+        np.sqrt(v, out=step_by)
+        step_by += 1e-8 / root
+        np.divide(m, step_by, out=step_by)
+        step_by *= RATE * 0.1 / (1 - 0.9**step) / root
+        flat -= step_by
     return flat
 
 
@@ -354,21 +430,32 @@ def segments_of(ids: np.ndarray) -> Iterator[tuple[int, bool, bool, np.ndarray]]
 
 def segment_windows(ids: np.ndarray, first: bool, last: bool, subwords: Subwords) -> tuple[np.ndarray, np.ndarray]:
     """Inputs and target classes of all windows of a segment."""
-    inputs, targets = subwords.slot[ids], subwords.klass[ids]
-    if first:
-        inputs = np.concatenate([np.full(BLOCK, subwords.pad, np.int32), [subwords.start], inputs])
-        targets = np.concatenate([np.full(BLOCK, -1, np.int32), targets])
-    else:
-        targets = targets[1:]
-    if last:
-        targets = np.append(targets, subwords.klass[-1])
-    size = -(-len(targets) // BLOCK) * BLOCK
-    x = np.full(size, subwords.pad, np.int32)
-    x[: len(targets)] = inputs[: len(targets)]
-    y = np.full(size, -1, np.int32)
-    y[: len(targets)] = targets
+    return windows_of([ids], np.array([first]), np.array([last]), subwords)
+
+
+def windows_of(segments: list[np.ndarray], first: np.ndarray, last: np.ndarray, subwords: Subwords) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and target classes of all windows of many segments, one segment after another."""
+    ids = np.concatenate(segments)
+    n = np.fromiter(map(len, segments), np.int64, len(segments))
+    # A first segment has a block of padding and the start before its ids; of a later one the first id is no target.
+    before = np.where(first, BLOCK + 1, 0)
+    blocks = -(-(n + before - 1 + last) // BLOCK)
+    ends = np.cumsum(blocks * BLOCK)
+    starts = ends - blocks * BLOCK
+    x = np.full(ends[-1], subwords.pad, np.int32)
+    y = np.full(ends[-1], -1, np.int32)
+    x[starts[first] + BLOCK] = subwords.start
+    place = np.repeat(starts + before - (np.cumsum(n) - n), n) + np.arange(len(ids))
+    seen = place < np.repeat(ends, n)  # the last id of a segment that another follows is a target alone
+    x[place[seen]] = subwords.slot[ids[seen]]
+    wanted = place > np.repeat(starts, n)
+    y[place[wanted] - 1] = subwords.klass[ids[wanted]]
+    y[(starts + before - 1 + n)[last]] = subwords.klass[-1]
     x, y = x.reshape(-1, BLOCK), y.reshape(-1, BLOCK)
-    return np.concatenate([x[:-1], x[1:]], axis=1), y[1:]
+    own = np.ones(len(x), bool)
+    own[starts // BLOCK] = False
+    own = np.flatnonzero(own)
+    return np.concatenate([x[own - 1], x[own]], axis=1), y[own]
 
 
 def _segments(dtype: str):
@@ -389,13 +476,10 @@ def _segments(dtype: str):
 def _train_task(flat: np.ndarray, subwords: Subwords, dtype: str):
     def step(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["key", "number", "ids"])
-        made = [
-            segment_windows(np.frombuffer(ids, dtype), first, last, subwords)
-            for ids, first, last in zip(frame["ids"], frame["first"], frame["last"])
-        ]
-        x, y = (np.concatenate(parts) for parts in zip(*made))
+        segments = [np.frombuffer(ids, dtype) for ids in frame["ids"]]
+        x, y = windows_of(segments, frame["first"].to_numpy(bool), frame["last"].to_numpy(bool), subwords)
         order = np.random.default_rng(len(x)).permutation(len(x))
-        new = train_group(flat, x[order], y[order], subwords.pad)
+        new = train_group(flat.astype(np.float32), x[order], y[order], subwords.pad).astype(np.float64)
         return pd.DataFrame({"weights": [(new * len(x)).tobytes()], "n": [len(x)]})
 
     return step

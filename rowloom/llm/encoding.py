@@ -25,9 +25,11 @@ _PIECES = re.compile(
     f" ?[{_LETTERS}0-9]+(?=[.,;:!?{_SPACE}]|$)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 _ONE_WORD = re.compile(f" ?[{_LETTERS}]+").fullmatch
+_OTHER_SPACE = re.compile(f"[{_SPACE.replace(' ', '')}]").search
 
 MEMO_PIECES = 1 << 18
 _MEMO_MAX_LEN = 64
+_JOINED_WORDS = 1 << 10
 
 
 def _byte_letters() -> dict[int, str]:
@@ -63,6 +65,8 @@ class Encoder:
         self.vocab_size = self._tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocab_size <= 1 << 16 else np.dtype("<u4")
         self._code = "H" if self.dtype.itemsize == 2 else "I"
+        self._opens = np.zeros(self.vocab_size, bool)
+        self._opens[[i for token, i in self._tokenizer.get_vocab().items() if token[:1] == _BYTE_LETTERS[32] and i < self.vocab_size]] = True
         self._model = self._tokenizer.model
         self._memo: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
@@ -108,6 +112,28 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         return [self._one(text) for text in texts]
 
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that have no space, each behind one, in a row, and how many each has: those of ``encode``.
+
+        A byte-level pre-tokenizer parts words at the space that begins each, so many are encoded as one text, and an
+        id that begins with a space begins a word.
+        """
+        ids, lengths = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for start in range(0, len(words), _JOINED_WORDS):
+            some = [" " + word for word in words[start : start + _JOINED_WORDS]]
+            text = "".join(some)
+            if self._by_piece and not _OTHER_SPACE(text) and not (self._added and self._added.search(text)):
+                found = np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+                first = np.flatnonzero(self._opens[found])
+                if len(first) == len(some):
+                    ids.append(found)
+                    lengths.append(np.diff(first, append=len(found)))
+                    continue
+            codes = self.encode(some)
+            ids.append(np.frombuffer(b"".join(codes), self.dtype))
+            lengths.append(np.fromiter(map(len, codes), np.int64, len(codes)) // self.dtype.itemsize)
+        return np.concatenate(ids), np.concatenate(lengths)
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:

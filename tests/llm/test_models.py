@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -456,3 +457,74 @@ def test_short_training_texts_move_the_weights(spark):
         docs = spark.createDataFrame([(1, ids.tobytes())], "doc_id long, ids binary")
         flat = attention_lm.train(docs, subwords, "<u2")
         assert np.abs(flat - attention_lm.pack(attention_lm.first_weights(subwords))).max() > 0.01
+
+
+def test_groups_are_trained_in_32_bits(spark, monkeypatch):
+    """The kept arrays and 32 bits change nothing but the last digits of the weights."""
+    subwords = small_subwords()
+    r = np.random.default_rng(4)
+    first = attention_lm.pack(attention_lm.first_weights(subwords))
+    texts = [r.integers(0, 40, n).astype("<u2") for n in (0, 5, 16, 700, 2000, 33)]
+    rows = [(i, *s[:3], s[3].tobytes()) for i, t in enumerate(texts) for s in attention_lm.segments_of(t)]
+    frame = pd.DataFrame(rows, columns=["key", "number", "first", "last", "ids"])
+    kinds, plain = [], attention_lm.train_group
+
+    def recorded(flat, windows, classes, pad):
+        kinds.append(flat.dtype)
+        m, v, want = np.zeros_like(first), np.zeros_like(first), first.copy()
+        for step, start in enumerate(range(0, len(windows), attention_lm.MINIBATCH), 1):
+            part = slice(start, start + attention_lm.MINIBATCH)
+            g = attention_lm.pack(attention_lm.loss_and_gradient(attention_lm.unpack(want), windows[part], classes[part], pad)[1])
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            want -= attention_lm.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        got = plain(flat, windows, classes, pad)
+        assert got.dtype == np.float32 and np.abs(got - want).max() < 1e-3 < np.abs(got - first).max()
+        return got
+
+    monkeypatch.setattr(attention_lm, "train_group", recorded)
+    attention_lm._train_task(first, subwords, "<u2")(frame)
+    assert kinds == [np.float32]
+
+
+def test_gradient_of_large_weights():
+    """Exponents beyond 32 bits: rows are shifted, and the result is that of 64 bits."""
+    subwords = small_subwords()
+    r = np.random.default_rng(5)
+    x = r.integers(0, attention_lm.SLOTS, (4, 2 * attention_lm.BLOCK))
+    x[1, : attention_lm.BLOCK] = subwords.pad
+    y = r.integers(0, attention_lm.CLASSES, (4, attention_lm.BLOCK))
+    for factor, bias in ((1, 200), (1, -200), (4, 0)):
+        flat = attention_lm.pack(attention_lm.first_weights(subwords)) * factor
+        flat[-attention_lm.CLASSES :] += bias
+        got, want = (attention_lm.loss_and_gradient(attention_lm.unpack(flat.astype(kind)), x, y, subwords.pad) for kind in ("f4", "f8"))
+        assert got[0] == pytest.approx(want[0], rel=1e-3)
+        for name, gradient in want[1].items():
+            assert np.abs(got[1][name] - gradient).max() <= 1e-3 * max(1, np.abs(gradient).max())
+
+
+def test_windows_of_many_segments(monkeypatch):
+    """All segments of a group at once: the windows of each, one after another."""
+    subwords = small_subwords()
+    r = np.random.default_rng(6)
+    monkeypatch.setattr(attention_lm, "SEGMENT", 2)
+    texts = [r.integers(0, 40, n).astype("<u2") for n in (0, 0, 1, 15, 16, 31, 32, 33, 63, 64, 200, 0)]
+    segments = [s for t in texts for s in attention_lm.segments_of(t)]
+    x, y = attention_lm.windows_of([s[3] for s in segments], *(np.array([s[k] for s in segments]) for k in (1, 2)), subwords)
+    wanted = [attention_lm.blocks_of(t, subwords) for t in texts]
+    assert (x == np.concatenate([np.concatenate([b[:-1], b[1:]], axis=1) for b, _ in wanted])).all()
+    assert (y == np.concatenate([np.where(t[1:] >= 0, subwords.klass[t[1:]], -1) for _, t in wanted])).all()
+
+
+def test_words_encoded_together(spark, sf_dir, texts):
+    """The ids of words encoded as one text are those of each behind a space."""
+    encoder = Encoder(tokenizer_path())
+    r = random.Random(7)
+    letters = [*"ab1'.,;$-é漢字\x00\x1c​", "'s", "Ġ"]
+    odd = ["".join(r.choices(letters, k=r.randint(1, 8))) for _ in range(3000)]
+    spaces = ["a\xa0b", "\x85", " c", "d　", "<|endoftext|>", "x<|endoftext|>y"]
+    known = sorted({w.decode() for _, t, _ in texts for w in (t or "").encode().lower().split()})
+    for words in ([], ["a"], odd, known, odd[:20] + spaces + odd[20:40]):
+        ids, lengths = encoder.encode_words(words)
+        want = encoder.encode([" " + w for w in words])
+        assert ids.tobytes() == b"".join(want)
+        assert lengths.tolist() == [len(code) // encoder.dtype.itemsize for code in want]
