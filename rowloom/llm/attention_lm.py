@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import as_texts, held_out, write_table
+from rowloom.llm.common import as_texts, held_out, shuffles_dropped, write_table
 from rowloom.llm.encoding import Encoder, encoder
 from rowloom.workdir import fresh_path
 
@@ -511,15 +511,16 @@ def train(training: DataFrame, subwords: Subwords, dtype: str) -> np.ndarray:
     for round_ in range(ROUNDS if n else 0):
         # By id, place and content: copies of a text under other ids go to other groups.
         key = F.xxhash64("doc_id", "number", "ids", F.lit(round_))
-        moved = (
-            segments.select(key.alias("key"), "number", "first", "last", "ids")
-            .groupBy(F.pmod("key", F.lit(n_groups)).alias("group"))
-            .applyInPandas(_train_task(flat, subwords, dtype), "weights binary, n long")
-            .mapInArrow(_sum_groups, "at int, total double, n long")
-            .groupBy("at")
-            .agg((F.sum("total") / F.sum("n")).alias("value"))
-            .toPandas()  # one line per weight
-        )
+        with shuffles_dropped(training.sparkSession):
+            moved = (
+                segments.select(key.alias("key"), "number", "first", "last", "ids")
+                .groupBy(F.pmod("key", F.lit(n_groups)).alias("group"))
+                .applyInPandas(_train_task(flat, subwords, dtype), "weights binary, n long")
+                .mapInArrow(_sum_groups, "at int, total double, n long")
+                .groupBy("at")
+                .agg((F.sum("total") / F.sum("n")).alias("value"))
+                .toPandas()  # one line per weight
+            )
         flat = np.zeros_like(flat)
         flat[moved["at"].to_numpy()] = np.round(moved["value"].to_numpy(), 9)
     return flat
@@ -613,7 +614,8 @@ def score_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
     corpus = spark.read.schema(_ENCODED_SQL).parquet(path)
     texts, words = corpus.filter("kind = 0"), corpus.filter("kind = 1")
 
-    counted = write_table(_counted_words(words), "lm-words")
+    with shuffles_dropped(spark):
+        counted = write_table(_counted_words(words), "lm-words")
     sums = counted.agg(
         F.sum("n_train").alias("n"), F.sum(F.when(F.col("first") & (F.col("n") > 0), 1).otherwise(0)).alias("types")
     ).first()

@@ -2,8 +2,11 @@
 
 import math
 import random
+import tempfile
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -528,3 +531,21 @@ def test_words_encoded_together(spark, sf_dir, texts):
         want = encoder.encode([" " + w for w in words])
         assert ids.tobytes() == b"".join(want)
         assert lengths.tolist() == [len(code) // encoder.dtype.itemsize for code in want]
+
+
+def test_rounds_leave_no_shuffle_files(spark):
+    """The segments that a round moved are gone when it ends; the setting of the session is as before."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    folder = Path(spark.conf.get("spark.local.dir", tempfile.gettempdir()))
+    files = lambda: set(folder.glob("blockmgr-*/*/shuffle_*.data"))
+    ids = np.random.default_rng(8).integers(0, 40, (200, 30)).astype("<u2")
+    docs = spark.createDataFrame([(i, t.tobytes()) for i, t in enumerate(ids)], "doc_id long, ids binary")
+    old = files()
+    attention_lm.train(docs, small_subwords(), "<u2")
+    made = [f for f in files() - old]
+    end = time.time() + 10
+    while any(f.exists() and f.stat().st_size > 10_000 for f in made) and time.time() < end:
+        time.sleep(0.2)
+    assert not [f for f in made if f.exists() and f.stat().st_size > 10_000]
+    assert spark.conf.get(name) == before
