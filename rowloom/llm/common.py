@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.workdir import fresh_path
+from rowloom.workdir import fresh_path, remove
 
 # What parts words: space and the controls 9 to 13, as ``bytes.split`` does.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -59,6 +59,24 @@ def write_table(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A ``write_table`` whose tables go when the block ends; what outlives them is written elsewhere by then."""
+    paths: list[str] = []
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(spark, name)
+        paths.append(path)
+        df.write.option("compression", "snappy").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield write
+    finally:
+        for path in paths:
+            remove(spark, path)
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of a query go when it ends, not at some later garbage collection of the driver.

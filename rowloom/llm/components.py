@@ -7,6 +7,8 @@ n nodes ends after a few log(n) rounds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +32,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter(F.col("u") != F.col("v")).distinct()
 
 
-def components(edges: DataFrame, u: str, v: str) -> DataFrame:
+def components(edges: DataFrame, u: str, v: str, write: Callable[[DataFrame, str], DataFrame] = write_table) -> DataFrame:
     """``node, root`` for every node of an edge; the root is the smallest node of its component."""
-    current = write_table(
+    current = write(
         edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u != v").distinct(), "edges"
     )
     state = None
     while True:
-        current = write_table(_star(_star(current, large=True), large=False), "stars")
+        current = write(_star(_star(current, large=True), large=False), "stars")
         # Stable when nothing moves: each node hangs on one root and no root hangs on another.
         total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         summary = current.agg(F.count(F.lit(1)), total, F.sum(F.col("v").cast("decimal(38,0)"))).first()
