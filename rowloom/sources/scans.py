@@ -20,6 +20,10 @@ from rowloom.workdir import settle
 MAX_NUMBERED_SHARDS = 48
 # The per-file offsets are broadcast up to this many files.
 MAX_BROADCAST_FILES = 100_000
+# A variable list is broadcast up to this length.
+MAX_BROADCAST_VARIABLES = 2_000_000
+# Of shards with other variables, so many are read again for the error.
+MAX_NAMED_SHARDS = 16
 
 
 def dir_suffix_scan(spark: SparkSession, path: str, suffix: str, schema: T.StructType) -> DataFrame:
@@ -154,23 +158,52 @@ def checked_concat(x: DataFrame, var: DataFrame) -> DataFrame:
     """The shards of ``x`` as one, after asserting equal ordered variable lists.
 
     ``var(shard, var_ord, var_name)`` holds each shard's list. Lists are equal
-    when every (position, name) occurs in every shard, which is a count per pair:
-    no list is ever collected.
+    when every (position, name) occurs in every shard. Each line is compared with
+    the list of one shard where it is read, and a bit a place tells which
+    were met: no list is ever collected, and what is exchanged is one line for
+    ``64`` places of a shard. Shards that are not equal by this, and lists with nulls or
+    several names at a place, are counted by pair.
     """
-    n_shards = var.agg(F.count_distinct("shard")).scalar()
-    differing = (
-        var.select("shard", "var_ord", "var_name")
-        .distinct()
-        .groupBy("var_ord", "var_name")
-        .count()
-        .filter(F.col("count") != n_shards)
-    )
+    lists = var.select("shard", "var_ord", "var_name")
+    any_line = lists.filter(F.col("shard").isNotNull()).head(1)
+    if not any_line:
+        doubtful = lists
+    else:
+        shard = any_line[0].shard
+        unlike = _shards_unlike(lists, shard)
+        if unlike is not None and not unlike:
+            return x
+        if unlike is None or None in unlike:
+            doubtful = lists
+        else:
+            doubtful = lists.filter(F.col("shard").isin(shard, *unlike[:MAX_NAMED_SHARDS]))
+    n_shards = doubtful.agg(F.count_distinct("shard")).first()[0]
+    differing = doubtful.distinct().groupBy("var_ord", "var_name").count().filter(F.col("count") != n_shards)
     first = differing.head(1)
     if first:
         raise ValueError(f"shards have different variables, e.g. {first[0].var_name} at {first[0].var_ord}")
     return x
 
 
+def _shards_unlike(lists: DataFrame, shard) -> list | None:
+    """The shards whose list is not that of ``shard``; None where that list has nulls or several names at a place."""
+    own = lists.filter(F.col("shard") == shard).select("var_ord", F.col("var_name").alias("_own")).distinct()
+    own = settle(own, "variable-list")
+    seen = own.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("var_ord").alias("places"), F.count("_own").alias("names")
+    ).first()
+    if not seen.n == seen.places == seen.names:
+        return None
+    if seen.n <= MAX_BROADCAST_VARIABLES:
+        own = F.broadcast(own)
+    hit = F.coalesce(F.col("var_name") == F.col("_own"), F.lit(False))
+    bit = F.expr("shiftleft(1L, cast(var_ord & 63 as int))")
+    met = lists.join(own, "var_ord", "left").groupBy("shard", F.shiftright("var_ord", 6).alias("_block"))
+    met = met.agg(F.bit_or(F.when(hit, bit).otherwise(F.lit(0).cast("bigint"))).alias("_bits"), F.max(~hit).alias("_other"))
+    by_shard = met.groupBy("shard").agg(F.sum(F.bit_count("_bits")).alias("n"), F.max("_other").alias("other"))
+    return [r.shard for r in by_shard.filter((F.col("n") != seen.n) | F.col("other")).collect()]  # one line per shard
+
+
 def sequence_digests(var: DataFrame, *, segment: int = 1_024, by_segment: bool = False) -> DataFrame:
     """One line per shard for its ordered variable list: ``n_var`` and ``digest``; or one per segment of it.
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from rowloom import schemas, workdir
 from rowloom.operators import layouts, reshard, slicing
+from rowloom.plans import fixtures as fx
 from rowloom.sources import registry, scans
 
 
@@ -502,3 +503,41 @@ def test_clear_removes_what_was_written(spark):
     path = workdir.fresh_path(spark, "cleared")
     spark.range(3).write.parquet(path)
     assert workdir.path_exists(spark, path) and not workdir.path_exists(spark, f"{path}-none")
+
+
+def _lists(spark, lists):
+    rows = [(shard, place, name) for shard, names in lists.items() for place, name in names]
+    return spark.createDataFrame(rows, "shard int, var_ord int, var_name string")
+
+
+def test_checked_concat_tells_lists_of_equal_length_apart_and_moves_no_line_of_each(spark, monkeypatch):
+    x = spark.range(10)
+    names = [(i, f"g{i}") for i in range(200)]
+    twice = [*names[:199], names[0]]
+    moved = []
+    frame = type(x)
+    distinct = frame.distinct
+    monkeypatch.setattr(frame, "distinct", lambda self: moved.append(self.columns) or distinct(self))
+    assert scans.checked_concat(x, _lists(spark, {0: names, 1: names[::-1], 2: [*names, names[7]]})).count() == 10
+    assert not [columns for columns in moved if "shard" in columns]
+    without = [line for line in names if line[0] != 64]
+    for other in (twice, without, [*names, (200, "g200")], [*names[:9], (9, None), *names[10:]], [*names, (None, "g0")]):
+        with pytest.raises(ValueError, match="shards have different variables"):
+            scans.checked_concat(x, _lists(spark, {0: names, 1: names, 2: other}))
+
+
+def test_checked_concat_of_lists_with_nulls_and_several_names_at_a_place(spark):
+    odd = [(0, "a"), (0, "b"), (1, None), (None, "c"), (None, None), (-5, "d")]
+    assert scans.checked_concat(spark.range(3), _lists(spark, {4: odd, 9: odd[::-1]})).count() == 3
+    with pytest.raises(ValueError, match="shards have different variables"):
+        scans.checked_concat(spark.range(3), _lists(spark, {4: odd, 9: odd[:5]}))
+    assert scans.checked_concat(spark.range(3), _lists(spark, {}).filter("shard = 1")).count() == 3
+
+
+def test_every_shard_has_the_whole_list_stored(spark, tmp_path):
+    names = spark.range(0, 1_000, 1, 3).selectExpr("cast(999 - id as int) as var_ord", "concat('g', id) as var_name")
+    fx.write_shard_lists(names, 70, f"file://{tmp_path}/lists")
+    got = spark.read.parquet(f"file://{tmp_path}/lists")
+    assert got.dtypes == [("var_ord", "int"), ("var_name", "string"), ("shard", "int")]
+    want = names.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(69))))
+    assert got.count() == 70_000 and got.exceptAll(want.select(got.columns)).count() == 0
