@@ -11,6 +11,11 @@ from rowloom.operators import reshard
 from rowloom.sources import registry, scans
 
 
+def _stored(spark: SparkSession, root: str) -> DataFrame:
+    with workdir.few_listing_tasks(spark):
+        return spark.read.parquet(root)
+
+
 def _register(spark: SparkSession, root: str, manifest_path: str, key: str, description: str, prefix: str) -> None:
     """Register a written store unless its shards are in the manifest already."""
     if workdir.is_complete(spark, manifest_path):
@@ -18,7 +23,7 @@ def _register(spark: SparkSession, root: str, manifest_path: str, key: str, desc
         if known.limit(1).count():
             return
     rows = registry.shard_manifest(
-        spark.read.parquet(root), collection_key=key, description=description, key_prefix=prefix, root=root
+        _stored(spark, root), collection_key=key, description=description, key_prefix=prefix, root=root
     )
     registry.register_collection(rows, manifest_path)
 
@@ -64,7 +69,8 @@ def prepare_collections(
     _register(spark, shuffled, manifest_path, f"{name}_sharded", "shuffled and sharded", f"{name}_sharded")
 
     def subset(path: str) -> None:
-        reshard.subset_rewrite(spark.read.parquet(shuffled), var, gene_list, path)
+        run_rows = min(rows_per_file, shard_rows)
+        reshard.subset_rewrite(_stored(spark, shuffled), var, gene_list, path, rows_per_file=run_rows)
 
     subset_root = f"{out}/{name}_sharded_subset"
     workdir.write_if_absent(spark, subset_root, subset, n_rows)
@@ -74,7 +80,7 @@ def prepare_collections(
 
     def relayout(path: str) -> None:
         reshard.reshard_ordered(
-            spark.read.parquet(shuffled).drop("shard"),
+            _stored(spark, shuffled).drop("shard"),
             path,
             shard_rows=shard_rows,
             chunk_rows=relayout_chunk,

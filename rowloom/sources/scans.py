@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from rowloom import schemas
 from rowloom.operators.layouts import MAX_LIST_VALUES, dense_length_check, file_order, label_path, row_groups
 from rowloom.sources.registry import collection
-from rowloom.workdir import settle
+from rowloom.workdir import few_listing_tasks, settle
 
 # A collection has at most this many numbered shards, unless the caller says otherwise.
 MAX_NUMBERED_SHARDS = 48
@@ -99,7 +99,8 @@ def concat_listed(spark: SparkSession, shards: DataFrame, schema: T.StructType)
     fields = [f for f in schema.fields if f.name != "row_id"]
     own = [f.name for f in fields]
     ids = [T.StructField("row_id", T.LongType())] if known else []
-    stored = spark.read.schema(T.StructType([*ids, *fields])).parquet(*paths)
+    with few_listing_tasks(spark):
+        stored = spark.read.schema(T.StructType([*ids, *fields])).parquet(*paths)
     file = F.col("_metadata.file_path")
     scan = stored.select(
         "*",

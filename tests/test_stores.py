@@ -541,3 +541,54 @@ def test_every_shard_has_the_whole_list_stored(spark, tmp_path):
     assert got.dtypes == [("var_ord", "int"), ("var_name", "string"), ("shard", "int")]
     want = names.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(69))))
     assert got.count() == 70_000 and got.exceptAll(want.select(got.columns)).count() == 0
+
+
+def test_subset_of_a_long_axis_stays_in_its_files(spark, store, monkeypatch):
+    root, _, _, _, var, entries = store
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        for names, limits in ((("g7", "g2", "g5"), {"MAX_BROADCAST_GENES": 1}), (("g7", "g2", "g7"), {}), (("g7", "g2"), {"MAX_LOOKUP_IDS": 1})):
+            for name, value in limits.items():
+                monkeypatch.setattr(slicing, name, value)
+            genes = spark.createDataFrame(list(enumerate(names)), "gene_ord int, var_name string")
+            path = workdir.fresh_path(spark, "subset_long")
+            reshard.subset_rewrite(spark.read.parquet(root), var, genes, path, rows_per_file=16)
+            out = spark.read.parquet(path)
+            assert out.columns == spark.read.parquet(root).columns
+            want = sorted((r, p, x) for r, v, x in entries for p, name in enumerate(names) if name == f"g{v}")
+            assert entries_of(layouts.explode_rows(out)) == want
+            assert sorted((r.row_id, r.shard) for r in out.collect()) == [(i, i // 16) for i in range(40)]
+            assert all(r.indices == sorted(r.indices) for r in out.collect())
+            assert len(glob.glob(f"{path}/*/*.parquet")) <= len(glob.glob(f"{root}/*/*.parquet"))
+            monkeypatch.undo()
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_long_axis_with_gaps_and_null_rows(spark, monkeypatch):
+    monkeypatch.setattr(slicing, "MAX_BROADCAST_GENES", 1)
+    var = spark.createDataFrame([(3, "a"), (70_000, "b"), (200_000, "c")], "var_id int, var_name string")
+    genes = spark.createDataFrame([(0, "c"), (1, "a")], "gene_ord int, var_name string")
+    kind = "row_id bigint, indices array<int>, values array<float>, cell_line string"
+    rows = [(0, [3, 70_000, 200_000], [1.0, 2.0, 3.0], "x"), (1, [], [], None), (2, None, None, "y"), (3, [200_000, 3, 3], [1.0, 5.0, 4.0], "z")]
+    got = slicing.gene_subset_rows(spark.createDataFrame(rows, kind), var, genes)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.row_id, r.indices, r["values"], r.cell_line) for r in got.collect()) == [
+        (0, [0, 1], [3.0, 1.0], "x"),
+        (1, [], [], None),
+        (2, None, None, "y"),
+        (3, [0, 1, 1], [1.0, 4.0, 5.0], "z"),
+    ]
+    for bad in ([3, 4], [-1], [200_001], [None]):
+        outside = spark.createDataFrame([(0, bad, [1.0] * len(bad), "x")], kind)
+        with pytest.raises(Exception, match="variable index outside"):
+            slicing.gene_subset_rows(outside, var, genes).collect()
+
+
+def test_listing_of_stores_uses_few_tasks_and_leaves_the_setting(spark):
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    with workdir.few_listing_tasks(spark):
+        assert int(spark.conf.get(name)) == max(32, 4 * spark.sparkContext.defaultParallelism)
+    assert spark.conf.get(name) == before
