@@ -6,8 +6,9 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rowloom import schemas
+from rowloom import schemas, workdir
 from rowloom.operators import keyed_order, rowsets, slicing, tiles
 from rowloom.plans import fixtures, loading
 from rowloom.plans.queries import QUERIES
@@ -249,3 +250,19 @@ def test_a_resumed_run_reads_only_its_groups(spark, store):
     rows = got.collect()
     assert sorted((r.batch_id, r.pos) for r in rows) == [(b, p) for b in (1_990, 1_991, 1_992) for p in (0, 1)]
     assert all(r.indices == [r.row_id, r.row_id % 7] for r in rows)
+
+
+def test_tasks_follow_the_bytes_of_groups_not_their_number(spark, monkeypatch):
+    path = workdir.fresh_path(spark, "small_groups")
+    spark.range(0, 600, 1, 2).select(F.col("id").alias("row_id")).write.option("parquet.block.row.count.limit", 2).parquet(path)
+    index = group_index.index_groups(spark, path, ["row_id"])
+    assert index.count() == 300 and index.filter("n_bytes > 0").count() == 300
+    schema = T.StructType([T.StructField("row_id", T.LongType())])
+    wanted = group_index.groups_with(index, spark.range(600).withColumnRenamed("id", "row_id"), "row_id", 64)
+    for groups, key in ((index, None), (wanted, "row_id")):
+        read = group_index.read_groups(groups, schema, key)
+        assert sorted(r.row_id for r in read.collect()) == list(range(600))
+        assert read.rdd.getNumPartitions() == 1
+    # Large groups are dealt out as before, and tables without sizes by their number.
+    assert group_index.read_groups(index.withColumn("n_bytes", F.lit(1 << 24)), schema).rdd.getNumPartitions() == 150
+    assert group_index.read_groups(index.drop("n_bytes"), schema).rdd.getNumPartitions() == 19
